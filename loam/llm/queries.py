@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loam.llm import sharding, urlrep
+from loam.llm import bpe, sharding, tokenfile, urlrep
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (sharding.op7_hypergeometric_sharding, urlrep.op8_url_reputation)}
+    return {f.__name__: f for f in (tokenfile.op1_token_parquet, bpe.op6_batched_bpe, sharding.op7_hypergeometric_sharding, urlrep.op8_url_reputation)}
 
 
 def oracle_sql() -> dict[str, str]:
