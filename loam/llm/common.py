@@ -8,13 +8,14 @@ import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of one chunk of a scratch table; a window over one chunk never holds more.
 CHUNK_ROWS = 65_536
@@ -121,3 +122,49 @@ def exact_ranks(saved: DataFrame, key: list[str], rank: str = "rank", order: Col
         .withColumn(rank, F.col("_in") - 1 + F.coalesce("_before", F.lit(0)))
         .drop(*names, "_chunk", "_before", "_in", "_file", "_row")
     )
+
+
+def with_columns(df: DataFrame, column: str, added: str, work: Callable[[pa.Array], list[pa.Array]], keep: list[str]) -> DataFrame:
+    """The columns keep of df and those that work makes from pieces of a text column; one map, no shuffle.
+
+    added is DDL. A kept column that has the name of a new one is left out. Rows keep their order.
+    """
+    new = StructType.fromDDL(added)
+    keep = [c for c in dict.fromkeys(keep) if c not in new.names]
+    schema = StructType([*(df.schema[c] for c in keep), *new.fields])
+    column_ = "_text" if column not in keep else column
+    source = df.select(*keep, *([F.col(column).alias(column_)] if column_ not in keep else []))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, column_):
+            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), *work(piece.column(column_))], names=[*keep, *new.names])
+
+    return source.mapInArrow(run, schema)
+
+
+def crc_mod(column: str, n: int) -> Column:
+    """crc32 of the column as text, mod n; null for null."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+def lowest(df: DataFrame, group: Column | None, most: int, order: Column, columns: list[str]) -> list[Row]:
+    """Of each group (null groups are left out) the rows with the lowest values of a hash (order), at most `most`: a bounded sample for the driver.
+
+    Counts come first; then only rows under a threshold for their group leave the executors, and they are cut to the bound here.
+    """
+    at = (group if group is not None else F.lit("all")).cast("string").alias("_group")
+    unit = ((order.bitwiseAND(F.lit((1 << 52) - 1))) / F.lit(float(1 << 52))).alias("_unit")
+    n = {r["_group"]: r["n"] for r in df.select(at).filter(F.col("_group").isNotNull()).groupBy("_group").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not n:
+        return []
+    share = F.lit(0.0)
+    for g, c in n.items():
+        share = F.when(F.col("_group") == g, min(1.0, (most + 4 * most**0.5) / c)).otherwise(share)
+    rows = df.select(*columns, at, unit).filter(F.col("_unit") <= share).collect()
+    rows.sort(key=lambda r: (r["_group"], r["_unit"], *(str(r[c]) for c in columns)))
+    out, seen = [], {}
+    for r in rows:
+        seen[r["_group"]] = seen.get(r["_group"], 0) + 1
+        if seen[r["_group"]] <= most:
+            out.append(r)
+    return out
