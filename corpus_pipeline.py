@@ -1,5 +1,71 @@
-"""The pipeline's stages over documents."""
+"""The pipeline over documents: toxicity, language ID, n-gram Jaccard join, best-fit packing.
+
+Each stage gets all rows that the one before it kept, with the columns of documents, and all but the
+last return these columns.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loam.llm import langid, ngram_join, packing, toxicity
+from loam.llm.common import drop, save, ship, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't predicted toxic. Learns from the labelled ones among docs (those that aren't held out)."""
+    ship(spark)
+    model = toxicity.fit(docs, toxicity.learnable(table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, model, COLUMNS).filter("predicted = 0").select(*COLUMNS)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; the column lang stays as it is. Learns from docs that aren't held out."""
+    ship(spark)
+    model = langid.fit(langid.learnable(docs))
+    return langid.predict(docs, model, COLUMNS).filter(~F.col("rejected")).select(*COLUMNS)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the least doc_id of each group of linked documents; of rows with that id, the one of the least text and other columns.
+
+    Rows without an id are no group's least one: they stay only if no row of their group has an id, and then
+    all of them do.
+    """
+    ship(spark)
+    found = save(ngram_join.join(docs).select("doc_id", "component_id"), "groups")
+    gone = found.filter(F.coalesce(F.col("doc_id") != F.col("component_id"), F.col("doc_id").isNull() & F.col("component_id").isNotNull()))
+    left = ngram_join.of_docs(docs, save(gone.select("doc_id"), "gone"), "left_anti").select(*COLUMNS)
+    again = save(found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
+    several = ngram_join.of_docs(left, again).groupBy("doc_id").agg(F.min(F.struct(*(c for c in COLUMNS if c != "doc_id"))).alias("x"))
+    return ngram_join.of_docs(left, again, "left_anti").unionByName(several.select("doc_id", "x.*"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all pieces of docs in sequences of at most 2048 tokens."""
+    ship(spark)
+    return packing.pack(packing.cut_documents(docs)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+STAGES: list[tuple[str, Stage]] = [("toxicity", toxic), ("language_id", language), ("ngram_join", one_of_each), ("packing", packed)]
+
+#: SQL expresses none of the models; tests hold the stages against plain versions.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; each stage is written as Parquet and read again."""
+    docs = table(spark, sf_dir, "documents", *COLUMNS)
+    before = None
+    for name, stage in STAGES:
+        docs = save(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            drop(before)
+        before = docs
+    return docs

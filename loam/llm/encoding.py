@@ -54,10 +54,21 @@ class Encoder:
         return [np.array(x.ids, np.int32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, units: list[str]) -> None:
-        """Remember units (each with the space before it, if it has one)."""
+        """Remember units (each with the space before it, if it has one). A comma or full stop after a letter is a pre-token of its own."""
+        tailed = [u for u in units if len(u) > 2 and u[-1] in ",." and u[-2] < "\u0250" and u[-2].isalpha()]
+        if tailed:
+            parts = {x: None for u in tailed for x in (u[:-1], u[-1])}
+            whole = set(tailed)
+            rest = [u for u in units if u not in whole]
+            self.learn([u for u in dict.fromkeys([*rest, *parts]) if u not in self.known])
+            pair = np.fromiter((self.known[x] for u in tailed for x in (u[:-1], u[-1])), np.int64, 2 * len(tailed))
+            runs = self.flat[ragged(self.starts[pair], self.lengths[pair])]
+            self._add(tailed, runs, self.lengths[pair].reshape(-1, 2).sum(1))
+            return
         fits = [len(u) > 1 and u[0] == " " and not u[-1].isspace() for u in units]
         joined, alone = [u for u, f in zip(units, fits) if f], [u for u, f in zip(units, fits) if not f]
-        flat, counts = [self.flat], [self.lengths]
+        flat: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
         for i in range(0, len(joined), 2000):
             part = joined[i : i + 2000]
             ids = self.direct(["".join(part)])[0]
@@ -69,11 +80,14 @@ class Encoder:
                 alone = part + alone
                 joined[i : i + 2000] = [""] * len(part)
         runs = self.direct(alone)
-        order = [u for u in joined if u] + alone
+        counts.append(np.fromiter(map(len, runs), np.int64, len(runs)))
+        self._add([u for u in joined if u] + alone, np.concatenate([*flat, *runs, np.zeros(0, np.int32)]), np.concatenate(counts))
+
+    def _add(self, units: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
         base = len(self.known)
-        self.known.update(zip(order, range(base, base + len(order))))
-        self.flat = np.concatenate([*flat, *runs])
-        self.lengths = np.concatenate([*counts, np.fromiter(map(len, runs), np.int64, len(runs))]).astype(np.int64)
+        self.known.update(zip(units, range(base, base + len(units))))
+        self.flat = np.concatenate([self.flat, flat])
+        self.lengths = np.concatenate([self.lengths, lengths]).astype(np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
 
     def places(self, units: list[str]) -> np.ndarray:

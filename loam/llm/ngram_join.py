@@ -322,11 +322,11 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return np.rint(out).astype(np.int64)
 
 
-def of_docs(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of docs (doc_id, text) with the doc_ids of wanted (doc_id), null ones too: by broadcast if wanted is small, else by an ordinary join."""
+def of_docs(docs: DataFrame, wanted: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows of docs with the doc_ids of wanted, null ones too (left_anti: the others): by broadcast if wanted is small, else by an ordinary join."""
     ids = wanted.select(F.col("doc_id").alias("_id")).distinct()
     ids = F.broadcast(ids) if wanted.count() <= SMALL else ids
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), how)
 
 
 def join(docs: DataFrame, share: tuple[int, int] = SHARE, words: int = WORDS) -> DataFrame:

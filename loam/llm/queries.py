@@ -10,7 +10,21 @@ from loam.llm import bpe, imatch, langid, neardup_vectors, ngram_join, packing,
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (tokenfile.op1_token_parquet, langid.op2_subword_langid, imatch.op3_imatch, neardup_vectors.op4_sorted_projections, ngram_join.op5_partition_join, bpe.op6_batched_bpe, sharding.op7_hypergeometric_sharding, urlrep.op8_url_reputation, packing.op9_pattern_packing, toxicity.op10_toxicity_knn)}
+    import corpus_pipeline  # at the top of the repository; it imports this subpackage
+
+    ops = (
+        tokenfile.op1_token_parquet,
+        langid.op2_subword_langid,
+        imatch.op3_imatch,
+        neardup_vectors.op4_sorted_projections,
+        ngram_join.op5_partition_join,
+        bpe.op6_batched_bpe,
+        sharding.op7_hypergeometric_sharding,
+        urlrep.op8_url_reputation,
+        packing.op9_pattern_packing,
+        toxicity.op10_toxicity_knn,
+    )
+    return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
