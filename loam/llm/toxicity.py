@@ -12,12 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.common import crc_mod, lowest, table, with_columns
+from loam.llm.common import crc_mod, lowest, ragged, table, with_columns
 
 #: Labelled documents that are learned from, at most, by label.
 EXAMPLES = {0: 4000, 1: 2000}
 #: Terms of the model, at most, and the least likelihood ratio (G²) of a term's link with the label: about one chance in 100,000.
 TERMS, LEAST_LINK = 1024, 19.5
+#: ... and the least share of the strongest term's ratio.
+SHARE_OF_BEST = 0.04
 #: A term is a word or its first so many letters, so that inflected forms meet.
 PREFIXES = (4, 5, 6)
 NEIGHBOURS = 15
@@ -74,8 +76,8 @@ class Model:
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the highest cosine above 0 (ties: the earlier example), exactly.
 
-        A block's bound is the sum of its terms' highest weights; blocks are scored from the highest bound on, until
-        no other can reach the k-th cosine so far.
+        A block's bound is the sum of its terms' highest weights; blocks are scored from the highest bound on, in
+        groups that grow, until no other can reach the k-th cosine so far.
         """
         if not len(at):
             return np.zeros(0, np.int64), np.zeros(0)
@@ -85,18 +87,24 @@ class Model:
         query = np.zeros(len(self.terms))
         query[at] = w
         term, place, weight = self.postings
-        for b in order[: int((bound > 0).sum())].tolist():
-            if len(score) >= k and bound[b] < score[k - 1] - 1e-9:
-                break
-            s, e = self.cuts[b], self.cuts[b + 1]
-            dot = np.round(np.bincount(place[s:e], query[term[s:e]] * weight[s:e], BLOCK), 9)
+        order = order[: int((bound > 0).sum())]
+        start, group = 0, 4
+        while start < len(order):
+            blocks = order[start : start + group]
+            if len(score) >= k:
+                blocks = blocks[bound[blocks] >= score[k - 1] - 1e-9]
+                if not len(blocks):
+                    break
+            s, n = self.cuts[blocks], self.cuts[blocks + 1] - self.cuts[blocks]
+            rows = ragged(s, n)
+            dot = np.bincount(place[rows] + np.repeat(np.arange(len(blocks)) * BLOCK, n), query[term[rows]] * weight[rows], len(blocks) * BLOCK).round(9)
             hit = np.flatnonzero(dot > (score[k - 1] - 1e-9 if len(score) >= k else 0))
-            if 0 <= without - b * BLOCK < BLOCK:
-                hit = hit[hit + b * BLOCK != without]
-            if len(hit):
-                found, score = np.concatenate([found, hit + b * BLOCK]), np.concatenate([score, dot[hit]])
-                best = np.lexsort((found, -score))[:k]
-                found, score = found[best], score[best]
+            ids = blocks[hit // BLOCK] * BLOCK + hit % BLOCK
+            hit, ids = hit[ids != without], ids[ids != without]
+            found, score = np.concatenate([found, ids]), np.concatenate([score, dot[hit]])
+            best = np.lexsort((found, -score))[:k]
+            found, score = found[best], score[best]
+            start, group = start + group, group * 4
         return found, score
 
     def vote(self, found: np.ndarray, score: np.ndarray) -> float:
@@ -156,7 +164,7 @@ def train(ids: list[int], texts: list[str], labels: list[int], counts: dict[int,
     if names and 0 < y.sum() < len(y):
         c, a = np.array([n[t] for t in names], float), np.array([toxic[t] for t in names], float)
         g = link(a, c, sum(f[0] for f in families), len(families))
-        order = sorted(np.flatnonzero(g > LEAST_LINK), key=lambda i: (-g[i], names[i]))[:TERMS]
+        order = sorted(np.flatnonzero(g > max(LEAST_LINK, SHARE_OF_BEST * g.max())), key=lambda i: (-g[i], names[i]))[:TERMS]
         chosen = [names[i] for i in order]
     terms = {t: i for i, t in enumerate(chosen)}
     idf = np.log((1 + len(y)) / (1 + np.array([n[t] for t in chosen], float))) + 1
