@@ -16,8 +16,8 @@ from loam.llm.common import crc_mod, lowest, ragged, table, with_columns
 
 #: Labelled documents that are learned from, at most, by label.
 EXAMPLES = {0: 4000, 1: 2000}
-#: Terms of the model, at most, and the least likelihood ratio (G²) of a term's link with the label: about one chance in 100,000.
-TERMS, LEAST_LINK = 1024, 19.5
+#: Terms of the model, at most, and the least likelihood ratio (G²) of a term's link with the label: about one chance in 30,000.
+TERMS, LEAST_LINK = 1024, 17.0
 #: ... and the least share of the strongest term's ratio.
 SHARE_OF_BEST = 0.04
 #: A term is a word or its first so many letters, so that inflected forms meet.
