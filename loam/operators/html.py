@@ -189,3 +189,10 @@ def numbered_links(spark: SparkSession, template: str, limit: int) -> DataFrame:
     """template with 1 to limit in place of ``{}``."""
     n = F.col("id").cast("string")
     return spark.range(1, limit + 1).select(F.col("id").alias("n"), F.replace(F.lit(template), F.lit("{}"), n).alias("link"))
+
+
+def node_slices(docs: DataFrame) -> DataFrame:
+    """A row for each article node of docs (html, nodes: array of id, np, npe, caption, unit, lvl) that has both anchors, with its slice of the page in html."""
+    rows = docs.withColumn("_n", F.explode(article_nodes(F.col("nodes")))).filter(F.col("_n.np").isNotNull() & F.col("_n.npe").isNotNull())
+    rows = rows.withColumns({"html": anchor_slice(F.col("html"), F.col("_n.np"), F.col("_n.npe")), "caption": F.col("_n.caption"), "node_id": F.col("_n.id")})
+    return rows.filter(F.col("html") != "").drop("_n", "nodes")

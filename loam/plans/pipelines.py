@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loam.operators import chunk, dedup, messages, profile, quality, split
+from loam.functions import text
+from loam.operators import chunk, dedup, html, messages, profile, quality, split
 from loam.operators.scratch import written
 from loam.sources import readers, sinks
 
@@ -18,7 +19,7 @@ def tag(records: DataFrame) -> DataFrame:
     return rows.withColumn("reason", F.coalesce("reason", later))
 
 
-def near_key(m) -> F.Column:
+def near_key(m: Column) -> Column:
     user, answer = (F.coalesce(messages.last_of(m, r), F.lit("")) for r in ("user", "assistant"))
     return F.concat(F.left(F.lower(user), F.lit(200)), F.lit("|||"), F.left(F.lower(answer), F.lit(500)))
 
@@ -72,3 +73,38 @@ def article_chunks(articles: DataFrame) -> DataFrame:
     """url, title, content -> chunks with ids and metadata, ready to be embedded."""
     rows = chunk.chunks(articles.withColumn("_o", F.struct("url", "title")), "content")
     return chunk.with_code(chunk.chunk_ids(rows, "_o"), "url").select("chunk_id", "document", F.col("url").alias("article_url"), F.col("title").alias("article_title"), "chunk_start", "chunk_end", "legal_code")
+
+
+def qa_dataset(spark: SparkSession, files: dict[str, str], out: str | None = None) -> DataFrame:
+    """Question and answer messages of the article files (path: name of the law), written to out as JSON."""
+    rows = readers.file_map(spark, files)
+    pairs = messages.qa_pair(rows, F.col("law_name"))
+    made = pairs.select("file_no", F.array(messages.message("user", F.col("question")), messages.message("assistant", F.col("answer"))).alias("messages"))
+    if out:
+        sinks.rows_json(made.select("messages"), out)
+    return made
+
+
+def labelled(rows: DataFrame) -> DataFrame:
+    """Columns law and law_code from article, title and article_title, as far as there are any."""
+    have = lambda *names: F.coalesce(*(F.col(n) for n in names if n in rows.columns), F.lit(""))
+    name, code = text.law(have("article", "article_title"), have("title", "article_title"))
+    return rows.withColumns({"law": name, "law_code": code})
+
+
+def page_pairs(docs: DataFrame, out: str | None = None, test_ratio: float = 0.1, seed: int = 42, most: int = 900) -> DataFrame:
+    """Pages with content trees (code, doc_hash, html, nodes) -> pairs (case, article) with their split, by code.
+
+    At most `most` records a code, in order of document and node; of each case the longest article stays; a seeded share of each
+    code's pairs is its test part. Written in folders by code and split; a reader of all codes reads the parent folder.
+    """
+    records = html.article_records(html.node_slices(docs))
+    order = F.row_number().over(Window.partitionBy("code").orderBy("doc_hash", "node_id"))
+    pairs = records.select("code", F.col("title").alias("case"), F.col("content").alias("article"), order.alias("ord")).filter(F.col("ord") <= most)
+    once = written(dedup.longest(pairs, ["code", "case"], "article", "ord"))
+    rank = F.row_number().over(Window.partitionBy("code").orderBy(split.shuffled(F.col("first_seen"), seed)))
+    n = once.groupBy("code").agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * F.lit(float(test_ratio)))).alias("_n"))
+    parts = once.withColumn("_r", rank).join(n, "code").withColumn("split", F.when(F.col("_r") <= F.col("_n"), "test").otherwise("train")).drop("_r", "_n", "ord")
+    if out:
+        parts.write.mode("overwrite").partitionBy("code", "split").json(out)
+    return parts

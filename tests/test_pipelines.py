@@ -121,3 +121,23 @@ def test_stream(spark, tmp_path):
 
 def test_unescape(spark):
     assert spark.range(1).select(X.unescape(F.lit('a\\"b\\nc')).alias("x")).first()["x"] == 'a"b\nc'
+
+
+def test_qa_and_labels(spark, tmp_path):
+    (tmp_path / "tk.json").write_text(json.dumps([{"title": "Статья 3. Запрет дискриминации в сфере труда и не только", "content": "Статья 3. Запрет дискриминации в сфере труда и не только. Каждый имеет равные права."}], ensure_ascii=False))
+    got = pipelines.qa_dataset(spark, {str(tmp_path / "tk.json"): "Трудового кодекса", str(tmp_path / "no.json"): "x"}, str(tmp_path / "out")).first()["messages"]
+    assert got[0]["content"] == "Какая статья из Трудового кодекса регулирует: Запрет дискриминации в сфере труда и"
+    assert got[1]["content"] == "Статья 3. Запрет дискриминации в сфере труда и не только Каждый имеет равные права."
+    rows = spark.createDataFrame([("Статья 5 ГК РФ", "x"), (None, "Статья 7 УК")], "article string, title string")
+    assert {r["title"]: r["law_code"] for r in pipelines.labelled(rows).collect()} == {"x": "ГК", "Статья 7 УК": "УК"}
+
+
+def test_page_pairs(spark, tmp_path):
+    body = "Текст статьи закона. " * 15
+    page = "".join(f'<p id="p{i}">Статья {i}. {body}{i}</p><p id="q{i}">Конец {i}.</p>' for i in range(12))
+    nodes = [(f"n{i:02}", f"p{i}", f"q{i}", f"Статья {i}", "статья", 3) for i in range(12)] + [("n99", None, None, "Глава", "глава", 1)]
+    df = spark.createDataFrame([("gk", "h", page, nodes), ("gk", "i", page, nodes)], "code string, doc_hash string, html string, nodes array<struct<id:string,np:string,npe:string,caption:string,unit:string,lvl:int>>")
+    got = pipelines.page_pairs(df, str(tmp_path / "out")).collect()
+    assert len(got) == 12 and sum(r["split"] == "test" for r in got) == 1
+    assert all(r["case"] == r["article"] and "Конец" in r["article"] for r in got)
+    assert spark.read.json(str(tmp_path / "out")).filter("code = 'gk' and split = 'train'").count() == 11
