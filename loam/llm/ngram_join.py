@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.llm.common import exact_ranks, pieces, save, table
-from loam.llm.components import components
+from loam.llm.components import components, forest
 from loam.llm.neardup_vectors import whole_groups
 
 WORDS = 5
@@ -24,6 +24,8 @@ SHARE = (75, 100)
 LONGEST = 32
 #: Signatures that a reducer sorts at once, and sets of a tile whose pairs are verified together.
 SORTED, TILE = 1_500_000, 192
+#: Buckets of signatures, at least; more for more than SORTED in each.
+BUCKETS, BUCKETS_AGAIN = 64, 8
 #: Rows of a side that is broadcast, at most; beyond, an ordinary join.
 SMALL = 400_000
 
@@ -271,14 +273,14 @@ def meet(batches: Iterator[pa.RecordBatch], share: tuple[int, int]) -> Iterator[
 
 
 def chain(batches: Iterator[pa.RecordBatch], share: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """Edges that join all sets of a signature, in order of size, where sizes allow a link; any number of sets."""
+    """Edges that join all sets of a signature, in order of size, where sizes allow a link; any number of sets. A bucket sends a forest of them."""
     for batch in whole_groups(batches, "bucket"):
         sig, who, cid, n, _, _ = met(batch)
         order = np.lexsort((who, n[who], sig))
         sig, who = sig[order], who[order]
         next_ = (sig[1:] == sig[:-1]) & (share[1] * n[who[:-1]] >= share[0] * n[who[1:]]) & (who[1:] != who[:-1])
-        pair = np.unique(np.minimum(who[:-1], who[1:])[next_] * max(len(cid), 1) + np.maximum(who[:-1], who[1:])[next_])
-        yield pa.RecordBatch.from_arrays([pa.array(cid[pair // max(len(cid), 1)]), pa.array(cid[pair % max(len(cid), 1)])], names=["a", "b"])
+        x, y = forest(cid[who[:-1][next_]], cid[who[1:][next_]])
+        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
 
 def verify(batches: Iterator[pa.RecordBatch], share: tuple[int, int]) -> Iterator[pa.RecordBatch]:
@@ -355,14 +357,15 @@ def join(docs: DataFrame, share: tuple[int, int] = SHARE, words: int = WORDS) ->
 
     named = save(rows.mapInArrow(name, "doc_id long, n_shingles long, cid long"), "named")
     total = named.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).first()["n"]
-    goal = max(parts, 2 * total // (3 * SORTED))
-    buckets = 1 << min(20, max(0, math.ceil(math.log2(goal))))
-    classes = save(named.filter("n_shingles > 1").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")), "classes")
+    classes = save(named.filter("n_shingles > 1").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n")), "classes")
+
+    def buckets(shingles: int, least: int) -> int:
+        return 1 << min(20, math.ceil(math.log2(max(least, 2 * shingles // (3 * SORTED)))))
 
     def dealt(sent: DataFrame) -> DataFrame:
         return sent.repartition(parts, "bucket").sortWithinPartitions("bucket")
 
-    found = save(dealt(send(rows, buckets, share, words)).mapInArrow(lambda it: meet(it, share), FOUND), "found")
+    found = save(dealt(send(rows, buckets(total, BUCKETS), share, words)).mapInArrow(lambda it: meet(it, share), FOUND), "found")
     worn = found.filter("b is null").groupBy(F.col("a").alias("cid"), "band").agg(F.sum("lost").alias("lost"), F.max("n_a").alias("n"), F.max("units_a").alias("units"))
     worn = save(worn, "worn")
     limit = F.when(F.shiftright("n", 1) < F.expr("shiftleft(1L, band)"), differ_column("n", share, True)).otherwise(differ_column("n", share, False)) + 1
@@ -376,8 +379,9 @@ def join(docs: DataFrame, share: tuple[int, int] = SHARE, words: int = WORDS) ->
     least = F.when(F.col("band").isin(doubled), F.ceil(left / 2)).otherwise(left) if doubled else left
     edges = pairs.filter(F.col("meetings") >= least).select("a", "b")
 
-    again = of_docs(rows, unsafe.join(classes, "cid"))
-    second = send(again, buckets, share, words, tokens_too=True)
+    unsafe = save(unsafe.join(classes, "cid").select("doc_id", "n"), "unsafe_docs")
+    total = unsafe.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    second = send(of_docs(rows, unsafe), buckets(total, BUCKETS_AGAIN), share, words, tokens_too=True)
     edges = save(edges.unionByName(dealt(second).mapInArrow(lambda it: chain(it, share), "a long, b long")), "candidates")
     member = save(components(edges).select(F.col("node").alias("cid"), "component").join(classes, "cid"), "member")
 
