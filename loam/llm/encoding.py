@@ -14,8 +14,10 @@ from loam.llm.common import ragged
 VOCABULARY = "byte_bpe_50k.json"
 #: A space after other white space, or a special token's text: such texts are encoded as they are.
 UNSAFE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}] |<\|endoftext\|>"
+#: Units that are encoded as one string.
+JOINED = 100
 #: Units that a worker remembers, at most.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -46,10 +48,21 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.lengths, self.starts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known: dict[str, int] = {}  # in the order of the arrays
+        self.lengths, self.starts, self.uses = (np.zeros(0, np.int64) for _ in range(3))
         self.flat = np.zeros(0, np.int32)
 
+    def forget_rare(self) -> None:
+        """Keep the units that several pieces used, the most used half of REMEMBERED at most."""
+        keep = np.flatnonzero(self.uses > 1)
+        if len(keep) > REMEMBERED // 2:
+            keep = np.sort(keep[np.argsort(-self.uses[keep], kind="stable")[: REMEMBERED // 2]])
+        names = list(self.known)
+        flat, lengths, uses = self.flat[ragged(self.starts[keep], self.lengths[keep])], self.lengths[keep], self.uses[keep] // 2
+        self.forget()
+        self._add([names[i] for i in keep.tolist()], flat, lengths)
+        self.uses = uses
+
     def direct(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.int32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -69,16 +82,15 @@ class Encoder:
         joined, alone = [u for u, f in zip(units, fits) if f], [u for u, f in zip(units, fits) if not f]
         flat: list[np.ndarray] = []
         counts: list[np.ndarray] = []
-        for i in range(0, len(joined), 2000):
-            part = joined[i : i + 2000]
-            ids = self.direct(["".join(part)])[0]
+        for i, ids in zip(range(0, len(joined), JOINED), self.direct(["".join(joined[i : i + JOINED]) for i in range(0, len(joined), JOINED)])):
+            part = joined[i : i + JOINED]
             cut = np.flatnonzero(self.begins[ids])
             if len(cut) == len(part) and cut[0] == 0:
                 flat.append(ids)
                 counts.append(np.diff(cut, append=len(ids)))
             else:
                 alone = part + alone
-                joined[i : i + 2000] = [""] * len(part)
+                joined[i : i + JOINED] = [""] * len(part)
         runs = self.direct(alone)
         counts.append(np.fromiter(map(len, runs), np.int64, len(runs)))
         self._add([u for u in joined if u] + alone, np.concatenate([*flat, *runs, np.zeros(0, np.int32)]), np.concatenate(counts))
@@ -89,17 +101,22 @@ class Encoder:
         self.flat = np.concatenate([self.flat, flat])
         self.lengths = np.concatenate([self.lengths, lengths]).astype(np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
+        self.uses = np.concatenate([self.uses, np.zeros(len(units), np.int64)])
 
     def places(self, units: list[str]) -> np.ndarray:
         known = self.known
         new = [u for u in units if u not in known]
         if new:
             self.learn(new)
-        return np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+        at = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+        self.uses[at] += 1
+        return at
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids, and where each text's ids start (with the end)."""
-        if len(self.known) > REMEMBERED or len(self.flat) > 8 * REMEMBERED:
+        if len(self.known) > REMEMBERED:
+            self.forget_rare()
+        if len(self.flat) > 8 * REMEMBERED:
             self.forget()
         texts = pc.fill_null(texts, "").cast(pa.large_string())
         unsafe = pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False)

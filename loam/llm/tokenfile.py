@@ -18,7 +18,7 @@ END = 0
 #: Ids are dictionary-encoded (16-bit indices, one dictionary a row group), counts and starts as deltas (version 2 pages).
 #: Row groups of 32 MB and pages of 64 KB: the page index leads a reader of one document to a few pages.
 FORMAT = {
-    "compression": "zstd",
+    "compression": "snappy",  # packed 16-bit indices hardly shrink under any codec
     "parquet.writer.version": "PARQUET_2_0",
     "parquet.block.size": 32 << 20,
     "parquet.page.size": 64 << 10,
