@@ -284,7 +284,7 @@ def chain(batches: Iterator[pa.RecordBatch], share: tuple[int, int]) -> Iterator
 
 
 def verify(batches: Iterator[pa.RecordBatch], share: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """All pairs of the sets of two tiles (or one) by exact intersections: (a, b, null) for a link, (a, null, links) for their number."""
+    """All pairs of the sets of two tiles (or one) by exact intersections: (a, b, null) for a forest of the links, (a, null, links) for their number."""
     for batch in whole_groups(batches, "task"):
         task = batch.column("task").to_numpy()
         cuts = np.flatnonzero(np.diff(task)) + 1
@@ -297,7 +297,8 @@ def verify(batches: Iterator[pa.RecordBatch], share: tuple[int, int]) -> Iterato
             both = intersections(sets)
             hit = (share[1] * both >= share[0] * (n[:, None] + n[None, :] - both)) & (side[:, None] != side[None, :] if side.any() else ~np.eye(len(n), dtype=bool))
             x, y = np.nonzero(np.triu(hit))
-            a.append(cid[x]), b.append(cid[y]), who.append(cid), count.append((hit @ copies).astype(np.int64))
+            x, y = forest(cid[x], cid[y])
+            a.append(x), b.append(y), who.append(cid), count.append((hit @ copies).astype(np.int64))
         a_, b_, who_, count_ = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (a, b, who, count))
         some = count_ > 0
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a_, who_[some]])), pa.concat_arrays([pa.array(b_), pa.nulls(int(some.sum()), pa.int64())]), pa.concat_arrays([pa.nulls(len(a_), pa.int64()), pa.array(count_[some])])], names=["a", "b", "links"])
