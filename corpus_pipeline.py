@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.llm import langid, ngram_join, packing, toxicity
-from loam.llm.common import drop, save, ship, table
+from loam.llm.common import drop, row_place, save, ship, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -32,18 +32,31 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least doc_id of each group of linked documents; of rows with that id, the one of the least text and other columns.
+    """The row of the least doc_id of each group of linked rows; of several with that id, the one of the least text and other columns.
 
-    Rows without an id are no group's least one: they stay only if no row of their group has an id, and then
-    all of them do.
+    Rows go one by one, not by doc_id, so unlinked texts stay whatever ids they have. Rows without an id are no
+    group's least one: they go if a row of their group has an id, else all of the group stay. Texts without words are
+    linked to nothing: of those of one doc_id one stays, and none beside a text with words of that doc_id that stays.
     """
     ship(spark)
-    found = save(ngram_join.join(docs).select("doc_id", "component_id"), "groups")
-    gone = found.filter(F.coalesce(F.col("doc_id") != F.col("component_id"), F.col("doc_id").isNull() & F.col("component_id").isNotNull()))
-    left = ngram_join.of_docs(docs, save(gone.select("doc_id"), "gone"), "left_anti").select(*COLUMNS)
-    again = save(found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
-    several = ngram_join.of_docs(left, again).groupBy("doc_id").agg(F.min(F.struct(*(c for c in COLUMNS if c != "doc_id"))).alias("x"))
-    return ngram_join.of_docs(left, again, "left_anti").unionByName(several.select("doc_id", "x.*"))
+    file, place = row_place()
+    rows = save(docs.select(*COLUMNS), "rows").withColumn("row", file * F.lit(1 << 36) + place)
+    found = save(ngram_join.join(rows, row="row").select("row", "doc_id", "component"), "groups")
+    least = found.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
+    named = save(found.join(least, "component", "left"), "least")
+    gone = named.filter("least is not null and (doc_id is null or doc_id > least)").select("row")
+    first = named.filter("doc_id is not null and (component is null or doc_id = least)").select("row", "doc_id", "component")
+    # several rows of one group and its least id
+    again = save(first.groupBy("component", "doc_id").count().filter("count > 1").select("doc_id"), "again")
+    several = save(ngram_join.of_docs(first, again), "several")
+    texts = ngram_join.of_docs(rows, again).join(several.select("row", "component"), "row")
+    best = save(texts.groupBy("component", "doc_id").agg(F.min(F.struct(*(c for c in COLUMNS if c != "doc_id"), "row")).alias("x")).select("x.row"), "best")
+    gone = gone.unionByName(ngram_join.of_docs(several, best, "left_anti", "row").select("row"))
+    # texts without words beside others of their id
+    bare = first.filter("component is null")
+    beside = ngram_join.of_docs(first.filter("component is not null"), bare)
+    gone = gone.unionByName(ngram_join.of_docs(bare, beside).select("row"))
+    return ngram_join.of_docs(rows, save(gone, "gone"), "left_anti", "row").select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -325,19 +325,20 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return np.rint(out).astype(np.int64)
 
 
-def of_docs(docs: DataFrame, wanted: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Rows of docs with the doc_ids of wanted, null ones too (left_anti: the others): by broadcast if wanted is small, else by an ordinary join."""
-    ids = wanted.select(F.col("doc_id").alias("_id")).distinct()
+def of_docs(docs: DataFrame, wanted: DataFrame, how: str = "left_semi", key: str = "doc_id") -> DataFrame:
+    """Rows of docs with the doc_ids (or another key) of wanted, null ones too (left_anti: the others): by broadcast if wanted is small, else by an ordinary join."""
+    ids = wanted.select(F.col(key).alias("_id")).distinct()
     ids = F.broadcast(ids) if wanted.count() <= SMALL else ids
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), how)
+    return docs.join(ids, docs[key].eqNullSafe(ids["_id"]), how)
 
 
-def join(docs: DataFrame, share: tuple[int, int] = SHARE, words: int = WORDS) -> DataFrame:
+def join(docs: DataFrame, share: tuple[int, int] = SHARE, words: int = WORDS, row: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links for each row of docs (doc_id, text).
 
     Null, empty and blank texts have no shingles and no links; their component is their own doc_id. Equal
     sets (copies) are one class from the start. doc_ids may repeat: each row counts; null ones stay null and
-    don't name a component unless no row of it has an id.
+    don't name a component unless no row of it has an id. row is a column (long) that names each row of docs: it is
+    kept then, and component, equal for the rows of one component and no others, is added (null without shingles).
 
     1. Each set is cut into segments by band (allocation) and sends a signature for each part that isn't empty.
     2. Pairs that share a signature are counted; a pair can only link if it shares as many as its counts exceed the
@@ -349,14 +350,15 @@ def join(docs: DataFrame, share: tuple[int, int] = SHARE, words: int = WORDS) ->
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text")
+    own, label_too = ([row], ["component"]) if row else ([], [])
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
             sets, at = shingle_sets(piece.column("text"), words)
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(np.diff(at).astype(np.int64)), pa.array(class_ids(sets, at))], names=["doc_id", "n_shingles", "cid"])
+            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in ["doc_id", *own]), pa.array(np.diff(at).astype(np.int64)), pa.array(class_ids(sets, at))], names=["doc_id", *own, "n_shingles", "cid"])
 
-    named = save(rows.mapInArrow(name, "doc_id long, n_shingles long, cid long"), "named")
+    named = save(docs.select("doc_id", "text", *own).mapInArrow(name, ", ".join(f"{c} long" for c in ["doc_id", *own, "n_shingles", "cid"])), "named")
     total = named.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).first()["n"]
     classes = save(named.filter("n_shingles > 1").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n")), "classes")
 
@@ -404,11 +406,12 @@ def join(docs: DataFrame, share: tuple[int, int] = SHARE, words: int = WORDS) ->
     known = classes.join(label, "cid", "left").join(links, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     known = save(known, "known")
     first = known.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    known = save(known.join(first, "component").select("cid", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "labels")
+    known = save(known.join(first, "component").select("cid", *label_too, "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "labels")
     single = named.filter("n_shingles = 1").groupBy("cid").agg(F.min("doc_id").alias("component_id"), (F.count(F.lit(1)) - 1).alias("n_links"))
+    single = single.withColumns({c: F.col("cid") for c in label_too})
     out = named.join(known.unionByName(single), "cid", "left")
     bare = F.col("n_shingles") == 0
-    return out.select("doc_id", "n_shingles", F.when(bare, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(bare, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"))
+    return out.select("doc_id", "n_shingles", F.when(bare, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(bare, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"), *own, *label_too)
 
 
 def differ_column(n: str, share: tuple[int, int], own: bool):

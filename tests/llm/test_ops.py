@@ -474,3 +474,16 @@ def test_pipeline_odd_rows(spark):
     assert got.columns == docs.columns
     assert sorted(str(r["doc_id"]) for r in got.collect()) == ["1", "None", "None"]
     assert p.language(spark, docs, SF).count() >= 0 and p.packed(spark, docs, SF).count() == 5
+
+
+def test_pipeline_removes_single_rows(spark):
+    """A copy without id takes no other rows without id along, and unlinked texts of one doc_id stay."""
+    import corpus_pipeline as p
+
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(20)) for k in "abcd")
+    rows = [(1, a), (5, a), (5, b), (9, b), (None, a), (None, c), (None, None), (7, c), (7, d), (7, d), (8, ""), (8, None), (9, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = Counter((r["doc_id"], r["text"]) for r in p.one_of_each(spark, docs, SF).collect())
+    assert got == Counter([(1, a), (5, b), (7, c), (7, d), (None, None), (8, None), (9, " ")])
+    docs = spark.createDataFrame([(1, a, "en", "s", 1), (None, a, "en", "s", 1), (None, c, "en", "s", 1), (None, d, "en", "s", 1)], docs.schema)
+    assert Counter(r["text"] for r in p.one_of_each(spark, docs, SF).collect()) == Counter([a, c, d])
