@@ -181,6 +181,30 @@ def test_vectors(spark):
     assert got == wanted
 
 
+def crowd(rng, n, planted, mutual):
+    """n vectors of one topic with about that mutual cosine; row n + i is at cosine 0.91 to row i."""
+    x = rng.standard_normal((n, 64))
+    x = np.sqrt(mutual) * np.eye(64)[0] + np.sqrt(1 - mutual) * x / np.linalg.norm(x, axis=1, keepdims=True)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off = rng.standard_normal((planted, 64))
+    off -= (off * x[:planted]).sum(1, keepdims=True) * x[:planted]
+    return np.concatenate([x, 0.91 * x[:planted] + np.sqrt(1 - 0.91**2) * off / np.linalg.norm(off, axis=1, keepdims=True)])
+
+
+def test_vectors_of_one_topic_are_found(spark):
+    x = crowd(np.random.default_rng(9), 20_000, 500, 0.7)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(x.astype(np.float32).tolist(), pa.list_(pa.float32()))}))
+    got = {r["vec_id"]: r["component_id"] for r in neardup_vectors.link(df).collect()}
+    assert sum(got[i] == got[20_000 + i] for i in range(500)) >= 495
+
+
+def test_passes_grow_with_the_table():
+    x = crowd(np.random.default_rng(10), 8000, 0, 0.0)
+    passes = [neardup_vectors.enough(x, n) for n in (8000, 400_000, 1_600_000)]
+    assert passes[0] == neardup_vectors.PASSES < passes[1] < passes[2] < 200
+    assert neardup_vectors.enough(crowd(np.random.default_rng(10), 8000, 0, 0.7), 400_000) > passes[1]
+
+
 # 5
 
 
