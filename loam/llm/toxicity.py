@@ -16,10 +16,8 @@ from loam.llm.common import crc_mod, lowest, ragged, table, with_columns
 
 #: Labelled documents that are learned from, at most, by label.
 EXAMPLES = {0: 4000, 1: 2000}
-#: Terms of the model, at most, and the least likelihood ratio (G²) of a term's link with the label: about one chance in 30,000.
-TERMS, LEAST_LINK = 1024, 17.0
-#: ... and the least share of the strongest term's ratio.
-SHARE_OF_BEST = 0.04
+#: The least likelihood ratio (G²) of a term's link with the label: about one chance in 30,000. All such terms are the model's.
+LEAST_LINK = 17.0
 #: A term is a word or its first so many letters, so that inflected forms meet.
 PREFIXES = (4, 5, 6)
 NEIGHBOURS = 15
@@ -164,7 +162,7 @@ def train(ids: list[int], texts: list[str], labels: list[int], counts: dict[int,
     if names and 0 < y.sum() < len(y):
         c, a = np.array([n[t] for t in names], float), np.array([toxic[t] for t in names], float)
         g = link(a, c, sum(f[0] for f in families), len(families))
-        order = sorted(np.flatnonzero(g > max(LEAST_LINK, SHARE_OF_BEST * g.max())), key=lambda i: (-g[i], names[i]))[:TERMS]
+        order = sorted(np.flatnonzero(g > LEAST_LINK), key=lambda i: (-g[i], names[i]))
         chosen = [names[i] for i in order]
     terms = {t: i for i, t in enumerate(chosen)}
     idf = np.log((1 + len(y)) / (1 + np.array([n[t] for t in chosen], float))) + 1
@@ -240,7 +238,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     Texts without any term of the model (empty and null ones too) get the toxic share of such examples.
     """
     names = {i: t for t, i in model.terms.items()}
-    sent = docs.sparkSession.sparkContext.broadcast((model, names))  # bounded by EXAMPLES and TERMS
+    sent = docs.sparkSession.sparkContext.broadcast((model, names))  # bounded by EXAMPLES
 
     def work(texts: pa.Array) -> list[pa.Array]:
         own, said = sent.value

@@ -453,6 +453,19 @@ def test_toxicity(spark):
     assert got[301]["evidence"]
 
 
+def test_rare_toxic_words_are_terms():
+    """A word's link is held against chance, not against the strongest term's, and terms have no greatest number."""
+    rng = random.Random(11)
+    plain = lambda: " ".join(f"x{rng.randrange(60)}" for _ in range(20))
+    texts = [plain() + " moron" for _ in range(142)] + [plain() + " scumbag" for _ in range(8)] + [plain() for _ in range(750)]
+    labels = [1] * 150 + [0] * 750
+    model = toxicity.train(list(range(900)), texts, labels, {0: 750, 1: 150})
+    assert "moron" in model.terms and "scumbag" in model.terms
+    assert model.score("scumbag x1 x2")[0] > 0.5
+    many = [" ".join(f"q{chr(97 + i // 26)}{chr(97 + i % 26)}{chr(97 + k)}" for i in range(600) for k in range(2)) if j % 2 else plain() for j in range(60)]
+    assert set(many[1].split()) <= set(toxicity.train(list(range(60)), many, [j % 2 for j in range(60)], {0: 30, 1: 30}).terms)
+
+
 def test_toxicity_one_label(spark):
     docs = frame(spark, ["a b", "c"])
     model = toxicity.fit(docs, spark.createDataFrame([(0, 0)], "doc_id long, toxic int"))
