@@ -457,7 +457,7 @@ def test_rare_toxic_words_are_terms():
     """A word's link is held against chance, not against the strongest term's, and terms have no greatest number."""
     rng = random.Random(11)
     plain = lambda: " ".join(f"x{rng.randrange(60)}" for _ in range(20))
-    texts = [plain() + " moron" for _ in range(142)] + [plain() + " scumbag" for _ in range(8)] + [plain() for _ in range(750)]
+    texts = [plain() + " moron" for _ in range(144)] + [plain() + " scumbag" for _ in range(6)] + [plain() for _ in range(750)]
     labels = [1] * 150 + [0] * 750
     model = toxicity.train(list(range(900)), texts, labels, {0: 750, 1: 150})
     assert "moron" in model.terms and "scumbag" in model.terms
