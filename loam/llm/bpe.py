@@ -11,10 +11,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from loam.llm.common import pieces, ragged, table
-from loam.llm.encoding import UNSAFE, vocabulary_path
+from loam.llm.encoding import vocabulary_path
 
 #: The published pre-token pattern of this kind of vocabulary (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A space after other white space, or a special token's text: such texts are one unit.
+UNSAFE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}] |<\|endoftext\|>"
 #: Bits of one id in a pair's key.
 BITS = 20
 REMEMBERED = 300_000
@@ -215,7 +217,10 @@ def decode_tokens(tokens: DataFrame, vocabulary: str | None = None) -> DataFrame
 
 
 def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """Encode and decode docs in one pass; only counts and digests leave the worker."""
+    """Encode and decode docs (doc_id, text) in one pass; only counts and digests leave the worker.
+
+    Null and empty texts have no ids and the digests of empty strings; repeated rows stay; other columns are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import sha256
@@ -232,4 +237,5 @@ def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
 
 def op6_batched_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of ids and decoded texts of all documents; null is empty, one row for each row, no shuffle."""
     return digests(table(spark, sf_dir, "documents", "doc_id", "text"))

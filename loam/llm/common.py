@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -31,9 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where the cluster names none (tests), an own temporary one."""
+    """The folder of spark.checkpoint.dir. Where it is unset, a local master (tests) gets a temporary one; a cluster, whose machines share no such folder, an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         made = getattr(shared_dir, "made", None)
         if made is None:
             made = shared_dir.made = tempfile.mkdtemp(prefix="loam-")
@@ -94,6 +97,15 @@ def row_place() -> tuple[Column, Column]:
     return F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long"), F.col("_metadata.row_index")
 
 
+def placed(df: DataFrame, *columns: str) -> DataFrame:
+    """columns of df with _file and _row, which name each row on any retry: its place in the files that df is read from; else df is written once to have places."""
+    named = lambda rows: rows.select(*columns, F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    try:
+        return named(df)
+    except AnalysisException:
+        return named(save(df.select(*columns), "placed"))
+
+
 def exact_ranks(saved: DataFrame, key: list[str], rank: str = "rank", order: Column | None = None) -> DataFrame:
     """Number the rows of each key from 0 without gaps, in the order of files and, within chunks, of order (else of rows).
 
@@ -142,18 +154,20 @@ def crc_mod(column: str, n: int) -> Column:
 def lowest(df: DataFrame, group: Column | None, most: int, order: Column, columns: list[str]) -> list[Row]:
     """Of each group (null groups are left out) the rows with the lowest values of a hash (order), at most `most`: a bounded sample for the driver.
 
-    Counts come first; then only rows under a threshold for their group leave the executors, and they are cut to the bound here.
+    Rows of equal hash, which repeat each other, count once. The distinct hashes of a group are estimated first; then only
+    rows under a threshold leave the scan, equal ones become one before they leave the executors, and the bound is cut here.
     """
     at = (group if group is not None else F.lit("all")).cast("string").alias("_group")
     unit = ((order.bitwiseAND(F.lit((1 << 52) - 1))) / F.lit(float(1 << 52))).alias("_unit")
-    n = {r["_group"]: r["n"] for r in df.select(at).filter(F.col("_group").isNotNull()).groupBy("_group").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = {r["_group"]: r["n"] for r in df.select(at, unit).filter(F.col("_group").isNotNull()).groupBy("_group").agg(F.approx_count_distinct("_unit", 0.02).alias("n")).collect()}
     if not n:
         return []
     share = F.lit(0.0)
     for g, c in n.items():
-        share = F.when(F.col("_group") == g, min(1.0, (most + 4 * most**0.5) / c)).otherwise(share)
-    rows = df.select(*columns, at, unit).filter(F.col("_unit") <= share).collect()
-    rows.sort(key=lambda r: (r["_group"], r["_unit"], *(str(r[c]) for c in columns)))
+        share = F.when(F.col("_group") == g, min(1.0, 1.1 * (most + 4 * most**0.5) / max(c, 1))).otherwise(share)
+    few = df.select(*columns, at, unit).filter(F.col("_unit") <= share).groupBy("_group", "_unit").agg(F.min(F.struct(*columns)).alias("_row"))
+    rows = few.select("_group", "_unit", "_row.*").collect()
+    rows.sort(key=lambda r: (r["_group"], r["_unit"]))
     out, seen = [], {}
     for r in rows:
         seen[r["_group"]] = seen.get(r["_group"], 0) + 1

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loam.llm.common import save, shared_dir, table
+from loam.llm.common import placed, save, shared_dir, table
 from loam.llm.encoding import encoded
 
 END = 0
@@ -33,15 +33,17 @@ SCHEMA = "doc_id long, part int, local_start long, n_tokens int, tokens array<in
 def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, partitions: int | None = None) -> None:
     """Encode docs (doc_id, text) and write their ids, each ending with END, to Parquet files in ascending doc_id order.
 
-    Texts, which are smaller than their ids, are range-partitioned by (doc_id, hash of the text), so that even
-    one doc_id with a third of all rows is split; each task then encodes its range and writes one file.
-    Null texts are empty, null doc_ids come first, repeated rows stay. Other columns are left out. A
-    row also holds its place: ``part`` (the file) and ``local_start`` (ids before it in the file).
+    Texts are range-partitioned by (doc_id, place of the row), so that even one doc_id with a third of all rows
+    is split, equal rows too; each task then encodes its range and writes one file. If docs is a table of files,
+    the place is the row's in its file, and the ranges are found without reading a text; else docs is
+    written once to have places. Null texts are empty, null doc_ids come first, repeated rows stay. Other columns
+    are left out, whatever their names. A row also holds its place: ``part`` (the file) and ``local_start`` (ids
+    before it in the file).
     """
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    mark = F.xxhash64("text")
-    ranged = docs.select("doc_id", "text").repartitionByRange(n, F.col("doc_id"), mark).sortWithinPartitions("doc_id", mark)
+    order = ["doc_id", "_row", "_file"]
+    ranged = placed(docs, "doc_id", "text").repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -90,6 +92,7 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op1_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, written to files and read back. Null and empty texts are the end id alone; repeated rows are rows of their own, in a stable order; other columns are left out."""
     path = f"{shared_dir(spark)}/loam-{uuid.uuid4().hex}/tokens"
     write_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), path)
     return digest(spark, path)
