@@ -22,6 +22,8 @@ WORDS = 5
 SHARE = (75, 100)
 #: A signature with more sets is dropped, and its sets count a segment less (sets that fall short get another way).
 LONGEST = 32
+#: Sets of one signature that a sender passes on one by one to be chained; of more it sends the ends of size classes.
+CHAINED = 8
 #: Signatures that a reducer sorts at once, and sets of a tile whose pairs are verified together.
 SORTED, TILE = 1_500_000, 192
 #: Buckets of signatures, at least; more for more than SORTED in each.
@@ -159,17 +161,77 @@ def signatures(sets: np.ndarray, at: np.ndarray, share: tuple[int, int] = SHARE)
     return out
 
 
-SENT = "bucket int, cid long, n int, band int, units int, sigs binary"
+SENT = "bucket int, cid long, n int, band int, units int, sigs binary, other long"
 
 
-def send(docs: DataFrame, buckets: int, share: tuple[int, int], words: int, tokens_too: bool = False) -> DataFrame:
+def distinct(sig: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures in order, with their sets; a set's repeats once."""
+    order = np.lexsort((who, sig))
+    sig, who = sig[order], who[order]
+    keep = np.ones(len(sig), bool)
+    keep[1:] = (sig[1:] != sig[:-1]) | (who[1:] != who[:-1])
+    return sig[keep], who[keep]
+
+
+def without_long(sig: np.ndarray, who: np.ndarray, units: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Leave out signatures that are known to be long (sorted), and deduct them from their sets' counts here.
+
+    A signature with over LONGEST sets among these is long wherever else it occurs: LONGEST + 1 of them still send
+    it, so that its bucket sees that it is and deducts it from all others that do. Gives the rest, the counts and the long ones.
+    """
+    ordered = np.sort(sig)
+    head, many = runs(ordered)
+    often = ordered[head[many > LONGEST]]
+    mask = np.isin(sig, np.union1d(long, often)) if len(long) or len(often) else np.zeros(len(sig), bool)
+    if not mask.any():
+        return sig, who, units, long
+    s, w = distinct(sig[mask], who[mask])
+    head, many = runs(s)
+    known = np.isin(s, long)
+    place, size = np.arange(len(s)) - np.repeat(head, many), np.repeat(many, many)
+    gone = known | ((size > LONGEST) & (place > LONGEST))
+    units = units.copy()
+    np.subtract.at(units, w[gone], 1 + (s[gone] & U(1)).astype(np.int64))
+    return np.concatenate([sig[~mask], s[~gone]]), np.concatenate([who[~mask], w[~gone]]), units, np.union1d(long, s[head[(many > LONGEST) & ~known[head]]])
+
+
+def linked_here(sig: np.ndarray, who: np.ndarray, n: np.ndarray, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Chain the sets (of sizes n) of each signature with over CHAINED sets here, and leave only the smallest and the largest of each size class to be sent.
+
+    Classes are so narrow that all sizes of one fit each other, and a signature's chain over all senders' ends has the
+    same components as one over all its sets. Gives the rest of (signature, set), and a forest of the links.
+    """
+    order = np.lexsort((who, n[who], sig))
+    sig, who = sig[order], who[order]
+    head, many = runs(sig)
+    busy = np.repeat(many > CHAINED, many)
+    size = n[who]
+    next_ = busy[1:] & (sig[1:] == sig[:-1]) & (share[1] * size[:-1] >= share[0] * size[1:]) & (who[1:] != who[:-1])
+    kind = np.floor(np.log(np.maximum(size, 1)) / math.log(share[1] / share[0]) - 1e-9).astype(np.int64)
+    edge = np.ones(len(sig) + 1, bool)
+    edge[1:-1] = (sig[1:] != sig[:-1]) | (kind[1:] != kind[:-1])
+    keep = ~busy | edge[:-1] | edge[1:]
+    a, b = forest(who[:-1][next_], who[1:][next_])
+    return sig[keep], who[keep], a, b
+
+
+def send(docs: DataFrame, buckets: int, share: tuple[int, int], words: int, again: bool = False) -> DataFrame:
     """Signatures of the texts of docs (text), a row for each set, band and bucket; equal sets of a slice once.
 
-    tokens_too: sets that even all their segments don't make safe also send each shingle as a segment of its own (band -1).
+    A task that meets a long signature sends it for LONGEST + 1 sets and deducts it from the others. again, for the
+    second round: signatures of any length; sets that even all their segments don't make safe also send each shingle as a
+    segment of its own (band -1); a signature with many sets here is chained here, and rows with other instead
+    of sigs are links.
     """
     shift = U(64 - (buckets.bit_length() - 1))
 
+    def batch(bucket: np.ndarray, cid: np.ndarray, n: np.ndarray, band: int, units: np.ndarray, sig: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+        blob = pa.Array.from_buffers(pa.binary(), len(cid), [None, pa.py_buffer((offsets * 8).astype(np.int32).tobytes()), pa.py_buffer(sig.tobytes())])
+        columns = [pa.array(bucket.astype(np.int32)), pa.array(cid), pa.array(n.astype(np.int32)), pa.array(np.full(len(cid), band, np.int32)), pa.array(units.astype(np.int32)), blob, pa.nulls(len(cid), pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=NAMES)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        long: dict[int, np.ndarray] = {}
         for piece in pieces(batches):
             sets, at = shingle_sets(piece.column("text"), words)
             cid = class_ids(sets, at)
@@ -181,33 +243,44 @@ def send(docs: DataFrame, buckets: int, share: tuple[int, int], words: int, toke
                 at, cid = np.concatenate([[0], ends]), cid[first]
             n = np.diff(at)
             parts = signatures(sets, at, share)
-            if tokens_too:
+            if again:
                 lacking = sorted({int(i) for band, rows, units, _, _ in parts for i, u in zip(rows, units) if u < required(int(n[i]), band, share)})
                 if lacking:
                     rows = np.array(lacking)
                     parts.append((-1, rows, n[rows], np.concatenate([mix(sets[at[i] : at[i + 1]], 9) & ~U(1) for i in lacking]), np.repeat(np.arange(len(rows)), n[rows])))
             for band, rows, units, sig, who in parts:
+                if again:
+                    sig, who = distinct(sig, who)
+                    sig, who, a, b = linked_here(sig, who, n[rows], share)
+                    if len(a):
+                        none = lambda kind: pa.nulls(len(a), kind)  # noqa: B023, E731
+                        yield pa.RecordBatch.from_arrays([pa.array(a % buckets, pa.int32()), pa.array(cid[rows[a]]), none(pa.int32()), none(pa.int32()), none(pa.int32()), none(pa.binary()), pa.array(cid[rows[b]])], names=NAMES)
+                else:
+                    sig, who, units, long[band] = without_long(sig, who, units, long.get(band, np.zeros(0, U)))
+                    bare = np.setdiff1d(np.arange(len(rows)), who)  # all deducted: the set itself must be told
+                    if len(bare):
+                        yield batch(cid[rows[bare]] & (buckets - 1), cid[rows[bare]], n[rows[bare]], band, units[bare], np.zeros(0, U), np.zeros(len(bare) + 1, np.int64))
                 bucket = (sig >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(sig), np.int64)
                 order = np.lexsort((sig, bucket, who)) if buckets > 1 else np.lexsort((sig, who))
                 sig, key = sig[order], who[order] * buckets + bucket[order]
                 head = np.flatnonzero(np.diff(key, prepend=-1))
-                offsets = np.concatenate([head, [len(sig)]]) * 8
                 own = rows[key[head] // buckets]
-                blob = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(sig.tobytes())])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((key[head] % buckets).astype(np.int32)), pa.array(cid[own]), pa.array(n[own].astype(np.int32)), pa.array(np.full(len(head), band, np.int32)), pa.array(units[key[head] // buckets].astype(np.int32)), blob],
-                    names=["bucket", "cid", "n", "band", "units", "sigs"],
-                )
+                yield batch(key[head] % buckets, cid[own], n[own], band, units[key[head] // buckets], sig, np.append(head, len(sig)))
 
     return docs.select("text").mapInArrow(run, SENT)
 
 
+NAMES = ["bucket", "cid", "n", "band", "units", "sigs", "other"]
+
+
 def met(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     """A bucket's signatures in order, without repeats: signature, place of its set among the distinct ones, and these sets' ids, sizes, bands and counts."""
     cid, n, band, units = (batch.column(c).to_numpy() for c in ("cid", "n", "band", "units"))
     sigs = batch.column("sigs")
+    if not len(sigs):
+        return np.zeros(0, U), np.zeros(0, np.int64), cid, n, band, units
     offsets = np.frombuffer(sigs.buffers()[1], np.int32)[sigs.offset : sigs.offset + len(sigs) + 1]
-    flat = np.frombuffer(sigs.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(U)
+    flat = np.frombuffer(sigs.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(U) if offsets[-1] > offsets[0] else np.zeros(0, U)
     key = np.rec.fromarrays([cid, band])
     distinct, first, back = np.unique(key, return_index=True, return_inverse=True)
     del distinct
@@ -275,11 +348,12 @@ def meet(batches: Iterator[pa.RecordBatch], share: tuple[int, int]) -> Iterator[
 def chain(batches: Iterator[pa.RecordBatch], share: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     """Edges that join all sets of a signature, in order of size, where sizes allow a link; any number of sets. A bucket sends a forest of them."""
     for batch in whole_groups(batches, "bucket"):
-        sig, who, cid, n, _, _ = met(batch)
+        links = batch.filter(batch.column("sigs").is_null())
+        sig, who, cid, n, _, _ = met(batch.filter(batch.column("sigs").is_valid()))
         order = np.lexsort((who, n[who], sig))
         sig, who = sig[order], who[order]
         next_ = (sig[1:] == sig[:-1]) & (share[1] * n[who[:-1]] >= share[0] * n[who[1:]]) & (who[1:] != who[:-1])
-        x, y = forest(cid[who[:-1][next_]], cid[who[1:][next_]])
+        x, y = forest(np.concatenate([links.column("cid").to_numpy(), cid[who[:-1][next_]]]), np.concatenate([links.column("other").to_numpy(), cid[who[1:][next_]]]))
         yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
 
@@ -365,10 +439,12 @@ def join(docs: DataFrame, share: tuple[int, int] = SHARE, words: int = WORDS, ro
     def buckets(shingles: int, least: int) -> int:
         return 1 << min(20, math.ceil(math.log2(max(least, 2 * shingles // (3 * SORTED)))))
 
-    def dealt(sent: DataFrame) -> DataFrame:
-        return sent.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    def dealt(sent: DataFrame, n: int) -> DataFrame:
+        """Buckets in order, evenly over the partitions: each is known to hold its share of the hashes."""
+        return sent.repartitionById(parts, F.floor(F.col("bucket") * F.lit(parts) / F.lit(n)).cast("int")).sortWithinPartitions("bucket")
 
-    found = save(dealt(send(rows, buckets(total, BUCKETS), share, words)).mapInArrow(lambda it: meet(it, share), FOUND), "found")
+    n = buckets(total, BUCKETS)
+    found = save(dealt(send(rows, n, share, words), n).mapInArrow(lambda it: meet(it, share), FOUND), "found")
     worn = found.filter("b is null").groupBy(F.col("a").alias("cid"), "band").agg(F.sum("lost").alias("lost"), F.max("n_a").alias("n"), F.max("units_a").alias("units"))
     worn = save(worn, "worn")
     limit = F.when(F.shiftright("n", 1) < F.expr("shiftleft(1L, band)"), differ_column("n", share, True)).otherwise(differ_column("n", share, False)) + 1
@@ -384,8 +460,9 @@ def join(docs: DataFrame, share: tuple[int, int] = SHARE, words: int = WORDS, ro
 
     unsafe = save(unsafe.join(classes, "cid").select("doc_id", "n"), "unsafe_docs")
     total = unsafe.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    second = send(of_docs(rows, unsafe), buckets(total, BUCKETS_AGAIN), share, words, tokens_too=True)
-    edges = save(edges.unionByName(dealt(second).mapInArrow(lambda it: chain(it, share), "a long, b long")), "candidates")
+    n = buckets(total, BUCKETS_AGAIN)
+    second = send(of_docs(rows, unsafe), n, share, words, again=True)
+    edges = save(edges.unionByName(dealt(second, n).mapInArrow(lambda it: chain(it, share), "a long, b long")), "candidates")
     member = save(components(edges).select(F.col("node").alias("cid"), "component").join(classes, "cid"), "member")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,11 +471,19 @@ def join(docs: DataFrame, share: tuple[int, int] = SHARE, words: int = WORDS, ro
             yield pa.RecordBatch.from_arrays([pa.array(class_ids(sets, at)), pa.array([sets[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], names=["cid", "shingles"])
 
     shingles = of_docs(rows, member).mapInArrow(whole, "cid long, shingles binary").groupBy("cid").agg(F.first("shingles").alias("shingles"))
-    ranked = exact_ranks(member, ["component"], "_rank").withColumn("tile", F.floor(F.col("_rank") / TILE).cast("long"))
-    last = save(member.groupBy("component").agg(F.floor((F.count(F.lit(1)) - 1) / TILE).cast("long").alias("last")), "last")
-    tiled = save(ranked.join(last, "component").join(shingles, "cid"), "tiled").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
-    low, high = F.least("tile", "other"), F.greatest("tile", "other")
-    tiled = tiled.select("cid", "copies", "shingles", F.xxhash64("component", low, high).alias("task"), F.when(F.col("tile") == low, 0).otherwise(1).alias("side"))
+    # linked sets are of one size class or of two that are next to each other
+    member = member.withColumn("kind", F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(share[1] / share[0])) - F.lit(1e-9)).cast("int"))
+    ranked = exact_ranks(save(member, "kinds"), ["component", "kind"], "_rank").withColumn("tile", F.floor(F.col("_rank") / TILE).cast("long"))
+    last = save(member.groupBy("component", "kind").agg(F.floor((F.count(F.lit(1)) - 1) / TILE).cast("long").alias("last")), "last")
+    lasts = last.select("component", F.create_map("kind", "last").alias("m")).groupBy("component").agg(F.map_from_entries(F.array_distinct(F.flatten(F.collect_list(F.map_entries("m"))))).alias("lasts"))  # an entry a size class
+    both = ranked.join(lasts, "component")
+    end = lambda kind: F.coalesce(F.try_element_at("lasts", kind), F.lit(-1).cast("long"))
+    upto = lambda kind, side: F.when(end(kind) >= 0, F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(end(kind), F.lit(0).cast("long"))), lambda t: F.struct(kind.alias("k"), t.alias("t"), side(t).alias("side")))).otherwise(F.array())
+    kind, tile = F.col("kind"), F.col("tile")
+    pairs_of = F.flatten(F.array(upto(kind, lambda t: F.when(tile > t, 1).otherwise(0)), upto(kind + 1, lambda t: F.lit(0)), upto(kind - 1, lambda t: F.lit(1))))
+    tiled = save(both.join(shingles, "cid"), "tiled").withColumn("o", F.explode(pairs_of))
+    mine, its = F.struct(kind.alias("k"), tile.alias("t")), F.struct(F.col("o.k").alias("k"), F.col("o.t").alias("t"))
+    tiled = tiled.select("cid", "copies", "shingles", F.xxhash64("component", F.least(mine, its), F.greatest(mine, its)).alias("task"), F.col("o.side").alias("side"))
     checked = save(tiled.repartition(parts, "task").sortWithinPartitions("task", "side").mapInArrow(lambda it: verify(it, share), "a long, b long, links long"), "checked")
 
     label = components(checked.filter("b is not null").select("a", "b")).select(F.col("node").alias("cid"), "component")
