@@ -87,12 +87,6 @@ def word_set(c: Column) -> Column:
     return F.array_distinct(words(c))
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    """Of two arrays of distinct words; 0 if either is empty."""
-    both = F.size(F.array_intersect(a, b)).cast("double")
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(both / (F.size(a) + F.size(b) - both))
-
-
 def repetitive(c: Column) -> Column:
     """Five equal characters in a row, other than space, tab and line feed, that something follows; in texts of ten at least."""
     return (F.length(c) >= 10) & c.rlike(r"(?s)([^ \n\t])\1{4}.")

@@ -16,9 +16,13 @@ def starts(length: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     return F.sequence(F.lit(0), (last * step).cast("int"), F.lit(step))
 
 
+def long_enough(text: Column, least: int = LEAST) -> Column:
+    return F.length(strip(text)) >= least
+
+
 def chunks(df: DataFrame, text: str, size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
     """A row for each window of size characters, overlap apart from the next, of texts of at least `least` characters. All columns but text stay."""
-    rows = df.filter(F.length(strip(F.col(text))) >= least).withColumn("_n", F.length(text))
+    rows = df.filter(long_enough(F.col(text), least)).withColumn("_n", F.length(text))
     rows = rows.select("*", F.posexplode(starts(F.col("_n"), size, overlap)).alias("chunk_no", "chunk_start"))
     return rows.withColumns({"chunk_end": F.least(F.col("chunk_start") + size, F.col("_n")), "document": F.substring(F.col(text), F.col("chunk_start") + 1, F.lit(size))}).drop("_n", text)
 

@@ -9,11 +9,18 @@ from loam.functions.text import word_set
 from loam.operators.scratch import written
 
 
-def exact(df: DataFrame, value: Column, order: str) -> DataFrame:
-    """Column is_dup: an earlier row has the same value. A map-side minimum finds each value's first row; no window holds a value's rows."""
-    keyed = df.withColumn("_h", F.md5(value.cast("binary")))
-    first = keyed.groupBy("_h").agg(F.min(order).alias("_first"))
-    return keyed.join(first, keyed["_h"].eqNullSafe(first["_h"])).select(*df.columns, (F.col(order) > F.col("_first")).alias("is_dup"))
+def exact(df: DataFrame, value: Column, order: str, among: Column | None = None) -> DataFrame:
+    """Column is_dup: an earlier row has the same value (nulls are equal). A map-side minimum finds each value's first row; no window holds a value's rows.
+
+    order should name each row: rows that share a value's least order are all first. among: only rows where it
+    is true take part, the others are no duplicates.
+    """
+    keyed = df.withColumn("__loam_h", F.md5(F.coalesce(F.concat(F.lit("="), value), F.lit("null")).cast("binary")))
+    if among is not None:
+        keyed = keyed.withColumn("__loam_h", F.when(among, F.col("__loam_h")))
+    first = keyed.filter(F.col("__loam_h").isNotNull()).groupBy("__loam_h").agg(F.min(order).alias("__loam_first"))
+    dup = F.coalesce(F.col(order) > F.col("__loam_first"), F.lit(False))
+    return keyed.join(first, "__loam_h", "inner" if among is None else "left").select(*df.columns, dup.alias("is_dup"))
 
 
 def keep_first(df: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -29,46 +36,68 @@ def longest(df: DataFrame, key: list[str], text: str, order: str) -> DataFrame:
     return got.select(*key, "_x.*", "first_seen").select(*df.columns, "first_seen")
 
 
-def near_pairs(df: DataFrame, key: Column, order: str, above: tuple[int, int] = (19, 20)) -> DataFrame:
-    """Pairs (a, b: orders, a < b) of distinct word sets with Jaccard above 19/20, and the leader of each row.
+def near_sets(df: DataFrame, key: Column, order: str, above: tuple[int, int] = (19, 20)) -> tuple[DataFrame, DataFrame]:
+    """Distinct word sets (k: a digest of the words, lead: the least order of their rows, w) and pairs (ka, kb, a, b, similarity; lead a before lead b) with Jaccard above 19/20.
 
-    Gives (leaders, pairs): rows with the same set share the least order as leader; pairs are between leaders.
-    Exact prefix filter: a pair shares a word among each side's rarest n - (floor(19 n / 20) + 1) + 1 words.
+    Rows without words are in no set. Exact prefix filter: a pair shares a word among each side's rarest
+    n - (floor(19 n / 20) + 1) + 1 words. Digests, not words, are grouped and joined.
     """
     num, den = above
-    rows = df.select(F.col(order).alias("o"), F.array_sort(word_set(key)).alias("w"))
-    leaders = rows.groupBy("w").agg(F.min("o").alias("lead"))
-    sets = written(leaders.filter(F.size("w") > 0))
-    rows = rows.join(leaders, "w").select("o", "lead")
-    df_ = sets.select(F.explode("w").alias("t")).groupBy("t").count()
-    tokens = sets.select("lead", F.size("w").alias("n"), F.explode("w").alias("t")).filter(F.col("n") >= den).join(df_, "t")
-    ranked = tokens.groupBy("lead", "n").agg(F.array_sort(F.collect_list(F.struct("count", "t"))).alias("p"))
-    short = written(ranked.select("lead", "n", F.explode(F.slice("p", F.lit(1), F.col("n") - F.floor(F.col("n") * num / den).cast("int"))).alias("x")).select("lead", "n", "x.t"))
+    rows = df.select(F.col(order).alias("o"), words_of(key).alias("w")).filter(F.size("w") > 0).withColumn("k", digest(F.col("w")))
+    sets = written(rows.groupBy("k").agg(F.min("o").alias("lead"), F.first("w").alias("w")))
+    counts = sets.select(F.explode("w").alias("t")).groupBy("t").count()
+    tokens = sets.select("k", "lead", F.size("w").alias("n"), F.explode("w").alias("t")).filter(F.col("n") >= den).join(counts, "t")
+    ranked = tokens.groupBy("k", "lead", "n").agg(F.array_sort(F.collect_list(F.struct("count", "t"))).alias("p"))
+    short = written(ranked.select("k", "lead", "n", F.posexplode(F.slice("p", F.lit(1), F.col("n") - F.floor(F.col("n") * num / den).cast("int"))).alias("pos", "x")).select("k", "lead", "n", "pos", F.xxhash64("x.t").alias("t")))
     a, b = short.alias("a"), short.alias("b")
-    met = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.lead") < F.col("b.lead")) & (den * F.least("a.n", "b.n") > num * F.greatest("a.n", "b.n")))
-    met = met.select(F.col("a.lead").alias("a"), F.col("b.lead").alias("b")).distinct()
-    full = met.join(sets.select(F.col("lead").alias("a"), F.col("w").alias("wa")), "a").join(sets.select(F.col("lead").alias("b"), F.col("w").alias("wb")), "b")
+    earlier = F.struct("a.lead", "a.k") < F.struct("b.lead", "b.k")
+    # words after both places can still be shared: with too few of them the pair can't reach the share
+    rest = 1 + F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) - 1 + F.least("a.pos", "b.pos")
+    enough = (den + num) * rest > num * (F.col("a.n") + F.col("b.n"))
+    met = a.join(b, (F.col("a.t") == F.col("b.t")) & earlier & (den * F.least("a.n", "b.n") > num * F.greatest("a.n", "b.n")) & enough)
+    met = met.select(F.col("a.k").alias("ka"), F.col("b.k").alias("kb")).distinct()
+    side = lambda x: sets.select(F.col("k").alias(f"k{x}"), F.col("lead").alias(x), F.col("w").alias(f"w{x}"))
+    full = met.join(side("a"), "ka").join(side("b"), "kb")
     both = F.size(F.array_intersect("wa", "wb"))
     hit = full.filter(den * both > num * (F.size("wa") + F.size("wb") - both))
-    return rows, hit.select("a", "b", (both.cast("double") / (F.size("wa") + F.size("wb") - both)).alias("similarity"))
+    return sets, hit.select("ka", "kb", "a", "b", (both.cast("double") / (F.size("wa") + F.size("wb") - both)).alias("similarity"))
+
+
+def words_of(key: Column) -> Column:
+    return F.coalesce(F.array_sort(word_set(key)), F.array().cast("array<string>"))
+
+
+def digest(words: Column) -> Column:
+    """Of a set of words, which hold no white space."""
+    return F.md5(F.array_join(words, " ").cast("binary"))
+
+
+def near_pairs(df: DataFrame, key: Column, order: str, above: tuple[int, int] = (19, 20)) -> DataFrame:
+    """Pairs (a, b: least orders of distinct word sets, a < b) with Jaccard above 19/20, and their similarity."""
+    return near_sets(df, key, order, above)[1].select("a", "b", "similarity")
 
 
-def near(df: DataFrame, key: Column, order: str) -> DataFrame:
+def near(df: DataFrame, key: Column, order: str, among: Column | None = None) -> DataFrame:
     """Column is_dup: the row has an earlier kept row with Jaccard above 0.95, or the same words as any earlier row.
 
-    Greedy in order: a row stays unless an earlier kept one is near. In rounds: rows without undecided earlier
-    neighbours stay, and their later neighbours go. Rounds end when nothing is undecided.
+    Greedy in order: a row stays unless an earlier kept one is near. Null and blank keys have no words and are
+    near to nothing, so such rows stay. Every row comes back once; rows that share the least order of a word set
+    all count as its first. In rounds: sets without undecided earlier neighbours stay, and their later neighbours
+    go. Rounds end when nothing is undecided. among: only rows where it is true take part, the others are no duplicates.
     """
-    rows, pairs = near_pairs(df, key, order)
-    rows, edges = written(rows), written(pairs.select("a", "b"))
-    gone = written(rows.select(F.col("lead").alias("v")).limit(0))
+    sets, pairs = near_sets(df if among is None else df.filter(among), key, order)
+    edges = written(pairs.select("ka", "kb"))
+    gone = written(sets.select(F.col("k").alias("v")).limit(0))
     while True:
-        waits = edges.select(F.col("b").alias("v")).distinct()
-        stay = edges.select(F.col("a").alias("v")).distinct().join(waits, "v", "left_anti")
-        new = written(edges.join(stay, edges["a"] == stay["v"], "left_semi").select(F.col("b").alias("v")).distinct())
+        waits = edges.select(F.col("kb").alias("v")).distinct()
+        stay = edges.select(F.col("ka").alias("v")).distinct().join(waits, "v", "left_anti")
+        new = written(edges.join(stay, edges["ka"] == stay["v"], "left_semi").select(F.col("kb").alias("v")).distinct())
         if not new.take(1):
             break
         gone = written(gone.unionByName(new))
-        edges = written(edges.join(new, edges["a"] == new["v"], "left_anti").join(new, edges["b"] == new["v"], "left_anti"))
-    flags = rows.join(gone.withColumn("_gone", F.lit(True)), rows["lead"] == gone["v"], "left").select(F.col("o").alias("_o"), (F.col("_gone").isNotNull() | (F.col("o") != F.col("lead"))).alias("is_dup"))
-    return df.join(flags, df[order] == flags["_o"]).drop("_o")
+        edges = written(edges.join(new, edges["ka"] == new["v"], "left_anti").join(new, edges["kb"] == new["v"], "left_anti"))
+    known = sets.join(gone.withColumn("__loam_gone", F.lit(True)), sets["k"] == gone["v"], "left").select(F.col("k").alias("__loam_k"), F.col("lead").alias("__loam_lead"), F.col("__loam_gone"))
+    words = words_of(key)
+    keyed = df.withColumn("__loam_key", F.when((F.size(words) > 0) & (F.lit(True) if among is None else among), digest(words)))
+    dup = F.coalesce(F.col("__loam_gone").isNotNull() | (F.col(order) > F.col("__loam_lead")), F.lit(False))
+    return keyed.join(known, keyed["__loam_key"] == known["__loam_k"], "left").select(*df.columns, dup.alias("is_dup"))

@@ -127,10 +127,13 @@ def article_links(pages: DataFrame, host: str, limit: int | None = None, marks:
     return rows if limit is None else rows.filter(F.col("rank") <= limit)
 
 
-def codex_links(pages: DataFrame, label: str) -> DataFrame:
-    """Links with a document hash whose text holds the label: hash, title, url, docid; the first of each hash."""
+def codex_links(pages: DataFrame, *spellings: str) -> DataFrame:
+    """Links with a document hash whose text holds one of the spellings of a code's name as it is written: hash, title, url, docid; the first of each hash."""
     rows = links(pages).withColumns({"hash": F.regexp_extract("href", r"hash=([0-9a-f]{64})", 1), "docid": nonempty(F.regexp_extract("href", r"docid=(\d+)", 1)).cast("long")})
-    rows = rows.filter((F.col("hash") != "") & F.lower("label").contains(label.lower()))
+    named = F.lit(not spellings)
+    for x in spellings:
+        named = named | F.col("label").contains(x)
+    rows = rows.filter((F.col("hash") != "") & named)
     return rows.groupBy("hash").agg(F.min_by(F.struct(F.col("label").alias("doc_link_title"), F.col("href").alias("doc_url"), "docid"), F.struct("url", "pos")).alias("x")).select("hash", "x.*")
 
 
@@ -157,21 +160,31 @@ def pick_redaction(redactions: Column, docid: Column, error: Column) -> Column:
     return F.when(error.isNotNull(), docid).otherwise(best)
 
 
-#: Where ids stand in scripts and urls, in order of trust.
-ID_PATTERNS = [
-    r"""data-redid=["'](\d+)["']""",
-    r"""redid["']?\s*[:=]\s*["']?(\d{4,6})""",
-    r"""rdk["']?\s*[:=]\s*["']?(\d{4,6})""",
-    r"""[?&](?:rdk|redid|docid|t)=(\d{4,6})""",
-]
-
-
-def redid(text: Column) -> Column:
-    """The first plausible id by the patterns in order, else a number of 4 to 6 digits near a word that tells an id."""
-    found = [nonempty(F.regexp_extract(text, f"(?i){p}", 1)).cast("long") for p in ID_PATTERNS]
-    near = F.regexp_extract(text, r"(?is)(?:redid|rdk|doc).{0,20}?\b(\d{4,6})\b", 1)
-    found.append(nonempty(near).cast("long"))
-    return F.coalesce(*(F.when(f.between(1000, 999_999), f) for f in found))
+def redid(page: Column, url: Column | None = None) -> Column:
+    """A redaction's id from a page, by the first of these ways that finds one, in order of trust.
+
+    An attribute data-redid; a meta tag named for it; an assignment in a script (over 1000); a parameter of the url (of
+    the page's text, where no url is given); a plausible number of 4 to 6 digits in the visible text that has a word
+    for ids within 20 characters before or after it.
+    """
+    first = lambda found, good: F.try_element_at(F.filter(F.transform(found, lambda x: x.try_cast("long")), good), F.lit(1))
+    every = lambda text, pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    known = lambda x: x.isNotNull()
+    scripts = F.array_join(every(page, r"(?is)<script\b[^>]*>(.*?)</script>"), "\n")
+    said = [first(every(scripts, rf"(?i){name}[\"']?\s*[:=]\s*[\"']?(\d+)"), lambda x: x > 1000) for name in ("redid", "rdk")]
+    text = F.regexp_replace(page, "<[^>]*>", " ")
+    near = r"(?is)(?:(?<=redid.{0,15})|(?<=(?:rdk|doc).{0,17}))\b\d{4,6}\b|\b\d{4,6}\b(?=.{0,15}redid|.{0,17}(?:rdk|doc))"
+    return F.coalesce(
+        first(every(page, r"(?i)data-redid=[\"'](\d+)[\"']"), known),
+        first(every(page, r"(?is)<meta\b(?=[^>]*\bname=[\"'][^\"'>]*(?:redid|rdk))[^>]*\bcontent=[\"'][^\"'\d>]*(\d+)"), known),
+        *said,
+        first(every(page if url is None else url, r"(?i)[?&#](?:redid|rdk|docid|t)=(\d+)"), known if url is not None else plausible),
+        first(F.regexp_extract_all(text, F.lit(near), F.lit(0)), plausible),
+    )
+
+
+def plausible(x: Column) -> Column:
+    return x.between(1000, 999_999)
 
 
 def not_in_hash(id_: Column, doc_hash: Column) -> Column:

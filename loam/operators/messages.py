@@ -13,6 +13,10 @@ SYSTEM = "Ты - юридический ассистент, который по
 QUESTION = "Расскажи об этой статье кодекса"
 
 
+#: Fields of older record forms.
+LEGACY = ["instruction", "input", "case", "question", "article_title", "article", "answer", "output", "context"]
+
+
 def collect_turns(turns: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
     """One row a conversation: key and messages in order."""
     rows = F.array_sort(F.collect_list(F.struct(order, "role", F.col("text").alias("content"))))

@@ -8,12 +8,34 @@ from pyspark.sql import functions as F
 from loam.operators.messages import content_hash
 from loam.operators.quality import bad_format, noise
 
-STAGES = ["empty_after_normalization", "empty_after_cleaning", "quality", "duplicate"]
+def reason_histogram(tagged: DataFrame) -> DataFrame:
+    """reason and count of the rows that go, the most frequent first."""
+    return tagged.filter(F.col("reason").isNotNull()).groupBy("reason").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "reason")
 
 
-def reason_histogram(tagged: DataFrame) -> DataFrame:
-    """reason and count of the rows that go."""
-    return tagged.filter(F.col("reason").isNotNull()).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+def code_counts(tagged: DataFrame) -> DataFrame:
+    """Per code: records, groups (articles) and what is kept of both."""
+    groups = tagged.groupBy("code", "group_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("reason").isNull()).alias("kept"))
+    return groups.groupBy("code").agg(F.sum("n").alias("records"), F.count(F.lit(1)).alias("groups"), F.sum("kept").alias("kept_records"), F.count_if(F.col("kept") > 0).alias("kept_groups"))
+
+
+def domains(rows: DataFrame, url: str) -> DataFrame:
+    """Rows by the domain of a url, with their share; summed before the shuffle, the total as a one-row join."""
+    host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[^:/?#]+://([^/?#]*)", 1))
+    n = rows.groupBy(host.alias("domain")).agg(F.count(F.lit(1)).alias("n"))
+    total = n.agg(F.sum("n").alias("_all"))
+    return n.join(F.broadcast(total)).withColumn("share", F.col("n") / F.col("_all")).drop("_all")
+
+
+def units(nodes: DataFrame, column: str = "nodes") -> DataFrame:
+    """The distinct units of content nodes and how often each occurs."""
+    return nodes.select(F.explode(column).alias("x")).groupBy(F.coalesce("x.unit", F.lit("")).alias("unit")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def size_counts(rows: DataFrame, tokens: Column, most: int) -> DataFrame:
+    """One row: records, those of over `most` tokens, and their shares."""
+    over = tokens > most
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(over).alias("overlong"), F.count_if(~over).alias("fitting"))
 
 
 def stage_report(tagged: DataFrame) -> DataFrame:

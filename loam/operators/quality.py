@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loam.functions.text import noisy, repetitive, strip, truncated
+from loam.functions.text import noisy, repetitive, strip, token_count, truncated
 from loam.operators.messages import last_of
 
 LEAST_USER, LEAST_ANSWER, MOST_TOTAL = 5, 10, 50_000
@@ -31,5 +31,6 @@ def noise(messages: Column) -> Column:
     return F.coalesce(F.exists(messages, lambda m: noisy(F.coalesce(m["content"], F.lit("")))), F.lit(False))
 
 
-def plausible_id(c: Column) -> Column:
-    return c.between(1000, 999_999)
+def overlong(text: Column, most_tokens: int) -> Column:
+    """Whether a rendered text has more tokens (words) than a model's window."""
+    return token_count(text) > most_tokens

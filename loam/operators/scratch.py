@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -10,20 +11,55 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[str] = []
+_tables: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where it is unset, a local master gets a temporary one; a cluster, whose machines share no such folder, an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _made:
         _made.append(tempfile.mkdtemp(prefix="loam-"))
         atexit.register(shutil.rmtree, _made[0], ignore_errors=True)
     return f"file://{_made[0]}"
 
 
+def fresh_path(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df from files that survive lost executors; its lineage ends there."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    """df from files that survive lost executors; its lineage ends there. Deleted at the end of the driver, unless dropped before."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession)
+    if not _tables:
+        atexit.register(sweep)
+    _tables[path] = spark
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a written table that no plan reads any more."""
+    path = getattr(df, "scratch_path", None)
+    if path:
+        remove(df.sparkSession, path)
+        _tables.pop(path, None)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def sweep() -> None:
+    """Delete what is left, while there is a session to do it with."""
+    for path, spark in _tables.items():
+        with contextlib.suppress(Exception):
+            remove(spark, path)
+    _tables.clear()

@@ -12,6 +12,11 @@ def shuffled(key: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
 
 
+def unit(key: Column, seed: int) -> Column:
+    """A number from 0 to 1 for each key, the same on any run."""
+    return F.conv(F.left(shuffled(key, seed), F.lit(13)), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
 def check_ratios(train: float, val: float, test: float) -> None:
     if abs(train + val + test - 1.0) > 0.01:
         raise ValueError(f"ratios must sum to 1, not to {train + val + test}")
@@ -41,20 +46,30 @@ def rows(df: DataFrame, key: str, ratio: float = 0.1, seed: int = 42) -> DataFra
 
 
 def tail(df: DataFrame, order: str, batch: int = 4, ratio: float = 0.05) -> DataFrame:
-    """Column split: the last min(max(batch, int(n * ratio)), n - batch) rows by order validate."""
+    """Column split: the last min(max(batch, int(n * ratio)), n - batch) rows by order validate. order names each row.
+
+    Orders are dealt to ranges and counted; only the range in which the border lies is sorted for it.
+    """
     n = df.count()
     size = min(max(batch, int(n * ratio)), n - batch)
     if size < 1:
         raise ValueError(f"{n} rows are too few for batches of {batch}")
-    last = df.select(F.col(order).alias("_o")).orderBy(F.desc("_o")).limit(size).agg(F.min("_o").alias("_least"))
-    return df.join(F.broadcast(last)).withColumn("split", F.when(F.col(order) >= F.col("_least"), "valid").otherwise("train")).drop("_least")
+    ranged = written(df.select(F.col(order).alias("_o")).repartitionByRange(F.desc("_o")).withColumn("_p", F.spark_partition_id()))
+    before = 0
+    for row in sorted(ranged.groupBy("_p").count().collect(), key=lambda r: r["_p"]):  # a row a range
+        if before + row["count"] >= size:
+            break
+        before += row["count"]
+    least = ranged.filter(F.col("_p") == row["_p"]).orderBy(F.desc("_o")).limit(size - before).agg(F.min("_o").alias("_least"))
+    return df.join(F.broadcast(least)).withColumn("split", F.when(F.col(order) >= F.col("_least"), "valid").otherwise("train")).drop("_least")
 
 
 def stratified(df: DataFrame, group: str, code: str, order: str, train: float = 0.8, val: float = 0.1, seed: int = 42) -> DataFrame:
     """Column split: whole groups, dealt in shuffled order so that each code keeps its shares.
 
     A group's code is that of its first row. The deal looks at all earlier decisions, so it runs in one
-    task over one small row a group; records never go there.
+    task over one small row a group; records never go there. Decisions leave it as they are made, but for the
+    validation and test groups, which the last step may move: it holds those.
     """
     groups = df.groupBy(group).agg(F.min_by(code, order).alias("code"))
     n = groups.count()
@@ -67,30 +82,40 @@ def stratified(df: DataFrame, group: str, code: str, order: str, train: float =
     def deal(batches):
         import pandas as pd
 
-        parts: dict[str, list] = {"train": [], "val": [], "test": []}
+        dealt = {"train": 0}
+        held: dict[str, list] = {"val": [], "test": []}
         seen: dict[str, dict[str, int]] = {}
         for pdf in batches:
+            sure = []
             for g, c in zip(pdf[group], pdf["code"]):
                 s = seen.setdefault(c, {"all": 0, "train": 0, "val": 0})
                 share = {k: s[k] / s["all"] if s["all"] else 0.0 for k in ("train", "val")}
-                full = {"val": len(parts["val"]) >= goal_val, "test": len(parts["test"]) >= goal_test}
-                if len(parts["train"]) < goal and (share["train"] < train or full["val"] and full["test"]):
+                full = {"val": len(held["val"]) >= goal_val, "test": len(held["test"]) >= goal_test}
+                if dealt["train"] < goal and (share["train"] < train or full["val"] and full["test"]):
                     to = "train"
                 elif not full["val"] and (share["val"] < val or full["test"]):
                     to = "val"
                 else:
                     to = "test"
-                parts[to].append(g)
+                if to == "train":
+                    dealt["train"] += 1
+                    sure.append(g)
+                else:
+                    held[to].append(g)
                 s["all"] += 1
                 if to in s:
                     s[to] += 1
-        large, small = ("val", "test") if len(parts["val"]) > len(parts["test"]) else ("test", "val")
-        if len(parts[large]) - len(parts[small]) > 2:
-            half = (len(parts["val"]) + len(parts["test"])) // 2
-            k = len(parts["val"]) - half if large == "val" else half - len(parts["val"])
-            parts[small] += parts[large][:k]
-            parts[large] = parts[large][k:]
-        yield pd.DataFrame([(g, name) for name, gs in parts.items() for g in gs], columns=[group, "split"])
+            if sure:
+                yield pd.DataFrame({group: sure, "split": ["train"] * len(sure)})
+        large, small = ("val", "test") if len(held["val"]) > len(held["test"]) else ("test", "val")
+        if len(held[large]) - len(held[small]) > 2:
+            half = (len(held["val"]) + len(held["test"])) // 2
+            k = len(held["val"]) - half if large == "val" else half - len(held["val"])
+            held[small] += held[large][:k]
+            held[large] = held[large][k:]
+        for name, gs in held.items():
+            if gs:
+                yield pd.DataFrame({group: gs, "split": [name] * len(gs)})
 
     dealt = queue.select(group, "code").mapInPandas(deal, f"`{group}` {kind}, split string")
     return df.join(written(dealt), group)
@@ -102,5 +127,5 @@ def overlapping(df: DataFrame, group: str) -> DataFrame:
 
 
 def manifest(df: DataFrame, group: str) -> DataFrame:
-    """Per part, its sorted groups."""
-    return df.groupBy("split").agg(F.sort_array(F.collect_set(F.col(group).cast("string"))).alias("groups"))
+    """split and group of each group, one row a group: as many as there are groups, in no single row."""
+    return df.select("split", F.col(group).cast("string").alias("group")).distinct()

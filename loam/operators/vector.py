@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Queries that are sent to the executors at once.
-BLOCK = 8192
+from loam.ship import ship
+
+#: Vector components of a tile of rows or of queries, about.
+COMPONENTS = 2_000_000
 
 
 def build_index(chunks: DataFrame, embed: Callable[[DataFrame], DataFrame], path: str) -> None:
@@ -33,62 +37,76 @@ def search(index: DataFrame, query: list[float], k: int = 5, where: Column | Non
     return best.withColumn("rank", F.row_number().over(Window.orderBy("distance", id_)))
 
 
+def results(found: DataFrame) -> DataFrame:
+    """What a search tells of each chunk, in order of rank."""
+    similarity = (1 - F.col("distance")).alias("similarity")
+    return found.select("rank", "distance", similarity, F.col("document").alias("text"), "article_title", "article_url", "legal_code").orderBy("rank")
+
+
+def hashed(df: DataFrame, dim: int = 256) -> DataFrame:
+    """Adds embedding: signed counts of hashed words of document, scaled to length 1 (null without words). Stands in where no embedding model is at hand."""
+    ship(df.sparkSession)
+
+    @F.pandas_udf("array<double>")
+    def vector(texts: pd.Series) -> pd.Series:
+        from zlib import crc32
+
+        def one(text):
+            h = np.array([crc32(w.encode()) for w in (text or "").lower().split()], np.int64)
+            v = np.bincount(h % dim, np.where(h >> 31, 1.0, -1.0), dim)
+            length = np.sqrt((v * v).sum())
+            return (v / length).tolist() if length else None
+
+        return texts.map(one)
+
+    return df.withColumn("embedding", vector("document"))
+
+
 def knn(index: DataFrame, queries: DataFrame, k: int = 5, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """For each query (query_id, vector) the k nearest rows of the whole index: query_id, id, rank, distance.
+    """For each query (query_id, vector) the k nearest rows of the whole index: query_id, id, rank, distance (ties: the lower id).
 
-    Queries go out in blocks of BLOCK vectors; a task multiplies them with its batches of rows and keeps k for
-    each query, so that k rows a query and task are shuffled and no pairs are. Rows that aren't of a query's
-    dimension, or have null, non-finite or only zero components, are no neighbours.
+    Queries and rows are dealt by hash to tiles of bounded size; each pair of tiles is a task that keeps k rows a
+    query, so that nothing goes through the driver, no pairs are shuffled, and a tile is sent once for each tile of the other
+    side. Rows that aren't of a query's dimension, or have null, non-finite or only zero components, are no neighbours, and
+    queries of that kind have none.
     """
-    spark = index.sparkSession
     kind = index.schema[id_].dataType.simpleString()
-    found: DataFrame | None = None
-    rows = queries.select("query_id", vector).orderBy("query_id")
-    block: list = []
-
-    def send(some: list) -> DataFrame:
-        sent = spark.sparkContext.broadcast(([r[0] for r in some], [r[1] for r in some]))
-
-        def run(batches):
-            import numpy as np
-            import pandas as pd
-
-            ids, vectors = sent.value
-            dim = max((len(v) for v in vectors if v), default=0)
-            good = np.array([v is not None and len(v) == dim and all(x is not None for x in v) for v in vectors])
-            q = np.array([v if g else [0.0] * dim for v, g in zip(vectors, good)], np.float64).reshape(len(vectors), dim)
-            norm = np.linalg.norm(q, axis=1)
-            good &= np.isfinite(norm) & (norm > 0)
-            q = q / np.where(good, norm, 1.0)[:, None]
-            best_d, best_i = np.zeros((len(q), 0)), np.zeros((len(q), 0), object)
-            for pdf in batches:
-                fits = [v is not None and len(v) == dim for v in pdf[vector]]
-                part = pdf[fits]
-                if not len(part) or not dim:
-                    continue
-                x = np.array(part[vector].tolist(), np.float64).reshape(len(part), dim)
-                length = np.linalg.norm(x, axis=1)
-                fine = np.isfinite(length) & (length > 0)
-                x, own = x[fine] / length[fine][:, None], part[id_].to_numpy()[fine]
-                for s in range(0, len(x), 4096):
-                    d = 1 - q @ x[s : s + 4096].T
-                    d, i = np.concatenate([best_d, d], 1), np.concatenate([best_i, np.broadcast_to(own[s : s + 4096].astype(object), d.shape)], 1)
-                    if d.shape[1] > k:
-                        edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-                        order = np.stack([np.array(sorted(np.flatnonzero(row <= e + 1e-12), key=lambda j: (round(row[j], 12), ids_[j]))[:k]) for row, e, ids_ in zip(d, edge, i)])
-                        d, i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-                    best_d, best_i = d, i
-            n = best_d.shape[1]
-            keep = np.repeat(good, n)
-            yield pd.DataFrame({"query_id": np.repeat(np.array(ids), n)[keep], id_: best_i.ravel()[keep], "distance": best_d.ravel()[keep]})
-
-        return index.select(id_, vector).mapInPandas(run, f"query_id long, `{id_}` {kind}, distance double")
-
-    for row in rows.toLocalIterator():
-        block.append(tuple(row))
-        if len(block) == BLOCK:
-            found, block = (send(block) if found is None else found.unionByName(send(block))), []
-    if block or found is None:
-        found = send(block) if found is None else found.unionByName(send(block))
+    size = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.greatest(F.coalesce(F.max(F.size(vector)), F.lit(1)), F.lit(1)).alias("dim")).first()
+    q, x = size(queries), size(index)
+    n_q, n_x = -(-q["n"] * q["dim"] // COMPONENTS) or 1, -(-x["n"] * x["dim"] // COMPONENTS) or 1
+    # new names on both sides, which may come from one table
+    tile = lambda own, n: F.pmod(F.xxhash64(own, vector), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select(tile("query_id", n_q).alias("_q"), F.col("query_id").alias("_id"), F.col(vector).alias("_v")).withColumn("_x", every(n_x))
+    rows = index.select(tile(id_, n_x).alias("_x"), F.col(id_).alias("_id"), F.col(vector).alias("_v")).withColumn("_q", every(n_q))
+
+    def best(left, right):
+        def by_dimension(pdf):
+            out = {}
+            if not len(pdf):  # the other side alone
+                return out
+            for dim, part in pdf.groupby(pdf["_v"].map(lambda v: -1 if v is None else len(v))):
+                if dim > 0:
+                    m = np.array([[np.nan if c is None else c for c in v] for v in part["_v"]], np.float64)
+                    length = np.linalg.norm(m, axis=1)
+                    fine = np.isfinite(length) & (length > 0)
+                    out[dim] = part["_id"].to_numpy()[fine], m[fine] / length[fine][:, None]
+            return out
+
+        asked, rows, found = by_dimension(left), by_dimension(right), []
+        for dim in asked.keys() & rows.keys():
+            (qid, q), (xid, x) = asked[dim], rows[dim]
+            names, place = np.unique(xid, return_inverse=True)
+            for s in range(0, len(q), 256):
+                d = 1 - q[s : s + 256] @ x.T
+                edge = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+                i, j = np.nonzero(d <= edge[:, None] + 1e-12)
+                order = np.lexsort((place[j], d[i, j].round(12), i))
+                i, j = i[order], j[order]
+                keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+                found.append(pd.DataFrame({"query_id": qid[s + i[keep]], id_: names[place[j[keep]]], "distance": d[i[keep], j[keep]]}))
+        return pd.concat(found) if found else pd.DataFrame({"query_id": [], id_: [], "distance": []})
+
+    found = asked.groupBy("_q", "_x").cogroup(rows.groupBy("_q", "_x")).applyInPandas(best, f"query_id {queries.schema['query_id'].dataType.simpleString()}, `{id_}` {kind}, distance double")
     order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("distance", 12), id_))
     return found.withColumn("rank", order).filter(F.col("rank") <= k)

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.functions import text as X
-from loam.operators import chunk, dedup, html, messages, profile, quality, split, vector
+from loam.operators import chunk, dedup, html, messages, profile, quality, scratch, split, vector
 from loam.plans import pipelines
+from loam.sources import readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -87,8 +88,8 @@ BASE = f"WITH {CONV}, {CLEAN}, {REASON}, {DUPS} "
 def tagged(s: SparkSession, d: str) -> DataFrame:
     rows = turns(s, d).withColumn("messages", messages.clean_messages(F.col("messages")))
     rows = rows.withColumn("reason", F.when(F.size("messages") < 2, "empty_after_cleaning").otherwise(quality.reason(F.col("messages"))))
-    kept = dedup.exact(rows.filter("reason is null"), messages.rendered(F.col("messages")), "conv_id")
-    return rows.filter("reason is not null").unionByName(kept.withColumn("reason", F.when(F.col("is_dup"), "exact_duplicate")).drop("is_dup"))
+    once = dedup.exact(rows, messages.rendered(F.col("messages")), "conv_id", F.col("reason").isNull())
+    return once.withColumn("reason", F.coalesce("reason", F.when(F.col("is_dup"), "exact_duplicate"))).drop("is_dup")
 
 
 def flagship(s: SparkSession, d: str) -> DataFrame:
@@ -113,11 +114,12 @@ def last_user_assistant(s, d):
     return turns(s, d).select("conv_id", messages.last_of(m, "user").alias("user_text"), messages.last_of(m, "assistant").alias("assistant_text"))
 
 
-@query(f"""WITH {CONV}, sides AS (SELECT conv_id, {sql_strip("coalesce(" + sql_last('user') + ", '')")} AS u, {sql_strip("coalesce(" + sql_last('assistant') + ", '')")} AS a FROM conv)
-    SELECT conv_id, CASE WHEN u = '' OR a = '' THEN 'empty_after_normalization' END AS reason, 'system:{messages.SYSTEM}|user:' || CASE WHEN u = '' THEN '{messages.QUESTION}' ELSE u END || '|assistant:' || a AS rendered FROM sides""")
+@query(f"""WITH {CONV}, sides AS (SELECT conv_id, {sql_strip("CASE WHEN conv_id % 7 = 3 THEN ' ' ELSE coalesce(" + sql_last('user') + ", '') END")} AS u, {sql_strip("CASE WHEN conv_id % 7 > 4 THEN '' ELSE coalesce(" + sql_last('assistant') + ", '') END")} AS a FROM conv)
+    SELECT conv_id, CASE WHEN conv_id % 2 = 0 AND (u = '' OR a = '') THEN 'empty_after_normalization' END AS reason, 'system:{messages.SYSTEM}|user:' || CASE WHEN u = '' THEN '{messages.QUESTION}' ELSE u END || '|assistant:' || a AS rendered FROM sides""")
 def chatml_normalize(s, d):
-    m = F.col("messages")
-    rows = turns(s, d).select("conv_id", messages.last_of(m, "user").alias("raw_case"), messages.last_of(m, "assistant").alias("raw_article"), F.lit(True).alias("is_messages_format"))
+    m, k = F.col("messages"), F.col("conv_id") % 7
+    asked, answer = F.when(k == 3, " ").otherwise(messages.last_of(m, "user")), F.when(k > 4, "").otherwise(messages.last_of(m, "assistant"))
+    rows = turns(s, d).select("conv_id", asked.alias("raw_case"), answer.alias("raw_article"), (F.col("conv_id") % 2 == 0).alias("is_messages_format"))
     return messages.chatml(rows).select("conv_id", "reason", messages.rendered(F.col("messages")).alias("rendered"))
 
 
@@ -132,9 +134,34 @@ def quality_reason(s, d):
     return tagged(s, d).select("conv_id", "reason")
 
 
-@query(BASE + "SELECT reason, count(*) AS n FROM tagged WHERE reason IS NOT NULL GROUP BY reason")
+#: Conversations from documents that fail each of the tests, some two of them.
+MADE_USER = "CASE WHEN doc_id % 11 IN (0, 6) THEN ' ab ' ELSE 'Вопрос ' || doc_id END"
+MADE_ANSWER = "CASE doc_id % 11 WHEN 1 THEN 'Коротко' WHEN 2 THEN repeat(text || ' ab. ', 1 + 50000 // greatest(length(text), 1)) WHEN 3 THEN text || ' !!!!!! конец.' WHEN 4 THEN text || repeat(' слово', 20) WHEN 5 THEN ' undefined ' WHEN 6 THEN 'да' WHEN 7 THEN 'Ответ дан. ' || repeat('ab', 30) || ' всё, кроме zzzzz' ELSE text || ' Конец.' END"
+MADE = f"conv AS (SELECT doc_id AS conv_id, [{{'role': 'user', 'content': {MADE_USER}}}, {{'role': 'assistant', 'content': {MADE_ANSWER}}}] AS m FROM documents)"
+
+
+def made_tagged(s: SparkSession, d: str) -> DataFrame:
+    i, k, t = F.col("doc_id").cast("string"), F.col("doc_id") % 11, F.col("text")
+    times = (F.lit(1) + F.floor(F.lit(50_000) / F.greatest(F.length(t), F.lit(1)))).cast("int")
+    answer = (
+        F.when(k == 1, "Коротко").when(k == 2, F.repeat(F.concat(t, F.lit(" ab. ")), times)).when(k == 3, F.concat(t, F.lit(" !!!!!! конец."))).when(k == 4, F.concat(t, F.lit(" слово" * 20)))
+        .when(k == 5, " undefined ").when(k == 6, "да").when(k == 7, "Ответ дан. " + "ab" * 30 + " всё, кроме zzzzz").otherwise(F.concat(t, F.lit(" Конец.")))
+    )
+    asked = F.when(k.isin(0, 6), " ab ").otherwise(F.concat(F.lit("Вопрос "), i))
+    rows = docs(s, d).select("doc_id", messages.clean_messages(F.array(messages.message("user", asked), messages.message("assistant", answer))).alias("messages"))
+    reason = F.when(F.size("messages") < 2, "empty_after_cleaning").otherwise(quality.reason(F.col("messages")))
+    once = dedup.exact(rows.withColumn("reason", reason), messages.rendered(F.col("messages")), "doc_id", F.col("reason").isNull())
+    return once.withColumn("reason", F.coalesce("reason", F.when(F.col("is_dup"), "exact_duplicate"))).drop("is_dup")
+
+
+@query(f"WITH {MADE}, {CLEAN}, {REASON} SELECT conv_id AS doc_id, reason FROM reasons")
+def quality_each_reason(s, d):
+    return made_tagged(s, d).select("doc_id", F.when(F.col("reason") != "exact_duplicate", F.col("reason")).alias("reason"))
+
+
+@query(f"WITH {MADE}, {CLEAN}, {REASON}, {DUPS} SELECT reason, count(*) AS n FROM tagged WHERE reason IS NOT NULL GROUP BY reason")
 def reason_histogram(s, d):
-    return profile.reason_histogram(tagged(s, d))
+    return profile.reason_histogram(made_tagged(s, d))
 
 
 @query(BASE + """SELECT count(*) AS initial_count, count(*) AS after_normalization, count(*) FILTER (reason IS NULL OR reason <> 'empty_after_cleaning') AS after_cleaning,
@@ -158,13 +185,13 @@ def loader_normalize(s, d):
     return turns(s, d).select("conv_id", messages.rendered(messages.loader_messages(F.col("messages"))).alias("rendered"))
 
 
-@query(f"""SELECT doc_id, coalesce(CASE WHEN i <> '' AND n <> '' THEN i || chr(10) || chr(10) || n END, nullif(c, ''), nullif(n, ''), nullif(i, ''), '') AS user_text, coalesce(nullif(t, ''), '') AS answer
-    FROM (SELECT doc_id, {sql_strip("coalesce(CASE WHEN doc_id % 3 = 0 THEN lang END, '')")} AS c, {sql_strip("coalesce(CASE WHEN quality = 1 THEN source END, '')")} AS i, {sql_strip("coalesce(CASE WHEN toxic = 0 THEN left(text, 20) END, '')")} AS n, {sql_strip("left(text, 50)")} AS t FROM documents LEFT JOIN labels USING (doc_id))""")
+@query(f"""SELECT doc_id, coalesce(CASE WHEN i <> '' AND n <> '' THEN i || chr(10) || chr(10) || n END, nullif(c, ''), nullif(n, ''), nullif(i, ''), '') AS user_text, md5(coalesce(nullif(t, ''), '')) AS answer
+    FROM (SELECT doc_id, {sql_strip("coalesce(CASE WHEN doc_id % 3 = 0 THEN lang END, '')")} AS c, {sql_strip("coalesce(CASE WHEN quality = 1 THEN source END, '')")} AS i, {sql_strip("coalesce(CASE WHEN toxic = 0 THEN text END, '')")} AS n, {sql_strip("text")} AS t FROM documents LEFT JOIN labels USING (doc_id))""")
 def legacy_coalesce(s, d):
     rows = docs(s, d).join(s.read.parquet(f"{d}/labels.parquet"), "doc_id", "left")
-    rows = rows.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("lang")).alias("case"), F.when(F.col("quality") == 1, F.col("source")).alias("instruction"), F.when(F.col("toxic") == 0, F.left("text", F.lit(20))).alias("input"), F.left("text", F.lit(50)).alias("answer"))
+    rows = rows.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("lang")).alias("case"), F.when(F.col("quality") == 1, F.col("source")).alias("instruction"), F.when(F.col("toxic") == 0, F.col("text")).alias("input"), F.col("text").alias("answer"))
     user, answer = messages.legacy_pair(rows)
-    return rows.select("doc_id", user.alias("user_text"), answer.alias("answer"))
+    return rows.select("doc_id", user.alias("user_text"), F.md5(answer.cast("binary")).alias("answer"))
 
 
 @query(f"""WITH {CONV}, parts AS (SELECT conv_id, {sql_strip("coalesce(array_to_string(list_transform(list_filter(m, lambda x: x.role = 'system' AND x.content <> ''), lambda x: x.content), chr(10) || chr(10)), '')")} AS sys,
@@ -189,13 +216,13 @@ def clean_text_ws(s, d):
     return docs(s, d).select("doc_id", F.md5(X.squeeze(F.col("text")).cast("binary")).alias("cleaned"))
 
 
-HEADED = "CASE WHEN doc_id % 4 = 0 THEN 'Статья ' || doc_id || ' ' || (doc_id % 7) || '. ' WHEN doc_id % 4 = 1 THEN 'СТАТЬЯ ' || doc_id || '.3 ' WHEN doc_id % 4 = 2 THEN 'Статья ' || doc_id || '.5 ' ELSE '' END || left(text, 40)"
+HEADED = "CASE WHEN doc_id % 4 = 0 THEN 'Статья ' || doc_id || ' ' || (doc_id % 7) || '. ' WHEN doc_id % 4 = 1 THEN 'СТАТЬЯ ' || doc_id || '.3 ' WHEN doc_id % 4 = 2 THEN 'Статья ' || doc_id || '.5 ' ELSE '' END || text"
 
 
 def headed() -> F.Column:
     i, m = F.col("doc_id").cast("string"), F.col("doc_id") % 4
     head = F.when(m == 0, F.concat(F.lit("Статья "), i, F.lit(" "), (F.col("doc_id") % 7).cast("string"), F.lit(". "))).when(m == 1, F.concat(F.lit("СТАТЬЯ "), i, F.lit(".3 "))).when(m == 2, F.concat(F.lit("Статья "), i, F.lit(".5 "))).otherwise("")
-    return F.concat(head, F.left("text", F.lit(40)))
+    return F.concat(head, "text")
 
 
 @query(rf"SELECT doc_id, coalesce(nullif(replace(regexp_extract({HEADED}, '(?i)Статья\s+(\d+(?:\s+\d+)?)', 1), ' ', '_'), ''), 'unknown') AS number FROM documents")
@@ -223,14 +250,14 @@ def title_parse_qa(s, d):
 
 @query(rf"""WITH n AS (SELECT doc_id, upper(lang) AS code, {HEADED} AS title, coalesce(nullif(replace(regexp_extract(CASE WHEN doc_id % 2 = 0 THEN {HEADED} ELSE text END, '(?i)Статья\s+(\d+(?:\s+\d+)?)', 1), ' ', '_'), ''), 'unknown') AS number FROM documents),
     named AS (SELECT *, {sql_strip("replace(" + sql_strip("replace(" + sql_strip("replace(title, 'Статья ' || number, '')") + ", 'ст. ' || number, '')") + ", 'Статья ' || replace(number, '_', ' '), '')")} AS name FROM n)
-    SELECT doc_id, number, CASE WHEN number <> 'unknown' THEN 'Какая статья из ' || code || ' кодекс РФ регулирует: ' || coalesce(nullif(name, ''), title) WHEN title <> '' THEN 'Расскажи о статье: ' || title ELSE 'Расскажи об этой статье ' || code || ' кодекса' END AS question FROM named""")
+    SELECT doc_id, number, CASE WHEN number <> 'unknown' THEN md5('Какая статья из ' || code || ' кодекс РФ регулирует: ' || coalesce(nullif(name, ''), title)) WHEN title <> '' THEN md5('Расскажи о статье: ' || title) ELSE md5('Расскажи об этой статье ' || code || ' кодекса') END AS question FROM named""")
 def question_synthesis(s, d):
     rows = docs(s, d).select("doc_id", "lang", headed().alias("title"), F.when(F.col("doc_id") % 2 == 0, headed()).otherwise(F.col("text")).alias("content"))
     number, asked = messages.question_of(F.col("lang"), F.col("title"), F.col("content"))
-    return rows.select("doc_id", number.alias("number"), asked.alias("question"))
+    return rows.select("doc_id", number.alias("number"), F.md5(asked.cast("binary")).alias("question"))
 
 
-LAWFUL = "CASE doc_id % 5 WHEN 0 THEN 'Статья ' || doc_id || ' ГК РФ' WHEN 1 THEN 'статья ' || doc_id || ' тк' WHEN 2 THEN 'Статья 1 КоАП' WHEN 3 THEN 'Статья ' || doc_id || '. Понятие' ELSE left(text, 30) END"
+LAWFUL = "CASE doc_id % 5 WHEN 0 THEN 'Статья ' || doc_id || ' ГК РФ' WHEN 1 THEN 'статья ' || doc_id || ' тк' WHEN 2 THEN 'Статья 1 КоАП' WHEN 3 THEN 'Статья ' || doc_id || '. Понятие' ELSE text END"
 LAW_CASE = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.LAWS.items())
 
 
@@ -239,7 +266,7 @@ LAW_CASE = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.LAWS.items())
     UNION ALL SELECT doc_id, 'UNKNOWN', 'Неизвестно' FROM documents WHERE doc_id % 5 = 4""")
 def law_label(s, d):
     i, m = F.col("doc_id").cast("string"), F.col("doc_id") % 5
-    article = F.when(m == 0, F.concat(F.lit("Статья "), i, F.lit(" ГК РФ"))).when(m == 1, F.concat(F.lit("статья "), i, F.lit(" тк"))).when(m == 2, "Статья 1 КоАП").when(m == 3, F.concat(F.lit("Статья "), i, F.lit(". Понятие"))).otherwise(F.left("text", F.lit(30)))
+    article = F.when(m == 0, F.concat(F.lit("Статья "), i, F.lit(" ГК РФ"))).when(m == 1, F.concat(F.lit("статья "), i, F.lit(" тк"))).when(m == 2, "Статья 1 КоАП").when(m == 3, F.concat(F.lit("Статья "), i, F.lit(". Понятие"))).otherwise(F.col("text"))
     name, code = X.law(article, F.when(m == 4, "").otherwise("Статья 9 УК"))
     return docs(s, d).select("doc_id", code.alias("law_code"), name.alias("law"))
 
@@ -262,20 +289,27 @@ def noise_flag(s, d):
 SETS = r"sets AS (SELECT w, min(doc_id) AS lead FROM (SELECT doc_id, list_sort(list_distinct(list_filter(string_split_regex(lower(left(text, 500)), '[\s\x0b\x1c-\x1f]+'), lambda x: x <> ''))) AS w FROM documents) GROUP BY w)"
 
 
-@query(f"""WITH {SETS}, sized AS (SELECT lead, w, len(w) AS n FROM sets WHERE len(w) >= 20), both_ AS (SELECT a.lead AS a, b.lead AS b, a.n AS na, b.n AS nb, len(list_intersect(a.w, b.w)) AS k FROM sized a JOIN sized b ON a.lead < b.lead AND 20 * least(a.n, b.n) > 19 * greatest(a.n, b.n))
-    SELECT a, b, k::DOUBLE / (na + nb - k) AS similarity FROM both_ WHERE 20 * k > 19 * (na + nb - k)""")
+PAIRS = f"""{SETS}, sized AS (SELECT lead, w, len(w) AS n FROM sets WHERE len(w) >= 20), both_ AS (SELECT a.lead AS a, b.lead AS b, a.n AS na, b.n AS nb, len(list_intersect(a.w, b.w)) AS k FROM sized a JOIN sized b ON a.lead < b.lead AND 20 * least(a.n, b.n) > 19 * greatest(a.n, b.n)),
+    pairs AS (SELECT a, b, k::DOUBLE / (na + nb - k) AS similarity FROM both_ WHERE 20 * k > 19 * (na + nb - k))"""
+
+
+@query(f"WITH {PAIRS} SELECT a, b, similarity FROM pairs")
 def near_dup_pairs(s, d):
-    return dedup.near_pairs(docs(s, d), F.lower(F.left("text", F.lit(500))), "doc_id")[1]
+    return dedup.near_pairs(docs(s, d), F.lower(F.left("text", F.lit(500))), "doc_id")
 
 
-@query()
+@query(rf"""WITH RECURSIVE {PAIRS}, waiting AS (SELECT b, list(a) AS earlier, row_number() OVER (ORDER BY b) AS i FROM pairs GROUP BY b),
+    walk AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS gone UNION ALL SELECT n.i, CASE WHEN len(list_filter(n.earlier, lambda x: NOT list_contains(walk.gone, x))) > 0 THEN list_append(walk.gone, n.b) ELSE walk.gone END FROM walk JOIN waiting n ON n.i = walk.i + 1),
+    decided AS (SELECT unnest(arg_max(gone, i)) AS lead FROM walk),
+    own AS (SELECT doc_id, list_sort(list_distinct(list_filter(string_split_regex(lower(left(text, 500)), '[\s\x0b\x1c-\x1f]+'), lambda x: x <> ''))) AS w FROM documents)
+    SELECT doc_id, len(own.w) > 0 AND (doc_id > lead OR lead IN (SELECT lead FROM decided)) AS is_dup FROM own JOIN sets USING (w)""")
 def near_dedup(s, d):
     return dedup.near(docs(s, d).select("doc_id", "text"), F.lower(F.left("text", F.lit(500))), "doc_id").select("doc_id", "is_dup")
 
 
-@query("SELECT lang, left(text, 20) AS head, arg_max(doc_id, (length(text), -doc_id)) AS doc_id, max(length(text)) AS n, min(doc_id) AS first_seen FROM documents GROUP BY ALL")
+@query("SELECT lang, split_part(text, ' ', 1) AS head, arg_max(doc_id, (length(text), -doc_id)) AS doc_id, max(length(text)) AS n, min(doc_id) AS first_seen FROM documents GROUP BY ALL")
 def argmax_dedupe(s, d):
-    rows = docs(s, d).select("lang", F.left("text", F.lit(20)).alias("head"), "text", "doc_id")
+    rows = docs(s, d).select("lang", F.split_part("text", F.lit(" "), F.lit(1)).alias("head"), "text", "doc_id")
     return dedup.longest(rows, ["lang", "head"], "text", "doc_id").select("lang", "head", "doc_id", F.length("text").cast("long").alias("n"), "first_seen")
 
 
@@ -288,10 +322,11 @@ def keep_first_uniq(s, d):
 NOISY_SQL = "len(list_filter(m, lambda x: regexp_matches(x.content, '(?i)" + "|".join(X.NOISE) + "'))) > 0"
 
 
-@query(f"""WITH {CONV}, h AS (SELECT CASE WHEN conv_id % 2 = 0 THEN 'even' ELSE 'odd' END AS dataset, md5({sql_rendered()}) AS h, {NOISY_SQL} AS noisy FROM conv)
-    SELECT dataset, count(*)::BIGINT AS total_records, count(DISTINCT h) AS valid_records, 0::BIGINT AS bad_format, count(*) FILTER (noisy) AS noise_count, count(*) - count(DISTINCT h) AS internal_duplicates FROM h GROUP BY dataset""")
+@query(f"""WITH {CONV}, h AS (SELECT CASE WHEN conv_id % 2 = 0 THEN 'even' ELSE 'odd' END AS dataset, conv_id % 5 = 0 AS bad, CASE WHEN conv_id % 5 <> 0 THEN md5({sql_rendered()}) END AS h, conv_id % 5 <> 0 AND {NOISY_SQL} AS noisy FROM conv)
+    SELECT dataset, count(*)::BIGINT AS total_records, count(DISTINCT h) AS valid_records, count(*) FILTER (bad) AS bad_format, count(*) FILTER (noisy) AS noise_count, count(h) - count(DISTINCT h) AS internal_duplicates FROM h GROUP BY dataset""")
 def health_counts(s, d):
-    return profile.health(turns(s, d), F.when(F.col("conv_id") % 2 == 0, "even").otherwise("odd"))
+    rows = turns(s, d).withColumn("messages", F.when(F.col("conv_id") % 10 == 0, F.array().cast(messages.MESSAGES)).when(F.col("conv_id") % 5 != 0, F.col("messages")))
+    return profile.health(rows, F.when(F.col("conv_id") % 2 == 0, "even").otherwise("odd"))
 
 
 @query("SELECT role, min(length(text))::INTEGER AS min_len, max(length(text))::INTEGER AS max_len, trunc(median(length(text)))::INTEGER AS median_len, count(*) AS n FROM conversations WHERE role IN ('user', 'assistant', 'system') GROUP BY role")
@@ -349,14 +384,23 @@ def split_stratified(s, d):
     return split.stratified(by_group(s, d), "group_id", "lang", "doc_id").select("doc_id", "group_id", "split")
 
 
-@query(f"WITH {SIMPLE} SELECT split, string_agg(source, ',' ORDER BY source) AS groups FROM parts GROUP BY split")
+@query(f"WITH {SIMPLE} SELECT split, source AS group_id FROM parts")
 def split_manifest(s, d):
-    return split.manifest(split.simple(docs(s, d).select("doc_id", "source"), "source"), "source").select("split", F.array_join("groups", ",").alias("groups"))
+    return split.manifest(split.simple(docs(s, d).select("doc_id", "source"), "source"), "source").withColumnRenamed("group", "group_id")
+
+
+@query(f"WITH {SIMPLE} SELECT source, count(DISTINCT CASE WHEN doc_id % 97 = 0 THEN 'val' ELSE split END) AS n_splits FROM documents JOIN parts USING (source) GROUP BY source HAVING n_splits > 1")
+def split_overlaps(s, d):
+    """Groups that rows which were moved to another part leave in two."""
+    parts = split.simple(docs(s, d).select("doc_id", "source"), "source")
+    return split.overlapping(parts.withColumn("split", F.when(F.col("doc_id") % 97 == 0, "val").otherwise(F.col("split"))), "source")
 
 
-@query("SELECT source, 0::BIGINT AS n_splits FROM documents WHERE false")
+@query("SELECT count(*) AS n_groups, 0::BIGINT AS n_shared FROM (SELECT DISTINCT source FROM documents)")
 def split_disjoint(s, d):
-    return split.overlapping(split.simple(docs(s, d).select("doc_id", "source"), "source"), "source")
+    parts = split.simple(docs(s, d).select("doc_id", "source"), "source")
+    shared = split.overlapping(parts, "source").agg(F.count(F.lit(1)).alias("n_shared"))
+    return parts.select("source").distinct().agg(F.count(F.lit(1)).alias("n_groups")).join(F.broadcast(shared))
 
 
 CHUNKS = f"chunks AS (SELECT doc_id, unnest(range(CASE WHEN length(text) > 2500 THEN ceil((length(text) - 400) / 2100.0)::INTEGER ELSE 1 END)) AS chunk_no, text FROM documents WHERE length({sql_strip('text')}) >= 200)"
@@ -436,11 +480,21 @@ def pick_redaction(s, d):
     return docs(s, d).select("doc_id", html.pick_redaction(reds, F.lit(7).cast("long"), F.when(k % 5 == 0, "error")).alias("redid"))
 
 
-@query("""SELECT doc_id, CASE WHEN i NOT BETWEEN 1000 AND 999999 OR (doc_id % 6 = 0 AND contains(md5(doc_id::VARCHAR), i::VARCHAR)) THEN NULL ELSE i END AS redid FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN NULL WHEN doc_id % 4 = 2 THEN 1000 + doc_id ELSE 5000 + doc_id END AS i FROM documents)""")
+@query("""SELECT doc_id, CASE WHEN doc_id % 6 = 0 AND contains(md5(doc_id::VARCHAR), i::VARCHAR) THEN NULL ELSE i END AS redid FROM (SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 5000 + doc_id WHEN 1 THEN 2000000 + doc_id WHEN 2 THEN 1000 + doc_id % 900000 WHEN 3 THEN doc_id WHEN 4 THEN 1000 + doc_id % 900000 WHEN 6 THEN 5000 + doc_id WHEN 7 THEN 1000 + doc_id % 900000 END AS i FROM documents)""")
 def redid_cascade(s, d):
-    i, k = F.col("doc_id"), F.col("doc_id") % 4
-    big, small = (5000 + i).cast("string"), (1000 + i).cast("string")
-    page = F.when(k == 0, F.concat(F.lit('<a data-redid="'), big, F.lit('">'))).when(k == 1, F.concat(F.lit("<script>window.redid = "), big, F.lit(";</script>"))).when(k == 2, F.concat(F.lit("/proxy/?rdk="), small, F.lit("&x=1"))).otherwise("no id here")
+    i, k = F.col("doc_id"), F.col("doc_id") % 9
+    big, huge, small = (5000 + i).cast("string"), (2_000_000 + i).cast("string"), (1000 + i % 900_000).cast("string")
+    page = (
+        F.when(k == 0, F.concat(F.lit('<script>var redid: 7777;</script><a data-redid="'), big, F.lit('">')))
+        .when(k == 1, F.concat(F.lit("<script>redid = 12; window.redid = "), huge, F.lit(";</script><p>doc 4444</p>")))
+        .when(k == 2, F.concat(F.lit("/proxy/?rdk="), small, F.lit("&x=1")))
+        .when(k == 3, F.concat(F.lit("<meta content='id "), i.cast("string"), F.lit("' name='x-RedId'><script>redid=8888</script>")))
+        .when(k == 4, F.concat(F.lit("<p>000123 "), small, F.lit(" is the <b>doc</b></p>")))
+        .when(k == 5, F.concat(F.lit("<p>redid and a good deal of other words "), small, F.lit("</p>")))
+        .when(k == 6, F.concat(F.lit("<script>{'rdk': '"), big, F.lit("'}</script>")))
+        .when(k == 7, F.concat(F.lit("<p>rdk no. 12 or "), small, F.lit("</p>")))
+        .otherwise("no id here")
+    )
     found = html.redid(page)
     return docs(s, d).select("doc_id", F.when(i % 6 == 0, html.not_in_hash(found, F.md5(i.cast("string").cast("binary")))).otherwise(found).alias("redid"))
 
@@ -478,12 +532,82 @@ def json_ingest(s, d):
     return s.read.parquet(f"{d}/events.parquet").select("event_id", F.expr("try_variant_get(try_parse_json(props), '$.k', 'string')").alias("k"), F.size(F.json_object_keys("props")).alias("n_keys"))
 
 
-@query()
+@query(f"""WITH p AS (SELECT url, page_id::VARCHAR AS title, html AS t FROM pages WHERE length({sql_strip('html')}) >= 200),
+    c AS (SELECT *, unnest(range(CASE WHEN length(t) > 2500 THEN ceil((length(t) - 400) / 2100.0)::INTEGER ELSE 1 END)) AS chunk_no FROM p)
+    SELECT 'chunk_' || lpad((row_number() OVER (ORDER BY url, title, chunk_no) - 1)::VARCHAR, 6, '0') AS chunk_id, url AS article_url, (chunk_no * 2100)::INTEGER AS chunk_start, least(chunk_no * 2100 + 2500, length(t))::INTEGER AS chunk_end,
+    CASE WHEN len(string_split(url, '/')) >= 4 THEN upper(split_part(url, '/', 4)) END AS legal_code FROM c""")
 def article_index(s, d):
     rows = pages(s, d).select("url", F.col("page_id").cast("string").alias("title"), F.col("html").alias("content"))
     return pipelines.article_chunks(rows).select("chunk_id", "article_url", "chunk_start", "chunk_end", "legal_code")
 
 
+@query(f"WITH {CONV} SELECT md5({sql_rendered()}) AS rendered, count(*) AS n FROM conv GROUP BY 1")
+def jsonl_round_trip(s, d):
+    """Conversations written as JSONL and read line by line."""
+    path = scratch.fresh_path(s)
+    sinks.jsonl(turns(s, d), path)
+    m = F.expr(f"try_variant_get(try_parse_json(item), '$.messages', '{messages.MESSAGES}')")
+    return readers.lines(s, path).select(F.md5(messages.rendered(m).cast("binary")).alias("rendered")).groupBy("rendered").agg(F.count(F.lit(1)).alias("n"))
+
+
+ITEM_TEXT = "'Статья ' || doc_id || '. ' || text"
+
+
+@query(rf"""WITH f AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'gk' WHEN 1 THEN 'tk' ELSE 'koap' END AS code, doc_id % 5 AS form, 'Вопрос ' || doc_id AS q, {ITEM_TEXT} AS t FROM documents WHERE doc_id % 5 < 4),
+    n AS (SELECT *, coalesce(nullif(replace(regexp_extract(t, '(?i)Статья\s+(\d+(?:\s+\d+)?)', 1), ' ', '_'), ''), 'unknown') AS number FROM f)
+    SELECT code, number AS article_number, code || '_' || number AS group_id, form < 2 AS is_messages_format, md5(CASE WHEN form < 3 THEN q ELSE 'Какая статья из ' || upper(code) || ' кодекс РФ регулирует: ' || q END) AS raw_case, md5(t) AS raw_article FROM n""")
+def raw_ingest(s, d):
+    """Records of the four forms (and others, which go) written as array files and read as a raw folder; codes come from file names."""
+    i = F.col("doc_id")
+    code = F.when(i % 3 == 0, "gk").when(i % 3 == 1, "tk").otherwise("koap")
+    asked, text = F.concat(F.lit("Вопрос "), i.cast("string")), F.concat(F.lit("Статья "), i.cast("string"), F.lit(". "), F.col("text"))
+    chat = F.array(messages.message("user", asked), messages.message("assistant", text))
+    pair = lambda a, b: F.to_json(F.struct(asked.alias(a), text.alias(b)))
+    item = F.when(i % 5 == 0, F.to_json(chat)).when(i % 5 == 1, F.to_json(F.struct(chat.alias("messages")))).when(i % 5 == 2, pair("case", "article")).when(i % 5 == 3, pair("title", "content")).otherwise('{"note": 1}')
+    rows = docs(s, d).select(code.alias("code"), F.floor(i / 300).alias("part"), item.alias("item"), "doc_id")
+    files = rows.groupBy("code", "part").agg(F.array_sort(F.collect_list(F.struct("doc_id", "item"))).alias("x"))  # 100 items at most
+    files = files.select("code", F.concat(F.lit("["), F.array_join(F.transform("x", lambda y: y["item"]), ","), F.lit("]")).alias("value"))
+    path, out = scratch.fresh_path(s), scratch.fresh_path(s)
+    fs_path = s._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(out).getFileSystem(s._jsc.hadoopConfiguration())
+    fs.mkdirs(fs_path(out))
+    files.write.option("maxRecordsPerFile", 1).partitionBy("code").text(path)
+    for k, name in enumerate(("gk_rf", "TK_RF", "koap")):
+        for j, f in enumerate(fs.globStatus(fs_path(f"{path}/code={name[:4].split('_')[0].lower()}/part-*"))):
+            fs.rename(f.getPath(), fs_path(f"{out}/actual_{name}_{k}_{j}.json"))
+    got = readers.raw_directory(s, out)
+    digest = lambda c: F.md5(F.col(c).cast("binary")).alias(c)
+    return got.select("code", "article_number", "group_id", "is_messages_format", digest("raw_case"), digest("raw_article"))
+
+
+@query("SELECT lang AS code, count(*) AS records, count(DISTINCT source) AS groups, count(*) FILTER (n_chars >= 1000) AS kept_records, count(DISTINCT source) FILTER (n_chars >= 1000) AS kept_groups FROM documents GROUP BY lang")
+def code_counts(s, d):
+    rows = docs(s, d).select(F.col("lang").alias("code"), F.concat_ws("_", "lang", "source").alias("group_id"), F.when(F.col("n_chars") < 1000, "short").alias("reason"))
+    return profile.code_counts(rows)
+
+
+@query("SELECT lower(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1)) AS domain, count(*) AS n, count(*)::DOUBLE / (SELECT count(*) FROM pages) AS share FROM pages GROUP BY 1")
+def domain_distribution(s, d):
+    return profile.domains(pages(s, d), "url")
+
+
+@query("SELECT unit, count(*) AS n FROM (SELECT unnest([CASE WHEN doc_id % 2 = 0 THEN 'статья' ELSE '' END, 'глава']) AS unit FROM documents) GROUP BY unit")
+def unit_counts(s, d):
+    node = lambda unit: F.struct(unit.alias("unit"))
+    nodes = docs(s, d).select(F.array(node(F.when(F.col("doc_id") % 2 == 0, "статья")), node(F.lit("глава"))).alias("nodes"))
+    return profile.units(nodes)
+
+
+@query(r"SELECT count(*) AS n, count(*) FILTER (k > 300) AS overlong, count(*) FILTER (k <= 300) AS fitting FROM (SELECT greatest(1, len(list_filter(string_split_regex(text, '[\s-]+'), lambda x: x <> ''))) AS k FROM documents)")
+def overlong_counts(s, d):
+    return profile.size_counts(docs(s, d), X.token_count(F.col("text")), 300)
+
+
+@query(r"SELECT doc_id FROM documents WHERE greatest(1, len(list_filter(string_split_regex(text, '[\s-]+'), lambda x: x <> ''))) <= 300")
+def overlong_filter(s, d):
+    return docs(s, d).filter(~quality.overlong(F.col("text"), 300)).select("doc_id")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loam.functions import text
-from loam.operators import chunk, dedup, html, messages, profile, quality, split
+from loam.operators import chunk, dedup, html, messages, profile, quality, split, vector
 from loam.operators.scratch import written
 from loam.sources import readers, sinks
 
@@ -26,12 +28,10 @@ def near_key(m: Column) -> Column:
 
 def deduplicated(tagged: DataFrame, order: str) -> DataFrame:
     """Reasons exact_duplicate and near_duplicate for rows that had none."""
-    kept = written(tagged.filter("reason is null"))
-    exact = dedup.exact(kept, F.to_json("messages"), order)
-    once = written(exact.filter("not is_dup").drop("is_dup"))
-    near = dedup.near(once, near_key(F.col("messages")), order)
-    parts = [tagged.filter("reason is not null"), exact.filter("is_dup").drop("is_dup").withColumn("reason", F.lit("exact_duplicate")), near.withColumn("reason", F.when(F.col("is_dup"), "near_duplicate")).drop("is_dup")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    free = F.col("reason").isNull()
+    told = lambda rows, why: rows.withColumn("reason", F.coalesce("reason", F.when(F.col("is_dup"), why))).drop("is_dup")
+    exact = written(told(dedup.exact(tagged, F.to_json("messages"), order, free), "exact_duplicate"))
+    return told(dedup.near(exact, near_key(F.col("messages")), order, free), "near_duplicate")
 
 
 def preprocess(spark: SparkSession, raw_dir: str, out: str, seed: int = 42, train: float = 0.8, val: float = 0.1, test: float = 0.1) -> DataFrame:
@@ -40,6 +40,7 @@ def preprocess(spark: SparkSession, raw_dir: str, out: str, seed: int = 42, trai
     records = readers.raw_directory(spark, raw_dir).withColumn("ord", F.struct("file_name", "item_idx"))
     tagged = written(deduplicated(written(tag(records)), "ord"))
     sinks.report(profile.stage_report(tagged), profile.reason_histogram(tagged), f"{out}/report")
+    sinks.code_report(profile.code_counts(tagged), f"{out}/codes")
     kept = tagged.filter("reason is null")
     if not kept.take(1):
         return kept
@@ -75,6 +76,24 @@ def article_chunks(articles: DataFrame) -> DataFrame:
     return chunk.with_code(chunk.chunk_ids(rows, "_o"), "url").select("chunk_id", "document", F.col("url").alias("article_url"), F.col("title").alias("article_title"), "chunk_start", "chunk_end", "legal_code")
 
 
+def build_retrieval(spark: SparkSession, articles: str, index: str, embed: Callable[[DataFrame], DataFrame]) -> dict[str, int]:
+    """Chunk, embed and index the articles of an array file; the old index goes. Gives counts of articles, those too short, and chunks."""
+    rows = readers.articles(spark, articles)
+    vector.build_index(article_chunks(rows), embed, index)
+    long = chunk.long_enough(F.col("content"))
+    counts = rows.agg(F.count(F.lit(1)).alias("articles"), F.count_if(~F.coalesce(long, F.lit(False))).alias("too_short")).first()
+    return {**counts.asDict(), "chunks": vector.open_index(spark, index).count()}
+
+
+def ask(spark: SparkSession, index: str, query: str, embed: Callable[[DataFrame], DataFrame], k: int = 5, code: str | None = None) -> DataFrame:
+    """The k chunks nearest to a query: rank, distance, similarity, text and metadata. A blank query finds nothing; code looks in one folder of the index only."""
+    rows = vector.open_index(spark, index)
+    vectors = embed(spark.createDataFrame([(query,)], "document string")).select("embedding").first() if query and query.strip() else None
+    if vectors is None or not vectors[0]:
+        return vector.results(vector.search(rows.limit(0), [1.0], k, id_="chunk_id"))
+    return vector.results(vector.search(rows, list(vectors[0]), k, None if code is None else F.col("legal_code") == code, id_="chunk_id"))
+
+
 def qa_dataset(spark: SparkSession, files: dict[str, str], out: str | None = None) -> DataFrame:
     """Question and answer messages of the article files (path: name of the law), written to out as JSON."""
     rows = readers.file_map(spark, files)
@@ -92,6 +111,45 @@ def labelled(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"law": name, "law_code": code})
 
 
+def label_file(spark: SparkSession, path: str, out: str) -> DataFrame:
+    """Label the records of an array file, write them, and give the counts of each law."""
+    made = labelled(readers.record_array(spark, path))
+    sinks.rows_json(made, out)
+    return made.groupBy("law_code", "law").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "law_code")
+
+
+def training_set(spark: SparkSession, path: str, most_tokens: int, overlong: str = "chunk", keep_ratio: float = 1.0, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Loader-normalized records (item, messages, text, n_tokens) that fit most_tokens, and one row of counts.
+
+    overlong: ``chunk`` cuts answers of over-long records to parts with a follow-up question, ``drop`` leaves the records
+    out, ``keep`` keeps them. Tokens are words where no tokenizer is given. keep_ratio below 1 takes a seeded share.
+    """
+    if overlong not in ("chunk", "drop", "keep"):
+        raise ValueError(f"overlong is chunk, drop or keep, not {overlong}")
+    rows = readers.training_records(spark, path)
+    if keep_ratio < 1:
+        rows = rows.filter(split.unit(F.col("item"), seed) < keep_ratio)
+    rows = readers.with_fields(rows, messages.LEGACY)
+    user, answer = messages.legacy_pair(rows)
+    rows = rows.withColumn("messages", F.coalesce(messages.loader_messages(F.col("messages")), F.when((user != "") & (answer != ""), F.array(messages.message("user", user), messages.message("assistant", answer)))))
+    good = written(rows.filter(F.col("messages").isNotNull()).select("item", "messages"))
+    sized = good.withColumn("n_tokens", text.token_count(messages.inst_text(F.col("messages"))))
+    fits = F.col("n_tokens") <= most_tokens
+    counts = sized.agg(F.count(F.lit(1)).alias("loaded"), F.count_if(fits).alias("fitting"), F.count_if(~fits).alias("overlong"))
+    if overlong != "keep":
+        short = sized.filter(fits)
+        if overlong == "chunk":
+            long = sized.filter(~fits).select("item", F.expr("filter(messages, m -> m.role <> 'user' AND m.role <> 'assistant')").alias("rest"), messages.last_of(F.col("messages"), "user").alias("user"), messages.last_of(F.col("messages"), "assistant").alias("answer"))
+            parts = chunk.answer_parts(long, most_tokens)
+            parts = parts.withColumn("messages", F.concat("rest", F.array(messages.message("user", F.col("user")), messages.message("assistant", F.col("answer")))))
+            short = short.unionByName(parts.select("item", "messages").withColumn("n_tokens", text.token_count(messages.inst_text(F.col("messages")))))
+        sized = short
+    made = sized.withColumn("text", messages.inst_text(F.col("messages")))
+    dropped = F.col("overlong") if overlong == "drop" else F.lit(0).cast("long")
+    chunked = F.col("overlong") if overlong == "chunk" else F.lit(0).cast("long")
+    return made, counts.select("loaded", "fitting", dropped.alias("dropped"), chunked.alias("chunked"))
+
+
 def page_pairs(docs: DataFrame, out: str | None = None, test_ratio: float = 0.1, seed: int = 42, most: int = 900) -> DataFrame:
     """Pages with content trees (code, doc_hash, html, nodes) -> pairs (case, article) with their split, by code.
 

@@ -54,18 +54,54 @@ def raw_directory(spark: SparkSession, path: str, codes: list[tuple[str, str]] =
     return records(items(spark, path).withColumn("code", code_of(F.col("file_name"), codes)).filter(F.col("code").isNotNull())).select(*RECORD)
 
 
+def first_character(spark: SparkSession, file: str) -> str:
+    """The first one of a (compressed) file that is no white space or byte order mark."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(file)
+    stream = at.getFileSystem(conf).open(at)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(at)
+    stream = stream if codec is None else codec.createInputStream(stream)
+    try:
+        while (b := stream.read()) != -1:
+            if b not in b" \t\r\n\xef\xbb\xbf":
+                return chr(b)
+        return ""
+    finally:
+        stream.close()
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """line and item of JSONL files, or of files that hold one array; blank and broken lines are skipped, a missing path gives no rows."""
+    """item of JSONL files, or of files that hold one array; blank and broken lines are skipped, a missing path gives no rows.
+
+    The driver looks at the first character of each file. JSONL is read line by line, so that large files are
+    split; an array is one row (2 GB at most).
+    """
     from pyspark.errors import AnalysisException
 
     try:
-        files = spark.read.text(path, wholetext=True)
-        text = files.select(F.ltrim(F.regexp_replace("value", "^﻿", "")).alias("value"))
-        split = F.when(F.col("value").startswith("["), F.from_json("value", "array<string>")).otherwise(F.split("value", "\n"))
-        rows = text.select(F.posexplode(split).alias("line", "item"))
-        return rows.filter((strip(F.col("item")) != "") & F.expr("try_parse_json(item)").isNotNull())
+        uri = spark._jvm.java.net.URI
+        files = [spark._jvm.org.apache.hadoop.fs.Path(uri(f)).toString() for f in spark.read.text(path).inputFiles()]
     except AnalysisException:
-        return spark.createDataFrame([], "line int, item string")
+        files = []
+    arrays = [f for f in files if first_character(spark, f) == "["]
+    out = spark.createDataFrame([], "item string")
+    if len(arrays) < len(files):
+        some = spark.read.text([f for f in files if f not in set(arrays)])
+        out = out.unionByName(some.select(F.regexp_replace("value", "^\ufeff", "").alias("item")))
+    if arrays:
+        whole = spark.read.text(arrays, wholetext=True)
+        out = out.unionByName(whole.select(F.explode(F.from_json(F.regexp_replace("value", "^\ufeff", ""), "array<string>")).alias("item")))
+    return out.filter((strip(F.col("item")) != "") & F.expr("try_parse_json(item)").isNotNull())
+
+
+def with_fields(rows: DataFrame, names: list[str]) -> DataFrame:
+    """String fields of item (JSON) as columns; null where there is none."""
+    return rows.withColumns({n: F.expr(f"try_variant_get(try_parse_json(item), '$.{n}', 'string')") for n in names})
+
+
+def record_array(spark: SparkSession, path: str) -> DataFrame:
+    """The objects of an array file with all their fields."""
+    return spark.read.json(path, multiLine=True)
 
 
 def training_records(spark: SparkSession, path: str) -> DataFrame:

@@ -11,18 +11,18 @@ def one(spark, column):
 
 @pytest.mark.parametrize(
     ("given", "wanted"),
-    [('id="test">Текст с артефактами', "Текст с артефактами"), ("a null b", "a  b"), ("x\r\ny", "x\r y"), ("<b>x</b>", "<b>x</b>"), ("nullable Undefined", "nullable"), ("  > a", "> a"), ("яnull z", "яnull z")],
+    [('id="n-77"  > Закон принят', "Закон принят"), ("a null b", "a  b"), ("x\r\ny", "x\r y"), ("<b>x</b>", "<b>x</b>"), ("nullable Undefined", "nullable"), ("  > a", "> a"), ("яnull z", "яnull z")],
 )
 def test_clean_chat(spark, given, wanted):
     assert one(spark, X.clean_chat(F.lit(given))) == wanted
 
 
-@pytest.mark.parametrize(("given", "wanted"), [("Статья 1. Название статьи", "1"), ("Статья 1 2. Название", "1_2"), ("Просто текст без номера", "unknown"), ("статья 14.3 x", "14"), ("СТАТЬЯ 7", "7"), ("Статья 5 2024 года", "5_2024")])
+@pytest.mark.parametrize(("given", "wanted"), [("Статья 81. Отпуск", "81"), ("см. Статья 30  4. Сроки", "30__4"), ("Глава о договорах", "unknown"), ("статья 14.3 x", "14"), ("СТАТЬЯ 7", "7"), ("Статья 5 2024 года", "5_2024")])
 def test_article_number(spark, given, wanted):
     assert one(spark, X.article_number(F.lit(given))) == wanted
 
 
-@pytest.mark.parametrize(("given", "number", "title"), [("Статья 1. Основные", "1", "Основные"), ("Статья 12", "1", "2"), ("Статья 5", "неизвестная", "Статья 5"), ("Статья 12½. Тест", "12½", "Тест"), ("Статья 3-1 Имя", "3-1", "Имя")])
+@pytest.mark.parametrize(("given", "number", "title"), [("Статья 44. Залог", "44", "Залог"), ("Статья 12", "1", "2"), ("Статья 5", "неизвестная", "Статья 5"), ("Статья 7½. Аренда", "7½", "Аренда"), ("Статья 3-1 Имя", "3-1", "Имя")])
 def test_title(spark, given, number, title):
     n, t = X.title_parts(F.lit(given))
     assert (one(spark, n), one(spark, t)) == (number, title)
@@ -66,5 +66,30 @@ def test_links(spark):
     assert [r["link"] for r in html.article_links(df, "https://h").orderBy("rank").collect()] == ["https://h/law/statia-1", "https://h/law/statia-2"]
     assert html.article_links(df, "https://h", 1).count() == 1
     page = f'<a href="?hash={"a" * 64}&docid=5">Кодекс</a>'
-    got = html.codex_links(spark.createDataFrame([("u", page)], "url string, html string"), "кодекс").first()
+    got = html.codex_links(spark.createDataFrame([("u", page)], "url string, html string"), "Кодекс").first()
     assert (got["hash"], got["docid"]) == ("a" * 64, 5)
+    page = "".join(f'<a href="?hash={c * 64}">{label}</a>' for c, label in (("a", "КоАП РФ"), ("b", "Кодекс об административных"), ("c", "коап"), ("d", "иное")))
+    got = html.codex_links(spark.createDataFrame([("u", page)], "url string, html string"), "административных", "КоАП").collect()
+    assert sorted(r["hash"][0] for r in got) == ["a", "b"]
+
+
+@pytest.mark.parametrize(
+    ("page", "url", "wanted"),
+    [
+        ('<i data-redid="12"></i><meta name="redid" content="9999">', None, 12),
+        ('<meta content="7 x" name="app-RDK"><script>redid = 5555</script>', None, 7),
+        ("<script>redid: 900; rdk = '12345678'</script>", None, 12345678),
+        ("<p>redid = 5555</p>", "https://h/x#docid=31", 31),
+        ("<p>page 2024, but only very much later 4321 (doc)</p>", None, 4321),
+        ("<p>rdk, and then long after it 4321</p>", None, None),
+        ("<p>0012 rdk 1234567 rdk</p>", None, None),
+        ("", None, None),
+    ],
+)
+def test_redid(spark, page, url, wanted):
+    df = spark.createDataFrame([(page, url)], "page string, url string")
+    assert df.select(html.redid(F.col("page"), None if url is None else F.col("url")).alias("x")).first()["x"] == wanted
+
+
+def test_redid_null(spark):
+    assert spark.createDataFrame([(None,)], "page string").select(html.redid(F.col("page")).alias("x")).first()["x"] is None
