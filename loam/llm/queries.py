@@ -10,8 +10,6 @@ from loam.llm import bpe, imatch, langid, neardup_vectors, ngram_join, packing,
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import corpus_pipeline  # at the top of the repository; it imports this subpackage
-
     ops = (
         tokenfile.op1_token_parquet,
         langid.op2_subword_langid,
@@ -24,7 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         packing.op9_pattern_packing,
         toxicity.op10_toxicity_knn,
     )
-    return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
