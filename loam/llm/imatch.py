@@ -16,12 +16,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.common import pieces, save, table
+from loam.llm.common import pieces, placed, table
 
 #: The band: terms in at least LEAST and at most MOST of all documents (inverse document frequencies from 2.3 to 6.9), and in two at least.
 LEAST, MOST = 0.001, 0.1
-#: Terms of a lexicon, at most (8 MB): with more in the band, its lower edge rises.
-LEXICON = 1_000_000
 #: Share of the lexicon that a subset keeps, and subsets of each share. Smaller ones outlive larger edits.
 SHARES, EACH = (0.25, 0.1, 0.04, 0.015, 0.006, 0.0025, 0.001, 0.0004), 6
 SUBSETS = len(SHARES) * EACH
@@ -130,18 +128,10 @@ def likeness(a: str, b: str) -> float:
 
 
 def lexicon(docs: DataFrame) -> Lexicon:
-    """The band's terms over all docs. They are at most LEXICON; without the limit they'd be at most the mean count of distinct terms of a document, divided by LEAST."""
+    """All terms of the band over all docs, 8 bytes each. Each is in LEAST of the documents, so they are at most the mean count of distinct terms of a document, divided by LEAST, however many documents there are."""
     n = docs.count()
-    band = save(document_frequencies(docs).filter((F.col("df") >= max(2, LEAST * n)) & (F.col("df") <= max(2, MOST * n))), "band")
-    step = F.floor(F.log2("df") * 16)
-    kept, least = 0, None
-    for row in sorted(band.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["step"]):  # 16 rows for each doubling
-        kept += row["n"]
-        if kept > LEXICON:
-            break
-        least = row["step"]
-    rows = [] if least is None else band.filter(step >= least).select("term").toPandas()["term"].to_numpy()
-    return Lexicon(np.sort(np.array(rows, np.int64).view(np.uint64)))
+    band = document_frequencies(docs).filter((F.col("df") >= max(2, LEAST * n)) & (F.col("df") <= max(2, MOST * n)))
+    return Lexicon(np.sort(band.select("term").toPandas()["term"].to_numpy().astype(np.int64).view(np.uint64)))
 
 
 def fingerprint(docs: DataFrame, lex: Lexicon, keep: list[str]) -> DataFrame:
@@ -153,8 +143,8 @@ def fingerprint(docs: DataFrame, lex: Lexicon, keep: list[str]) -> DataFrame:
 
 
 def borders(docs: DataFrame, n: int) -> tuple[list[tuple], tuple | None]:
-    """Keys (no id, -id, hash of the text) of rows that cut docs, in descending doc_id order, into about n ranges; and the first row's key."""
-    key = F.struct(F.col("doc_id").isNull().alias("a"), (-F.coalesce("doc_id", F.lit(0))).alias("b"), F.xxhash64("text").alias("c"))
+    """Keys (no id, complement of the id, hash of the text, hash of the row's place) of rows that cut docs, in descending doc_id order, into about n ranges; and the first row's key."""
+    key = F.struct(F.col("doc_id").isNull().alias("a"), F.bitwise_not(F.coalesce("doc_id", F.lit(0))).alias("b"), F.col("mark").alias("c"), F.col("spot").alias("d"))
     keys = docs.select(key.alias("k"))
     total = keys.agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first")).first()
     if not total["n"]:
@@ -166,14 +156,16 @@ def borders(docs: DataFrame, n: int) -> tuple[list[tuple], tuple | None]:
 def with_next(docs: DataFrame, lex: Lexicon, splits: int | None = None) -> DataFrame:
     """op3's columns: docs (doc_id, text) against their edits and their followers in descending doc_id order.
 
-    Equal doc_ids are ordered by a hash of the text; null ones come last. Documents are dealt by ranges
-    whose borders are keys of documents, texts compressed; a document that begins a range is sent to the range
-    before it as well, so that each range holds the followers of all its documents. The first one is also
-    sent to the last range. A single document follows itself.
+    Equal doc_ids are ordered by a hash of the text, then of the row's place; null ones come last, null texts are
+    empty, other columns are left out. Documents are dealt by ranges whose borders are keys of documents, texts
+    compressed, so that equal rows are dealt out too; a document that begins a range is sent to the range before it as well,
+    so that each range holds the followers of all its documents. The first one is also sent to the last range. A
+    single document follows itself.
     """
     spark = docs.sparkSession
     parts = splits or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts, first = borders(docs, 3 * parts)
+    rows = placed(docs, "doc_id", "text").select("doc_id", "text", F.xxhash64("text").alias("mark"), F.xxhash64("_file", "_row").alias("spot"))
+    cuts, first = borders(rows, 3 * parts)
     sent = spark.sparkContext.broadcast((lex, cuts, first))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,13 +175,13 @@ def with_next(docs: DataFrame, lex: Lexicon, splits: int | None = None) -> DataF
         for piece in pieces(batches):
             ids, texts = piece.column("doc_id").to_pylist(), piece.column("text").to_pylist()
             rows = []
-            for i, text, mark in zip(ids, texts, piece.column("mark").to_pylist()):
-                key, packed = (i is None, -(i or 0), mark), press.compress((text or "").encode())
-                rows.append((bisect_right(cuts, key), i, -(i or 0), i is None, mark, False, packed))
+            for i, text, mark, spot in zip(ids, texts, piece.column("mark").to_pylist(), piece.column("spot").to_pylist()):
+                key, packed = (i is None, ~(i or 0), mark, spot), press.compress((text or "").encode())
+                rows.append((bisect_right(cuts, key), i, *key, False, packed))
                 if key in heads:
-                    rows.append((heads[key], i, -(i or 0), i is None, mark, True, packed))
+                    rows.append((heads[key], i, *key, True, packed))
                 if key == first:
-                    rows.append((len(cuts), i, -(i or 0), i is None, mark, True, packed))
+                    rows.append((len(cuts), i, *key, True, packed))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), KINDS)], names=NAMES)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,16 +213,16 @@ def with_next(docs: DataFrame, lex: Lexicon, splits: int | None = None) -> DataF
             names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
         )
 
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
-    dealt = rows.mapInArrow(deal, "bucket int, doc_id long, minus long, unnamed boolean, mark long, look boolean, packed binary")
-    dealt = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "look", "unnamed", "minus", "mark")
+    dealt = rows.mapInArrow(deal, "bucket int, doc_id long, unnamed boolean, minus long, mark long, spot long, look boolean, packed binary")
+    dealt = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "look", "unnamed", "minus", "mark", "spot")
     return dealt.select("bucket", "doc_id", "look", "packed").mapInArrow(compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-NAMES = ["bucket", "doc_id", "minus", "unnamed", "mark", "look", "packed"]
-KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.bool_(), pa.binary()]
+NAMES = ["bucket", "doc_id", "unnamed", "minus", "mark", "spot", "look", "packed"]
+KINDS = [pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
 
 
 def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their edits against the lexicon of all documents; null is empty, repeated rows follow each other."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return with_next(docs, lexicon(docs))
