@@ -24,6 +24,8 @@ class Rule:
 
 #: Fixed by the contract of the query.
 RULES = [Rule("org", "/", "allow"), Rule("example.org", "/es/", "block"), Rule("example.org", "/en/1", "block"), Rule("com", "/fr/", "allow"), Rule("com", "/de/", "block")]
+#: Suffixes of more than one label under which domains are registered; a host's registered domain has one label more than its suffix. A parameter of judge(); these are common ones, one label stands for all others.
+SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp", "or.jp", "ac.jp", "co.kr", "com.br", "com.cn", "com.mx", "com.tr", "com.ar", "co.in", "co.za")
 #: A host is blocked if its share of bad pages is above THRESHOLD even at the lower bound, Z standard deviations under the posterior mean.
 Z, THRESHOLD = 1.645, 0.5
 #: Limits of a prior's strength, in pages.
@@ -64,18 +66,20 @@ def strength(groups: DataFrame, n: str, k: str, out: str) -> DataFrame:
     return got.select(value.alias(out))
 
 
-def reputations(pages: DataFrame) -> DataFrame:
+def reputations(pages: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """One row a host: posterior mean and lower bound of its share of bad pages.
 
     pages has host and outcome (1 bad, 0 good, null unlabelled). Pages are summed by host first, so a
     host with a third of all pages is one row of a map-side sum. Counts then roll up to the registered
-    domain (the last two labels) and the suffix (the last one). Each level's mean is shrunk to that
+    domain and the suffix (one of suffixes, else the last label; a port counts for neither). Each level's mean is shrunk to that
     above by a prior whose strength comes from the spread of the level's own groups. Hosts without
     labels get their domain's, suffix' or the corpus' mean; without any label that is 1/2.
     """
-    last = lambda i: F.substring_index("host", ".", -i)
+    bare = F.regexp_replace("host", r":\d*$", "")
+    last = lambda i: F.substring_index(bare, ".", -i)
+    double = last(2).isin(*suffixes) if suffixes else F.lit(False)
     hosts = pages.groupBy("host").agg(F.count("outcome").alias("n"), F.coalesce(F.sum(F.col("outcome").cast("long")), F.lit(0)).alias("k"))
-    hosts = save(hosts.withColumns({"domain": last(2), "suffix": last(1)}), "hosts")
+    hosts = save(hosts.withColumns({"domain": F.when(double, last(3)).otherwise(last(2)), "suffix": F.when(double, last(2)).otherwise(last(1))}), "hosts")
     level = lambda by: hosts.groupBy(by).agg(F.sum("n").alias(f"n_{by}"), F.sum("k").alias(f"k_{by}"))
     domains, suffixes = save(level("domain"), "domains"), save(level("suffix"), "suffixes")
     root = hosts.agg(((F.coalesce(F.sum("k"), F.lit(0)) + 1.0) / (F.coalesce(F.sum("n"), F.lit(0)) + 2.0)).alias("m0")).first()["m0"]
@@ -89,7 +93,7 @@ def reputations(pages: DataFrame) -> DataFrame:
     return out.select("host", "n", "k", "mean", (F.col("mean") - Z * spread).alias("lower"))
 
 
-def judge(pages: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule] = RULES, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """All rows of pages (page_id, url, ...) with host, path, rule and verdict.
 
     Pages that a rule fits have the rule's verdict and serve as the labelled outcomes; others are
@@ -99,12 +103,13 @@ def judge(pages: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     rows = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     rows = with_rule(rows, rules)
     known = rows.select("host", F.when(F.col("rule_verdict") == "block", 1).when(F.col("rule_verdict") == "allow", 0).alias("outcome"))
-    blocked = save(reputations(known).select("host", (F.col("lower") > THRESHOLD).alias("_blocked")), "reputations")
+    blocked = save(reputations(known, suffixes).select("host", (F.col("lower") > THRESHOLD).alias("_blocked")), "reputations")
     own = F.when(F.col("_blocked"), "block").otherwise("allow")
     return rows.join(blocked, "host", "left").withColumn("verdict", F.coalesce("rule_verdict", own)).drop("_blocked", "rule_verdict")
 
 
 def op8_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages with host, path, rule and verdict; null and odd urls have an empty host, repeated rows stay."""
     return judge(table(spark, sf_dir, "pages", "page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -123,8 +128,10 @@ def oracle() -> str:
     WITH cut AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), '{upper}', '{lower}') AS host,
         regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
     ruled AS (SELECT *, {case("name")} AS rule, {case("verdict")} AS rule_verdict FROM cut),
-    hosts AS (SELECT host, list_aggregate(list_slice(string_split(host, '.'), -2, -1), 'string_agg', '.') AS domain, string_split(host, '.')[-1] AS suffix,
-        count(rule_verdict) AS n, count(*) FILTER (rule_verdict = 'block') AS k FROM ruled GROUP BY host),
+    labels_of AS (SELECT host, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS l, rule_verdict FROM ruled),
+    cut_hosts AS (SELECT host, l, rule_verdict, CASE WHEN array_to_string(l[-2:], '.') IN ({", ".join(f"'{x}'" for x in SUFFIXES)}) THEN 2 ELSE 1 END AS s FROM labels_of),
+    hosts AS (SELECT host, array_to_string(l[-1 - s:], '.') AS domain, array_to_string(l[-s:], '.') AS suffix,
+        count(rule_verdict) AS n, count(*) FILTER (rule_verdict = 'block') AS k FROM cut_hosts GROUP BY ALL),
     domains AS (SELECT domain, sum(n) AS n_domain, sum(k) AS k_domain FROM hosts GROUP BY domain),
     suffixes AS (SELECT suffix, sum(n) AS n_suffix, sum(k) AS k_suffix FROM hosts GROUP BY suffix),
     params AS (SELECT (SELECT (coalesce(sum(k), 0) + 1)::DOUBLE / (coalesce(sum(n), 0) + 2) FROM hosts) AS m0, {c("hosts", "n", "k")} AS ch, {c("domains", "n_domain", "k_domain")} AS cd, {c("suffixes", "n_suffix", "k_suffix")} AS cs),
