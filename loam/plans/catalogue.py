@@ -439,17 +439,29 @@ def vector_topk_filtered(s, d):
     return nearest(e.filter("label = 3"), e)
 
 
-@query()
+def sql_unescape(x: str) -> str:
+    for name, char in (("copy", "©"), ("middot", "·"), ("nbsp", "\xa0"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "\'\'"), ("amp", "&")):
+        x = f"replace({x}, '&{name};', '{char}')"
+    return x
+
+
+BARE = "bare AS (SELECT page_id, url, regexp_replace(coalesce(html, ''), '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->|<!DOCTYPE[^>]*>', chr(1), 'g') AS h FROM pages)"
+
+
+@query(rf"""WITH {BARE} SELECT url, CASE WHEN regexp_matches(h, '(?is)<h1\b') THEN {sql_strip(sql_unescape(r"regexp_replace(regexp_extract(h, '(?is)<h1\b[^>]*>(.*?)</h1>', 1), '<[^>]*>|' || chr(1), '', 'g')"))} ELSE 'Unknown Title' END AS title,
+    md5({sql_strip(sql_unescape("regexp_replace(h, '<[^>]*>|' || chr(1), '', 'g')"))}) AS content FROM bare""")
 def parse_pages(s, d):
-    return html.parse_pages(pages(s, d), "document")
+    return html.parse_pages(pages(s, d), "document").select("url", "title", F.md5(F.col("content").cast("binary")).alias("content"))
 
 
-@query()
+@query(rf"""WITH {BARE}, x AS (SELECT url, regexp_extract_all(h, '(?is)<a\s[^>]*?href="([^"]*)"[^>]*>.*?</a>', 1) AS hrefs, regexp_extract_all(h, '(?is)<a\s[^>]*?href="[^"]*"[^>]*>(.*?)</a>', 1) AS labels FROM bare),
+    y AS (SELECT url, unnest(range(len(hrefs))) AS pos, unnest(hrefs) AS href, unnest(labels) AS label FROM x)
+    SELECT url, pos::INTEGER AS pos, {sql_unescape("href")} AS href, {sql_strip(sql_unescape("regexp_replace(label, '<[^>]*>|' || chr(1), '', 'g')"))} AS label FROM y""")
 def page_links(s, d):
     return html.links(pages(s, d))
 
 
-@query()
+@query(rf"""WITH {BARE} SELECT page_id, {sql_squeeze("array_to_string(list_filter(list_transform(string_split(" + sql_unescape("regexp_replace(h, '<[^>]*>|' || chr(1), chr(10), 'g')") + ", chr(10)), lambda x: " + sql_strip("x") + "), lambda x: x <> '' AND x NOT IN (" + ", ".join(f"'{x}'" for x in X.STOP_LINES) + ")), chr(10))")} AS text FROM bare""")
 def fragment_to_text(s, d):
     return pages(s, d).select("page_id", html.page_text(F.col("html")).alias("text"))
 
@@ -580,6 +592,55 @@ def raw_ingest(s, d):
     return got.select("code", "article_number", "group_id", "is_messages_format", digest("raw_case"), digest("raw_article"))
 
 
+@query(BASE.replace("tagged AS", "t AS") + """, r AS (SELECT coalesce(reason, 'kept') AS k, count(*) AS n FROM t GROUP BY 1)
+    SELECT (SELECT count(*) FROM t) AS initial_count, (SELECT count(*) FROM t WHERE reason IS NULL) AS after_dedup, coalesce((SELECT n FROM r WHERE k = 'exact_duplicate'), 0) AS exact_duplicates, (SELECT count(*) FROM r WHERE k <> 'kept') AS n_reasons""")
+def report_written(s, d):
+    """The preprocessing report, from the file that it is written to."""
+    rows, path = tagged(s, d), scratch.fresh_path(s)
+    sinks.report(profile.stage_report(rows), profile.reason_histogram(rows), path)
+    told = F.col("removed_reasons")
+    return s.read.schema("initial_count long, after_dedup long, removed_reasons map<string, long>").json(path).select("initial_count", "after_dedup", F.coalesce(F.try_element_at(told, F.lit("exact_duplicate")), F.lit(0)).alias("exact_duplicates"), F.size(told).cast("long").alias("n_reasons"))
+
+
+@query(f"""WITH {CONV}, h AS (SELECT CASE WHEN conv_id % 2 = 0 THEN 'even' ELSE 'odd' END AS dataset, {NOISY_SQL} AS noisy FROM conv) SELECT dataset, count(*) AS total_records, count(*) FILTER (noisy) AS noise_count FROM h GROUP BY dataset""")
+def health_written(s, d):
+    """The health report, from the file that it is written to."""
+    path = scratch.fresh_path(s)
+    sinks.health_report(profile.health(turns(s, d), F.when(F.col("conv_id") % 2 == 0, "even").otherwise("odd")), path)
+    told = s.read.schema("datasets map<string, struct<total_records: long, noise_count: long>>").json(path)
+    return told.select(F.explode("datasets").alias("dataset", "x")).select("dataset", "x.total_records", "x.noise_count")
+
+
+@query(f"""WITH {CONV}, {LOADED} SELECT md5({sql_rendered()}) AS rendered, count(*) AS n FROM loaded WHERE m IS NOT NULL GROUP BY 1""")
+def training_read(s, d):
+    """Conversations written as JSONL, read strictly and normalized for training."""
+    path = scratch.fresh_path(s)
+    sinks.jsonl(turns(s, d), path)
+    rows = readers.training_records(s, path)
+    m = messages.loader_messages(F.col("messages"))
+    return rows.select(m.alias("m")).filter("m is not null").select(F.md5(messages.rendered(F.col("m")).cast("binary")).alias("rendered")).groupBy("rendered").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {CHUNKS} SELECT upper(lang) AS legal_code, count(*) AS n, sum(length(substring(text, chunk_no * 2100 + 1, 2500)))::BIGINT AS chars FROM chunks JOIN (SELECT doc_id, lang FROM documents) USING (doc_id) GROUP BY 1""")
+def index_round_trip(s, d):
+    """Chunks of articles read from JSON, embedded, written as an index in folders by code, and read back."""
+    source, index = scratch.fresh_path(s), scratch.fresh_path(s)
+    rows = docs(s, d).select(F.concat(F.lit("https://h/"), "lang", F.lit("/"), F.col("doc_id").cast("string")).alias("url"), F.lit("t").alias("title"), F.col("text").alias("content"))
+    rows.write.json(source)
+    vector.build_index(pipelines.article_chunks(readers.articles_lines(s, source)), vector.hashed, index)
+    return vector.open_index(s, index).groupBy("legal_code").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("document")).alias("chars"))
+
+
+@query(f"SELECT law_code, law, count(*) AS n FROM ({SQL['law_label']}) GROUP BY ALL")
+def labels_written(s, d):
+    """Labelled records, from the file that they are written to."""
+    path = scratch.fresh_path(s)
+    i, m = F.col("doc_id").cast("string"), F.col("doc_id") % 5
+    article = F.when(m == 0, F.concat(F.lit("Статья "), i, F.lit(" ГК РФ"))).when(m == 1, F.concat(F.lit("статья "), i, F.lit(" тк"))).when(m == 2, "Статья 1 КоАП").when(m == 3, F.concat(F.lit("Статья "), i, F.lit(". Понятие"))).otherwise(F.col("text"))
+    sinks.rows_json(pipelines.labelled(docs(s, d).select(article.alias("article"), F.when(m == 4, "").otherwise("Статья 9 УК").alias("title"))), path)
+    return s.read.schema("law string, law_code string").json(path).groupBy("law_code", "law").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT lang AS code, count(*) AS records, count(DISTINCT source) AS groups, count(*) FILTER (n_chars >= 1000) AS kept_records, count(DISTINCT source) FILTER (n_chars >= 1000) AS kept_groups FROM documents GROUP BY lang")
 def code_counts(s, d):
     rows = docs(s, d).select(F.col("lang").alias("code"), F.concat_ws("_", "lang", "source").alias("group_id"), F.when(F.col("n_chars") < 1000, "short").alias("reason"))

@@ -70,28 +70,34 @@ def first_character(spark: SparkSession, file: str) -> str:
         stream.close()
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """item of JSONL files, or of files that hold one array; blank and broken lines are skipped, a missing path gives no rows.
+def texts(spark: SparkSession, path: str, mode: str) -> DataFrame:
+    """value: the lines of JSONL files, and the elements of files that hold one array, of a path that exists.
 
     The driver looks at the first character of each file. JSONL is read line by line, so that large files are
-    split; an array is one row (2 GB at most).
+    split; an array is one row (2 GB at most). mode is that of from_json for arrays.
     """
-    from pyspark.errors import AnalysisException
-
-    try:
-        uri = spark._jvm.java.net.URI
-        files = [spark._jvm.org.apache.hadoop.fs.Path(uri(f)).toString() for f in spark.read.text(path).inputFiles()]
-    except AnalysisException:
-        files = []
+    uri = spark._jvm.java.net.URI
+    files = [spark._jvm.org.apache.hadoop.fs.Path(uri(f)).toString() for f in spark.read.text(path).inputFiles()]
     arrays = [f for f in files if first_character(spark, f) == "["]
-    out = spark.createDataFrame([], "item string")
+    out = spark.createDataFrame([], "value string")
+    value = F.regexp_replace("value", "^\ufeff", "")
     if len(arrays) < len(files):
-        some = spark.read.text([f for f in files if f not in set(arrays)])
-        out = out.unionByName(some.select(F.regexp_replace("value", "^\ufeff", "").alias("item")))
+        out = out.unionByName(spark.read.text([f for f in files if f not in set(arrays)]).select(value.alias("value")))
     if arrays:
         whole = spark.read.text(arrays, wholetext=True)
-        out = out.unionByName(whole.select(F.explode(F.from_json(F.regexp_replace("value", "^\ufeff", ""), "array<string>")).alias("item")))
-    return out.filter((strip(F.col("item")) != "") & F.expr("try_parse_json(item)").isNotNull())
+        out = out.unionByName(whole.select(F.explode(F.from_json(value, "array<string>", {"mode": mode})).alias("value")))
+    return out
+
+
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """item of JSONL files, or of files that hold one array; blank and broken lines are skipped, a missing path gives no rows."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        out = texts(spark, path, "PERMISSIVE")
+    except AnalysisException:
+        out = spark.createDataFrame([], "value string")
+    return out.select(F.col("value").alias("item")).filter((strip(F.col("item")) != "") & F.expr("try_parse_json(item)").isNotNull())
 
 
 def with_fields(rows: DataFrame, names: list[str]) -> DataFrame:
@@ -105,12 +111,8 @@ def record_array(spark: SparkSession, path: str) -> DataFrame:
 
 
 def training_records(spark: SparkSession, path: str) -> DataFrame:
-    """item and messages of ``.jsonl``, ``.jsonl.gz`` or array files. Blank lines and lines that begin with ``#`` are skipped; any other line that is no JSON object fails the job."""
-    array = path.endswith(".json")
-    rows = spark.read.text(path, wholetext=array)
-    if array:
-        rows = rows.select(F.explode(F.from_json(F.regexp_replace("value", "^﻿", ""), "array<string>", {"mode": "FAILFAST"})).alias("value"))
-    rows = rows.select(strip(F.regexp_replace("value", "^﻿", "")).alias("item")).filter((F.col("item") != "") & ~F.col("item").startswith("#"))
+    """item and messages of JSONL (compressed too) or array files. Blank lines and lines that begin with ``#`` are skipped; any other line that is no JSON object fails the job."""
+    rows = texts(spark, path, "FAILFAST").select(strip(F.col("value")).alias("item")).filter((F.col("item") != "") & ~F.col("item").startswith("#"))
     kind = F.expr("schema_of_variant(parse_json(item))")
     rows = rows.withColumn("item", F.when(kind.startswith("OBJECT"), F.col("item")).otherwise(F.raise_error(F.concat(F.lit("no JSON object: "), F.left("item", F.lit(80))))))
     return rows.withColumn("messages", F.expr(f"try_variant_get(try_parse_json(item), '$.messages', '{MESSAGES}')"))
@@ -121,6 +123,11 @@ def articles(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("url string, title string, content string").json(path, multiLine=True)
 
 
+def articles_lines(spark: SparkSession, path: str) -> DataFrame:
+    """url, title, content of JSONL files, which are split where they are large."""
+    return spark.read.schema("url string, title string, content string").json(path)
+
+
 def file_map(spark: SparkSession, files: dict[str, str]) -> DataFrame:
     """Articles of the files that exist, with the name each is listed under, in listed order."""
     from pyspark.errors import AnalysisException
