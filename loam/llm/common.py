@@ -46,22 +46,48 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Scratch tables that are still there.
+_tables: dict[str, SparkSession] = {}
+
+
 def save(df: DataFrame, name: str, **options: object) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts the lineage with files that outlive executors."""
+    """Write df to the shared folder and read it again: cuts the lineage with files that outlive executors. Deleted at the end of the driver, unless dropped before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loam-{uuid.uuid4().hex}/{name}"
+    if not _tables:
+        atexit.register(sweep)
+    _tables[path] = spark
     df.write.options(**{"compression": "zstd"} | options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.loam_path = path
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Delete a scratch table that later plans no longer read."""
-    spark, path = df.sparkSession, getattr(df, "loam_path", None)
-    if path:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def drop(*tables: DataFrame) -> None:
+    """Delete scratch tables that later plans no longer read."""
+    for df in tables:
+        path = getattr(df, "loam_path", None)
+        if path:
+            remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _tables.pop(path, None)
+
+
+def tables() -> set[str]:
+    return set(_tables)
+
+
+def sweep(keep: set[str] = frozenset()) -> None:
+    """Delete all scratch tables but some; at the end of the driver, as long as there is a session to do it with."""
+    for path, spark in list(_tables.items()):
+        if path not in keep:
+            with contextlib.suppress(Exception):
+                remove(spark, path)
+            _tables.pop(path, None)
 
 
 def tidy() -> None:

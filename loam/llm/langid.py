@@ -34,10 +34,10 @@ def letters() -> np.ndarray:
 
 
 def points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased code points, 0 for all but letters, one 0 after each text; where texts start (with the end)."""
+    """Lower-cased code points, 0 for all but letters, one 0 before each text, so that both borders of its words are its own; where texts start (with the end)."""
     lower = [t.lower() for t in texts]
     at = np.concatenate([[0], np.cumsum([len(t) + 1 for t in lower])]).astype(np.int64)
-    flat = np.frombuffer("\n".join([*lower, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    flat = np.frombuffer("".join(["\n" + t for t in lower]).encode("utf-32-le", "surrogatepass"), np.uint32)
     return np.where(letters()[flat], flat, 0).astype(np.uint32), at
 
 
@@ -154,7 +154,11 @@ def train(texts: list[str], labels: list[str], seed: int = 3) -> Model:
 
 
 def fit(labelled: DataFrame, most: int = SAMPLE) -> Model:
-    """Learn from rows (doc_id, text, lang): of each language at most `most` rows that have a letter, those with the lowest hash of doc_id and text."""
+    """Learn from rows (doc_id, text, lang): of each language at most `most` rows that have a letter, those with the lowest hash of doc_id and text.
+
+    Rows equal in doc_id and text count once; rows without lang, text or letter are left out; other columns don't matter.
+    Training sees up to WINDOWS windows of WINDOW code points of each text, from places all over it; calibration whole texts.
+    """
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     found = lowest(rows, F.col("lang"), most, F.xxhash64(F.lit(11), "doc_id", "text"), ["doc_id", "text", "lang"])
     order = sorted(range(len(found)), key=lambda i: found[i]["_unit"])
@@ -181,6 +185,7 @@ def learnable(docs: DataFrame) -> DataFrame:
 
 
 def op2_subword_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from those that aren't held out (null ids aren't: crc32 of null is null, so they aren't learned from either). Null texts and those without a letter are ``und``; repeated rows stay."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     model = fit(learnable(docs))
     out = predict(docs.withColumn("held_out", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))), model, ["doc_id", "held_out"])

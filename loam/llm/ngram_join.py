@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.common import exact_ranks, pieces, save, table
+from loam.llm.common import drop, exact_ranks, pieces, save, table
 from loam.llm.components import components, forest
 from loam.llm.neardup_vectors import whole_groups
 
@@ -463,6 +463,7 @@ def join(docs: DataFrame, share: tuple[int, int] = SHARE, words: int = WORDS, ro
     n = buckets(total, BUCKETS_AGAIN)
     second = send(of_docs(rows, unsafe), n, share, words, again=True)
     edges = save(edges.unionByName(dealt(second, n).mapInArrow(lambda it: chain(it, share), "a long, b long")), "candidates")
+    drop(found, worn, unsafe)
     member = save(components(edges).select(F.col("node").alias("cid"), "component").join(classes, "cid"), "member")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -472,26 +473,29 @@ def join(docs: DataFrame, share: tuple[int, int] = SHARE, words: int = WORDS, ro
 
     shingles = of_docs(rows, member).mapInArrow(whole, "cid long, shingles binary").groupBy("cid").agg(F.first("shingles").alias("shingles"))
     # linked sets are of one size class or of two that are next to each other
-    member = member.withColumn("kind", F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(share[1] / share[0])) - F.lit(1e-9)).cast("int"))
-    ranked = exact_ranks(save(member, "kinds"), ["component", "kind"], "_rank").withColumn("tile", F.floor(F.col("_rank") / TILE).cast("long"))
-    last = save(member.groupBy("component", "kind").agg(F.floor((F.count(F.lit(1)) - 1) / TILE).cast("long").alias("last")), "last")
+    kinds = member.withColumn("kind", F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(share[1] / share[0])) - F.lit(1e-9)).cast("int"))
+    ranked = exact_ranks(save(kinds, "kinds"), ["component", "kind"], "_rank").withColumn("tile", F.floor(F.col("_rank") / TILE).cast("long"))
+    last = save(kinds.groupBy("component", "kind").agg(F.floor((F.count(F.lit(1)) - 1) / TILE).cast("long").alias("last")), "last")
     lasts = last.select("component", F.create_map("kind", "last").alias("m")).groupBy("component").agg(F.map_from_entries(F.array_distinct(F.flatten(F.collect_list(F.map_entries("m"))))).alias("lasts"))  # an entry a size class
     both = ranked.join(lasts, "component")
     end = lambda kind: F.coalesce(F.try_element_at("lasts", kind), F.lit(-1).cast("long"))
     upto = lambda kind, side: F.when(end(kind) >= 0, F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(end(kind), F.lit(0).cast("long"))), lambda t: F.struct(kind.alias("k"), t.alias("t"), side(t).alias("side")))).otherwise(F.array())
     kind, tile = F.col("kind"), F.col("tile")
     pairs_of = F.flatten(F.array(upto(kind, lambda t: F.when(tile > t, 1).otherwise(0)), upto(kind + 1, lambda t: F.lit(0)), upto(kind - 1, lambda t: F.lit(1))))
-    tiled = save(both.join(shingles, "cid"), "tiled").withColumn("o", F.explode(pairs_of))
+    whole_sets = save(both.join(shingles, "cid"), "tiled")
+    tiled = whole_sets.withColumn("o", F.explode(pairs_of))
     mine, its = F.struct(kind.alias("k"), tile.alias("t")), F.struct(F.col("o.k").alias("k"), F.col("o.t").alias("t"))
     tiled = tiled.select("cid", "copies", "shingles", F.xxhash64("component", F.least(mine, its), F.greatest(mine, its)).alias("task"), F.col("o.side").alias("side"))
     checked = save(tiled.repartition(parts, "task").sortWithinPartitions("task", "side").mapInArrow(lambda it: verify(it, share), "a long, b long, links long"), "checked")
 
+    drop(whole_sets, last, edges)
     label = components(checked.filter("b is not null").select("a", "b")).select(F.col("node").alias("cid"), "component")
     links = checked.filter("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
     known = classes.join(label, "cid", "left").join(links, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     known = save(known, "known")
     first = known.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     known = save(known.join(first, "component").select("cid", *label_too, "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "labels")
+    drop(checked, member)
     single = named.filter("n_shingles = 1").groupBy("cid").agg(F.min("doc_id").alias("component_id"), (F.count(F.lit(1)) - 1).alias("n_links"))
     single = single.withColumns({c: F.col("cid") for c in label_too})
     out = named.join(known.unionByName(single), "cid", "left")
@@ -506,4 +510,5 @@ def differ_column(n: str, share: tuple[int, int], own: bool):
 
 
 def op5_partition_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents; null, empty and blank texts stand alone with no shingles, repeated rows are linked, other columns are left out."""
     return join(table(spark, sf_dir, "documents", "doc_id", "text"))

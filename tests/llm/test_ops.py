@@ -12,9 +12,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loam.llm import bpe, imatch, langid, neardup_vectors, ngram_join, packing, sharding, tokenfile, toxicity, urlrep
+from loam.llm import bpe, encoding, imatch, langid, neardup_vectors, ngram_join, packing, sharding, tokenfile, toxicity, urlrep
 from loam.llm import queries as llm
-from loam.llm.common import ship
+from loam.llm.common import lowest, ship
 from loam.llm.components import components
 from loam.llm.encoding import Encoder
 from tests.conftest import SF
@@ -96,9 +96,86 @@ def test_no_documents(spark, tmp_path):
     assert urlrep.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_encoder_equals_library(library):
+    """Texts of odd characters, and units remembered, forgotten and learned again."""
+    rng = random.Random(5)
+    odd = ["a", "b", "Z", "é", "ß", "×", "÷", "ÿ", "ŉ", "ſ", "ƀ", "1", "2", "٣", "½", "²", *" " * 6, *"\n" * 3, "\t", "\r", "\x0b", "\x1c", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u202f", "\u205f", "\u3000", "'", "'s", "'ll", *".,-_$", "\u0301", "日本", "Жд", "😀", "<|endoftext|>", "<|", "\u200b", "’", "—", "\x00", "\x7f"]
+    own = Encoder()
+    for turn in range(30):
+        texts = ["".join(rng.choice(odd) for _ in range(rng.randint(0, 60))) for _ in range(150)] + [None, ""]
+        ids, at = own.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [ids_of(library, t) for t in texts]
+        if turn % 7 == 6:
+            own.keep(50)
+
+
+def test_unit_keys_that_collide(library, monkeypatch):
+    """Units whose first hash is equal are told apart by the second; a piece with two of them is encoded as it is."""
+    real = encoding.marks
+    monkeypatch.setattr(encoding, "marks", lambda units: (real(units)[0] % np.uint64(3), real(units)[1]))
+    ids, at = Encoder().encode(pa.array(["one two three", "four five"]))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [ids_of(library, t) for t in ("one two three", "four five")]
+
+
+def test_equal_rows_are_split(spark, tmp_path):
+    """Rows equal in id and text fall into several ranges."""
+    tokenfile.write_tokens(frame(spark, ["same text"] * 4000, [3] * 4000).coalesce(1), str(tmp_path / "t"), partitions=4)
+    parts = {r["part"]: r["count"] for r in tokenfile.read_tokens(spark, str(tmp_path / "t"), ("part",)).groupBy("part").count().collect()}
+    assert len(parts) == 4 and sum(parts.values()) == 4000
+
+
+def test_token_queries_on_documents(spark, library):
+    """op1, op6 and op9 on the driver's table against the library."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    ids = {i: ids_of(library, t) for i, t in texts.items()}
+    before, wanted = 0, set()
+    for i in sorted(ids):
+        wanted.add((i, before, len(ids[i]) + 1, crc([*ids[i], 0])))
+        before += len(ids[i]) + 1
+    assert {(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in llm.queries()["op1_token_parquet"](spark, SF).collect()} == wanted
+    for r in llm.queries()["op6_batched_bpe"](spark, SF).collect():
+        own = ids[r["doc_id"]]
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(own), sha256(",".join(map(str, own)).encode()).hexdigest())
+        assert r["decoded_sha256"] == sha256(library.decode(own, skip_special_tokens=False).encode()).hexdigest()
+    pieces = {}
+    for r in llm.queries()["op9_pattern_packing"](spark, SF).collect():
+        pieces.setdefault(r["doc_id"], []).append(r)
+    for i, own in ids.items():
+        assert sum(r["length"] for r in pieces[i]) == len(own) + 1
+        assert all(r["ids_crc32"] == crc([*own, 0][r["start"] : r["start"] + r["length"]]) for r in pieces[i])
+
+
 # 2
 
 
+def test_logits_are_mean_subword_weights():
+    """Against a loop over words, whatever texts stand beside each other; a subword may hold the borders of its word."""
+    rng = np.random.default_rng(2)
+    model = langid.Model(["a", "b"], rng.standard_normal((langid.BUCKETS + 1, 2)).astype(np.float32), np.array([0.1, -0.2]), 1.0, 0.0)
+    model.weights[-1] = 0  # no subword
+    texts = ["Bana kolo", "é1ü", "x", "Strasse-Straße  ok", "a" * 50]
+
+    def bucket(points):
+        h = points[0] * 0x9E3779B1 % 2**32
+        for p in points[1:]:
+            h = ((h ^ h >> 15) * 0x85EBCA6B + p * 0xC2B2AE35) % 2**32
+        return (h ^ h >> 13) * 0x27D4EB2F % 2**32 >> 16
+
+    for t, got in zip(texts, model.logits(texts)[0]):
+        found = []
+        for word in re.findall(r"[^\W\d_]+", t.lower()):
+            c = [0, *map(ord, word), 0]
+            found += [model.weights[bucket(c[i : i + n])] for n in langid.SIZES for i in range(len(c) - n + 1) if n <= len(c)]
+        assert np.allclose(got, np.mean(np.array(found, float), 0) + model.bias, atol=1e-6)
+
+
+def test_sample_is_bounded(spark):
+    """Equal rows count once, so that the driver never gets more than the bound."""
+    df = spark.createDataFrame([(3, "same", "x")] * 5000 + [(i, f"t{i}", "x") for i in range(10_000, 13_000)] + [(1, "u", "y"), (1, "u", None)], "doc_id long, text string, lang string")
+    rows = lowest(df, F.col("lang"), 100, F.xxhash64(F.lit(11), "doc_id", "text"), ["doc_id", "text", "lang"])
+    assert Counter(r["lang"] for r in rows) == {"x": 100, "y": 1} and len({(r["doc_id"], r["text"]) for r in rows}) == 101
+
+
 def test_language(spark):
     rng = random.Random(1)
     words = {"aa": ["bana", "kolo", "tiri", "maso"], "bb": ["schrum", "pflaz", "gritz", "knorp"]}
@@ -158,9 +235,61 @@ def test_imatch_single_and_repeated(spark):
     assert imatch.with_next(docs, imatch.lexicon(docs)).count() == 50
 
 
+def test_imatch_extreme_ids(spark):
+    docs = frame(spark, ["aa bb", "cc dd ee", None, "ff", "aa bb"], [-(2**63), 2**63 - 1, 0, None, 2**63 - 1]).select("doc_id", "text")
+    rows = imatch.with_next(docs, imatch.lexicon(docs), 2).collect()
+    assert Counter(r["doc_id"] for r in rows) == Counter([-(2**63), 2**63 - 1, 2**63 - 1, 0, None])
+    assert next(r for r in rows if r["doc_id"] == -(2**63))["edited_sha256"] == sha256(b"aa bf").hexdigest()  # the one without id follows
+
+
+def test_lexicon_has_the_whole_band(spark):
+    texts = ["".join(f"{a}{b}{c} " for a in "abcdefghijklmnop" for b in "qrstuvwxyz" for c in "klmnopqrst")] * 2 + ["z"] * 10
+    assert len(imatch.lexicon(frame(spark, [t + f" {'x' * i}" for i, t in enumerate(texts)])).hashes) == 1600
+
+
+def test_imatch_query_on_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy(F.desc("doc_id")).collect()
+    got = {r["doc_id"]: r for r in llm.queries()["op3_imatch"](spark, SF).collect()}
+    for r, after in zip(docs, docs[1:] + docs[:1]):
+        t, k = r["text"] or "", len(r["text"] or "") // 3
+        edited = t[: len(t) - k] + (after["text"] or "")[:k]
+        assert (got[r["doc_id"]]["n_chars"], got[r["doc_id"]]["edited_sha256"]) == (len(t), sha256(edited.encode()).hexdigest())
+    prints = {}
+    for r in docs:
+        assert prints.setdefault(r["text"] or "", got[r["doc_id"]]["fingerprint"]) == got[r["doc_id"]]["fingerprint"]
+
+
 # 4
 
 
+def test_vectors_a_little_under(spark, monkeypatch):
+    """Double columns keep double precision over borders too: cosines of 0.9 - 1e-9 are no links."""
+    monkeypatch.setattr(neardup_vectors, "WINDOW", 8)
+    rng = np.random.default_rng(6)
+    a = rng.standard_normal((150, 24))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    off = rng.standard_normal(a.shape)
+    off -= (off * a).sum(1, keepdims=True) * a
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    near = lambda c: c * a + np.sqrt(1 - c * c) * off
+    x = np.concatenate([a, near(0.9 - 1e-9), -a, -near(0.9 + 1e-9)])
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in neardup_vectors.link(df).collect()}
+    assert all(got[i] == (0, i) for i in range(300))
+    assert sum(got[300 + i] == (1, 300 + i) and got[450 + i] == (1, 300 + i) for i in range(150)) >= 147
+
+
+def test_vector_query_on_embeddings(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()
+    x = np.array([r["embedding"] for r in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hit = x @ x.T >= 0.9
+    ids = np.array([r["vec_id"] for r in rows])
+    got = {r["vec_id"]: r["n_links"] for r in llm.queries()["op4_sorted_projections"](spark, "/root/testdata/sf0.01").collect()}
+    found, links = sum(got.values()), int(hit.sum()) - len(ids)
+    assert all(got[i] <= n - 1 for i, n in zip(ids.tolist(), hit.sum(1).tolist())) and found >= 0.99 * links
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(3)
     centres = rng.standard_normal((30, 16))
@@ -243,9 +372,11 @@ def near_copies(rng, n):
     return texts[:n]
 
 
-@pytest.mark.parametrize("longest", [32, 4])
-def test_join(spark, monkeypatch, longest):
-    monkeypatch.setattr(ngram_join, "LONGEST", longest)
+@pytest.mark.parametrize(("longest", "chained", "tile"), [(32, 8, 192), (4, 2, 5)])
+def test_join(spark, monkeypatch, longest, chained, tile):
+    """Exact whatever signatures are long, chained by their senders or cut to tiles."""
+    for name, value in (("LONGEST", longest), ("CHAINED", chained), ("TILE", tile)):
+        monkeypatch.setattr(ngram_join, name, value)
     rng = random.Random(longest)
     passage = prose(rng, 60, 100_000)
     texts = [*ODD, *near_copies(rng, 500), *(passage + " " + prose(rng, rng.choice([3, 10, 80]), 100_000) for _ in range(60)), *["The Same one here now\x0bagain"] * 40, "the same ONE here now again"]
@@ -253,6 +384,24 @@ def test_join(spark, monkeypatch, longest):
     assert got == brute_components(texts)
 
 
+def test_join_query_on_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in llm.queries()["op5_partition_join"](spark, SF).collect())
+    ids = [r["doc_id"] for r in docs]
+    assert got == [(ids[i], n, ids[c], k) for i, n, c, k in brute_components([r["text"] for r in docs])]
+
+
+def test_senders_leave_out_long_signatures(monkeypatch):
+    """What a sender leaves out is deducted, and enough sets send it on for all others to learn that it is long."""
+    monkeypatch.setattr(ngram_join, "LONGEST", 3)
+    sig, who = np.array([8, 8, 8, 8, 8, 8, 9, 9, 6, 8], np.uint64), np.array([0, 1, 2, 3, 4, 5, 0, 1, 2, 5])
+    s, w, units, long = ngram_join.without_long(sig, who, np.full(6, 5), np.zeros(0, np.uint64))
+    assert sorted(zip(s.tolist(), w.tolist())) == [(6, 2), (8, 0), (8, 1), (8, 2), (8, 3), (9, 0), (9, 1)]
+    assert units.tolist() == [5, 5, 5, 5, 4, 4] and long.tolist() == [8]
+    s, w, units, long = ngram_join.without_long(np.array([8, 9, 5], np.uint64), np.array([0, 0, 1]), np.full(2, 5), np.array([9], np.uint64))
+    assert sorted(zip(s.tolist(), w.tolist())) == [(5, 1), (8, 0)] and units.tolist() == [3, 5] and long.tolist() == [9]
+
+
 def test_join_repeats_and_nulls(spark):
     a = " ".join(f"x{i}" for i in range(30))
     df = frame(spark, [a, a, a + " y", None, "q"], [5, 5, None, None, None])
@@ -328,6 +477,48 @@ def test_matrix():
     assert abs(np.mean(draws) - 6) < 0.05 and abs(np.var(draws) - 20 * 0.3 * 0.7 * 80 / 99) < 0.12
 
 
+@pytest.mark.parametrize("rows", [10**6, 10**10, 10**12])
+def test_outcomes_have_mass_one(rows):
+    least, p = sharding.outcomes(rows // 16, rows - rows // 16, 65_536)
+    assert abs(sum(p) - 1) < 1e-12 and min(p) >= 0
+    mean = sum((least + i) * x for i, x in enumerate(p))
+    exact = 65_536 * (rows // 16) / rows
+    assert abs(mean - exact) < 1e-6
+    spread = sum((least + i - mean) ** 2 * x for i, x in enumerate(p))
+    assert abs(spread / (exact * (1 - rows // 16 / rows) * (rows - 65_536) / (rows - 1)) - 1) < 1e-9
+
+
+def test_matrix_follows_the_uniform_law():
+    """Shares of all matrices among many draws against those of all orders of the rows."""
+    rows, shards = [3, 2, 2], [4, 3]
+    owner = [i for i, n in enumerate(rows) for _ in range(n)]
+    law = Counter()
+    for first in combinations(range(7), 4):
+        law[tuple(sum(owner[k] == i for k in first) for i in range(3))] += 1 / 35
+    n = 20_000
+    got = Counter(tuple(line[0] for line in sharding.communication_matrix(rows, shards, seed)) for seed in range(n))
+    assert set(got) <= set(law) and sum((got[k] - n * p) ** 2 / (n * p) for k, p in law.items()) < 25  # chi-square of few degrees of freedom
+
+
+def test_shards_mix(spark):
+    """Each shard gets its share of each stretch of the rows, and slots don't keep the order."""
+    n = 16_000
+    rows = sharding.shard_rows(spark.range(n).repartition(4).sortWithinPartitions("id").select(F.col("id").alias("doc_id")), 16).collect()
+    cells = Counter((r["doc_id"] * 8 // n, r["shard"]) for r in rows)
+    assert sum((cells[i, j] - 125) ** 2 / 125 for i in range(8) for j in range(16)) < 170  # 105 degrees of freedom
+    order = np.array([(r["slot"], r["doc_id"]) for r in rows if r["shard"] == 0])
+    assert abs(np.corrcoef(order.T)[0, 1]) < 0.12
+
+
+def test_shards_of_any_names(spark):
+    df = spark.createDataFrame([(i, "s", i, "p", None, i) for i in range(40)], "shard long, slot string, _file long, _part string, c1 int, `a b` long")
+    rows = sharding.shard_rows(df, 3)
+    assert rows.columns == ["_file", "_part", "c1", "a b", "shard", "slot"]
+    got = rows.collect()
+    assert sorted(r["a b"] for r in got) == list(range(40)) and sorted(Counter(r["shard"] for r in got).values()) == [13, 13, 14]
+    assert sharding.shard_rows(df.select("slot"), 2).count() == 40
+
+
 def test_sizes_and_crc(spark):
     rows = llm.queries()["op7_hypergeometric_sharding"](spark, SF).collect()
     known = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
@@ -400,6 +591,24 @@ def test_packing(spark, library):
     assert len(by_sequence) <= 1.03 * -(-total // 2048) + 1
 
 
+def test_pack_any_names(spark):
+    df = spark.createDataFrame([(i, "x", "y", "z", 1 + i % 2048) for i in range(300)], "sequence_id long, offset string, _rank string, c0 string, length long")
+    out = packing.pack(df)
+    assert out.columns == ["_rank", "c0", "length", "sequence_id", "offset"]
+    assert out.count() == 300 and out.filter("offset + length > 2048").count() == 0
+
+
+def test_most_pieces_go_by_patterns(monkeypatch):
+    """Best fit gets a small rest of a large histogram."""
+    left = []
+    real = packing.best_fit
+    monkeypatch.setattr(packing, "best_fit", lambda h, n: left.append(int(h.sum())) or real(h, n))
+    h = np.bincount(np.clip(np.random.default_rng(0).lognormal(6.5, 1, 50_000).astype(int), 1, 2048), minlength=2049)
+    plan = packing.plan(h)
+    assert left[0] < 0.1 * h.sum() and left[-1] < 0.02 * h.sum()
+    assert sum(n for _, n in plan) <= 1.001 * (h * np.arange(2049)).sum() / 2048 + 1
+
+
 def test_plan_uses_each_length_once():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 50, 5000):
@@ -546,7 +755,24 @@ def test_pipeline_odd_rows(spark):
     got = p.one_of_each(spark, docs, SF)
     assert got.columns == docs.columns
     assert sorted(str(r["doc_id"]) for r in got.collect()) == ["1", "None", "None"]
-    assert p.language(spark, docs, SF).count() >= 0 and p.packed(spark, docs, SF).count() == 5
+    assert p.packed(spark, docs, SF).count() == 5
+    # nothing is learned from: no language is known, nothing is toxic
+    assert p.language(spark, docs.withColumn("lang", F.lit(None).cast("string")), SF).count() == 0
+    odd = docs.unionByName(spark.createDataFrame([(10**6, "x y z", "en", "s", 5), (10**6, "", "en", "s", 0)], docs.schema)).withColumn("score", F.lit("mine"))
+    clean = p.toxic(spark, odd, SF)
+    assert clean.columns == docs.columns and clean.count() == odd.count()
+    for name, stage in p.STAGES:
+        none = stage(spark, docs.limit(0), SF)
+        assert none.count() == 0 and (name == "packing" or none.columns == docs.columns)
+
+
+def test_pipeline_leaves_no_scratch(spark):
+    import corpus_pipeline as p
+    from loam.llm.common import sweep, tables
+
+    sweep()
+    assert p.run(spark, SF).count() > 100
+    assert len(tables()) == 1
 
 
 def test_pipeline_removes_single_rows(spark):
@@ -560,3 +786,24 @@ def test_pipeline_removes_single_rows(spark):
     assert got == Counter([(1, a), (5, b), (7, c), (7, d), (None, None), (8, None), (9, " ")])
     docs = spark.createDataFrame([(1, a, "en", "s", 1), (None, a, "en", "s", 1), (None, c, "en", "s", 1), (None, d, "en", "s", 1)], docs.schema)
     assert Counter(r["text"] for r in p.one_of_each(spark, docs, SF).collect()) == Counter([a, c, d])
+
+
+def test_isotonic():
+    """Against the best rising steps by brute force over all ways to pool."""
+    rng = random.Random(4)
+    for _ in range(40):
+        n = rng.randint(1, 7)
+        votes, truth, weight = sorted(rng.choice([0.1, 0.2, 0.5, 0.7, 0.9]) for _ in range(n)), [rng.randint(0, 1) for _ in range(n)], [rng.choice([1.0, 3.0]) for _ in range(n)]
+        x, y = toxicity.isotonic(np.array(votes), np.array(truth, float), np.array(weight))
+        assert (np.diff(y) >= 0).all() and (np.diff(x) >= 0).all()
+        loss = lambda f: sum(w * (t - f(v)) ** 2 for v, t, w in zip(votes, truth, weight))  # noqa: B023, E731
+        distinct = sorted(set(votes))
+        best = min(loss(f) for k in range(len(distinct)) for cut in combinations(range(1, len(distinct)), k) if (f := steps(votes, truth, weight, [distinct[i] for i in cut])))
+        assert loss(lambda v: np.interp(v, x, y)) <= best + 1e-9  # noqa: B023
+
+
+def steps(votes, truth, weight, cuts):
+    """The means between cuts as a function, or None if they fall."""
+    part = [sum(v >= c for c in cuts) for v in votes]
+    means = [np.average([t for t, p in zip(truth, part) if p == k], weights=[w for w, p in zip(weight, part) if p == k]) for k in range(len(cuts) + 1)]
+    return (lambda v: means[sum(v >= c for c in cuts)]) if means == sorted(means) else None
