@@ -12,20 +12,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.llm import langid, ngram_join, packing, toxicity
-from loam.llm.common import drop, row_place, save, ship, table
+from loam.llm.common import row_place, save, ship, sweep, table, tables
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't predicted toxic. Learns from the labelled ones among docs (those that aren't held out)."""
+    """Documents that aren't predicted toxic. Learns from the labelled ones among docs (those that aren't held out); without any, all stay.
+
+    Null and empty texts stay unless most labelled texts of that kind are toxic. Rows may repeat; other columns are left out.
+    """
     ship(spark)
     model = toxicity.fit(docs, toxicity.learnable(table(spark, sf_dir, "labels")))
     return toxicity.score(docs, model, COLUMNS).filter("predicted = 0").select(*COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; the column lang stays as it is. Learns from docs that aren't held out."""
+    """Documents whose language is recognised; the column lang stays as it is. Learns from docs that aren't held out; without any, none is recognised.
+
+    Null texts and texts without a letter have no language and go. Rows may repeat; other columns are left out.
+    """
     ship(spark)
     model = langid.fit(langid.learnable(docs))
     return langid.predict(docs, model, COLUMNS).filter(~F.col("rejected")).select(*COLUMNS)
@@ -60,7 +66,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all pieces of docs in sequences of at most 2048 tokens."""
+    """Places of all pieces of docs in sequences of at most 2048 tokens. Null and empty texts are the end id alone; repeated rows are packed each; an empty table gives no rows."""
     ship(spark)
     return packing.pack(packing.cut_documents(docs)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
@@ -73,12 +79,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; each stage is written as Parquet and read again."""
+    """The last stage's rows; each stage is written as Parquet and read again, and what it needed is deleted then."""
     docs = table(spark, sf_dir, "documents", *COLUMNS)
-    before = None
+    others = tables()
     for name, stage in STAGES:
         docs = save(stage(spark, docs, sf_dir), name)
-        if before is not None:
-            drop(before)
-        before = docs
+        sweep(others | {docs.loam_path})
     return docs
