@@ -21,7 +21,7 @@ LAWS = {
 }
 OTHER_LAW, NO_LAW, NO_CODE = "Другой закон", "Неизвестно", "UNKNOWN"
 #: Remains of web pages, and lines of a page's controls.
-NOISE = ["<[^>]*>", 'id="[^"]*"', "undefined", "null", r"\[object Object\]", "Закрыть", "Развернуть", "Свернуть"]
+NOISE = ["<[^>]*>", 'id="[^"]*"', "undefined", "null", r"\[object Object\]", "Закрыть|Развернуть|Свернуть"]
 STOP_LINES = ["Закрыть", "Развернуть", "Свернуть"]
 #: Remarks on editions.
 REMARKS = ["В редакции", "Дополнение", "Утратила силу"]
