@@ -76,22 +76,27 @@ def unit_starts(d: np.ndarray) -> np.ndarray:
 
 
 def marks(units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of each string: 128 bits name a unit."""
+    """Two independent 64-bit hashes of each string of a large_string array: 128 bits name a unit."""
     at = np.frombuffer(units.buffers()[1], np.int64)[units.offset : units.offset + len(units) + 1]
-    size = np.diff(at)
-    d = np.concatenate([np.frombuffer(units.buffers()[2], np.uint8)[at[0] : at[-1]], np.zeros(8, np.uint8)])
-    start = at[:-1] - at[0]
-    a, b = stir(size.astype(np.uint64), 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9), stir(~size.astype(np.uint64), 0xD6E8FEB86659FD93, 0x94D049BB133111EB)
-    rows = np.arange(len(units))
+    d = np.frombuffer(units.buffers()[2], np.uint8)[at[0] : at[-1]] if len(units) and at[-1] > at[0] else np.zeros(0, np.uint8)
+    return byte_hashes(d, at[:-1] - at[0], np.diff(at)), byte_hashes(d, at[:-1] - at[0], np.diff(at), True)
+
+
+def byte_hashes(d: np.ndarray, start: np.ndarray, size: np.ndarray, other: bool = False) -> np.ndarray:
+    """A 64-bit hash of each run of bytes, eight at a time; other: an independent one."""
+    first, second = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53) if other else (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+    out = stir(~size.astype(np.uint64) if other else size.astype(np.uint64), 0xD6E8FEB86659FD93, first)
+    padded = np.concatenate([d, np.zeros(8, np.uint8)])
+    windows = np.lib.stride_tricks.as_strided(padded, (len(d) + 1, 8), (1, 1))
+    live: np.ndarray | slice = slice(None)
     for k in range(0, int(size.max(initial=0)), 8):
         if k:
-            rows = rows[size[rows] > k]
-        word = d[(start[rows] + k)[:, None] + np.arange(8)].view("<u8").ravel()
-        over = np.maximum(8 - (size[rows] - k), 0).astype(np.uint64) * np.uint64(8)
-        word = word & (~np.uint64(0) >> over)
-        a[rows] = stir(a[rows] ^ word, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-        b[rows] = stir(b[rows] + word, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
-    return a, b
+            live = np.flatnonzero(size > k) if k == 8 else live[size[live] > k]
+        word = windows[start[live] + k].view("<u8").ravel()
+        over = np.clip(8 - (size[live] - k), 0, 7).astype(np.uint64) * np.uint64(8)
+        word &= ~np.uint64(0) >> over
+        out[live] = stir(out[live] + word if other else out[live] ^ word, first, second)
+    return out
 
 
 def stir(x: np.ndarray, first: int, second: int) -> np.ndarray:
@@ -101,28 +106,28 @@ def stir(x: np.ndarray, first: int, second: int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-class Encoder:
-    """Encodes columns of texts; the ids equal those of the library's encode(text, add_special_tokens=False).
+class Units:
+    """Ids of columns of texts that are cut to units at certain pre-token borders (unit_starts), so that a unit is encoded alone as it is in its text.
 
-    Texts are cut to units at certain pre-token borders (unit_starts), so that a unit is encoded alone as it is in
-    its text, and its ids are remembered under 128 bits of hashes. Units new to the worker are joined by line feeds, encoded together and cut
-    again at the feed's id. Texts with the special token's text take the direct way.
+    Ids are remembered under 128 bits of hashes of a unit. A subclass tells the ids of units (ids_of) and of
+    whole texts (direct); texts with the special token's text take the latter way.
     """
 
-    def __init__(self, path: str | None = None) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path or vocabulary_path())
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.feed = self.direct(["\n"])[0]
+    def __init__(self, size: int) -> None:
+        self.kind = np.uint16 if size <= 1 << 16 else np.int32
         self.forget()
 
+    def ids_of(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Flat ids and counts of distinct units, and the order in which these are."""
+        raise NotImplementedError
+
+    def direct(self, texts: list[str]) -> list[np.ndarray]:
+        raise NotImplementedError
+
     def forget(self) -> None:
         self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)  # in the order of keys, as the arrays below
         self.lengths, self.starts, self.uses = (np.zeros(0, np.int32) for _ in range(3))
-        self.flat = np.zeros(0, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.int32)
+        self.flat = np.zeros(0, self.kind)
 
     def keep(self, most: int) -> None:
         """Forget all but units of few ids that several pieces used, the most used ones."""
@@ -133,38 +138,16 @@ class Encoder:
         self.keys, self.checks, self.lengths, self.uses = self.keys[at], self.checks[at], self.lengths[at], self.uses[at]
         self.starts = (np.cumsum(self.lengths, dtype=np.int64) - self.lengths).astype(np.int32)
 
-    def direct(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, np.int32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
     def learn(self, units: pa.Array, keys: np.ndarray, checks: np.ndarray) -> None:
         """Encode new units and remember them."""
-        names = units.to_pylist()
-        plain = pc.match_substring_regex(units, PLAIN).to_numpy(zero_copy_only=False) if len(self.feed) == 1 else np.zeros(len(names), bool)
-        together, alone = np.flatnonzero(plain).tolist(), np.flatnonzero(~plain).tolist()
-        flat: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
-        order: list[int] = []
-        groups = [together[i : i + JOINED] for i in range(0, len(together), JOINED)]
-        for group, ids in zip(groups, self.direct(["\n".join([names[i] for i in g]) for g in groups])):
-            feeds = np.flatnonzero(ids == self.feed[0])
-            if len(feeds) == len(group) - 1:
-                flat.append(np.delete(ids, feeds))
-                counts.append(np.diff(feeds, prepend=-1, append=len(ids)) - 1)
-                order += group
-            else:
-                alone += group
-        runs = self.direct([names[i] for i in alone])
-        counts.append(np.fromiter(map(len, runs), np.int64, len(runs)))
-        lengths = np.concatenate(counts)
-        new = np.concatenate([*flat, *runs, np.zeros(0, np.int32)])
-        order += alone
+        new, lengths, order = self.ids_of(units)
         keys = np.concatenate([self.keys, keys[order]])
         by = np.argsort(keys, kind="stable")
         self.keys, self.checks = keys[by], np.concatenate([self.checks, checks[order]])[by]
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths]).astype(np.int32)[by]
         self.lengths = np.concatenate([self.lengths, lengths]).astype(np.int32)[by]
         self.uses = np.concatenate([self.uses, np.zeros(len(lengths), np.int32)])[by]
-        self.flat = np.concatenate([self.flat, new.astype(self.flat.dtype)])
+        self.flat = np.concatenate([self.flat, new.astype(self.kind)])
 
     def find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
         """Places of units among the known ones, or -1."""
@@ -185,7 +168,7 @@ class Encoder:
         return at
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids, and where each text's ids start (with the end)."""
+        """Flat ids, and where each text's ids start (with the end). Null texts are empty."""
         texts = pc.fill_null(texts, "")
         special = pc.match_substring(texts, SPECIAL).to_numpy(zero_copy_only=False)
         if special.any():
@@ -226,6 +209,46 @@ class Encoder:
         return flat, total[np.searchsorted(heads, start)]
 
 
+class Encoder(Units):
+    """With the tokenizers library; the ids equal those of its encode(text, add_special_tokens=False).
+
+    Units new to the worker are joined by line feeds, encoded together and cut again at the feed's id.
+    """
+
+    def __init__(self, path: str | None = None) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path or vocabulary_path())
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.feed = self.direct(["\n"])[0]
+        super().__init__(self.tokenizer.get_vocab_size())
+
+    def direct(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.int32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def ids_of(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        names = units.to_pylist()
+        plain = pc.match_substring_regex(units, PLAIN).to_numpy(zero_copy_only=False) if len(self.feed) == 1 else np.zeros(len(names), bool)
+        together, alone = np.flatnonzero(plain).tolist(), np.flatnonzero(~plain).tolist()
+        flat: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        order: list[int] = []
+        groups = [together[i : i + JOINED] for i in range(0, len(together), JOINED)]
+        for group, ids in zip(groups, self.direct(["\n".join([names[i] for i in g]) for g in groups])):
+            feeds = np.flatnonzero(ids == self.feed[0])
+            if len(feeds) == len(group) - 1:
+                flat.append(np.delete(ids, feeds))
+                counts.append(np.diff(feeds, prepend=-1, append=len(ids)) - 1)
+                order += group
+            else:
+                alone += group
+        runs = self.direct([names[i] for i in alone])
+        counts.append(np.fromiter(map(len, runs), np.int64, len(runs)))
+        return np.concatenate([*flat, *runs, np.zeros(0, np.int32)]), np.concatenate(counts), order + alone
+
+
 _own: dict[str | None, Encoder] = {}
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from loam.llm.common import drop, exact_ranks, pieces, save, table
 from loam.llm.components import components, forest
+from loam.llm.encoding import byte_hashes
 from loam.llm.neardup_vectors import whole_groups
 
 WORDS = 5
@@ -32,6 +33,10 @@ BUCKETS, BUCKETS_AGAIN = 64, 8
 SMALL = 400_000
 
 U = np.uint64
+_BYTES = np.arange(256, dtype=np.uint8)
+#: By byte: A-Z in lower case; what stands between words.
+LOWER = np.where((_BYTES >= ord("A")) & (_BYTES <= ord("Z")), _BYTES + np.uint8(32), _BYTES)
+WHITE = (_BYTES == 0x20) | ((_BYTES >= 0x09) & (_BYTES <= 0x0D))
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -42,18 +47,28 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> U(31))
 
 
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of whole texts, A-Z lower-cased, in their order, and the text that each is of."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    at = offsets - offsets[0]
+    if not at[-1]:
+        return np.zeros(0, U), np.zeros(0, np.int64)
+    d = LOWER[np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]]
+    edge = np.ones(len(d) + 1, bool)  # before a byte: white space or another text
+    white = WHITE[d]
+    edge[1:] = white
+    last = np.ones(len(d) + 1, bool)  # after it
+    last[:-1] = white
+    edge[at], last[at] = True, True
+    start, end = np.flatnonzero(edge[:-1] & ~white), np.flatnonzero(last[1:] & ~white) + 1
+    return byte_hashes(d, start, end - start), np.searchsorted(at, start, "right") - 1
+
+
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashed shingles of whole texts, ordered within each text, and where each text's begin (with the end)."""
     n = len(texts)
-    lower = pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string()))
-    split = pc.split_pattern_regex(lower, r"[\x20\x09-\x0D]+")
-    coded = split.flatten().dictionary_encode()
-    own = np.fromiter((xxhash.xxh3_64_intdigest(w) if w else 0 for w in coded.dictionary.to_pylist()), U, len(coded.dictionary))
-    of = np.repeat(np.arange(n), np.diff(split.offsets.to_numpy()))
-    empty = np.fromiter((not w for w in coded.dictionary.to_pylist()), bool, len(coded.dictionary))
-    codes = coded.indices.to_numpy()
-    real = ~empty[codes]
-    h, of = own[codes[real]], of[real]
+    h, of = word_hashes(texts)
     count = np.bincount(of, minlength=n)
     full = max(len(h) - words + 1, 0)
     rolled = h[:full].copy()
@@ -66,7 +81,8 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.nd
         begin = np.concatenate([[0], np.cumsum(count)])
         whole = np.array([xxhash.xxh3_64_intdigest(h[begin[i] : begin[i + 1]].tobytes(), seed=77) for i in short], U)
         rolled, at = np.concatenate([rolled, whole]), np.concatenate([at, short])
-    order = np.lexsort((rolled, at))
+    order = np.argsort(rolled)
+    order = order[np.argsort(at[order].astype(np.uint16 if n <= 1 << 16 else np.int64), kind="stable")]  # few texts: counted, not compared
     rolled, at = rolled[order], at[order]
     keep = np.ones(len(rolled), bool)
     keep[1:] = (rolled[1:] != rolled[:-1]) | (at[1:] != at[:-1])
@@ -416,7 +432,8 @@ def join(docs: DataFrame, share: tuple[int, int] = SHARE, words: int = WORDS, ro
 
     1. Each set is cut into segments by band (allocation) and sends a signature for each part that isn't empty.
     2. Pairs that share a signature are counted; a pair can only link if it shares as many as its counts exceed the
-       largest difference. Signatures with over LONGEST sets are dropped and deducted from their sets' counts.
+       largest difference. Signatures with over LONGEST sets are dropped and deducted from their sets' counts, so a set
+       meets LONGEST - 1 others at most for each of its signatures, however large its group of near copies is.
     3. Sets that this, or chance, leaves unsafe meet once more among themselves, under signatures of any length,
        joined in chains.
     4. All pairs inside the components of what is left are verified, in tiles, on whole sets.
