@@ -11,6 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 from loam.operators import vector
+from loam.operators import messages
 from loam.operators.profile import length_stats
 from loam.plans import pipelines
 from loam.sources import readers, sinks
@@ -53,6 +54,7 @@ def arguments() -> argparse.ArgumentParser:
     r.add_argument("--max_seq_length", type=int, default=2048)
     r.add_argument("--overlong", choices=("chunk", "drop", "keep"), default="chunk")
     r.add_argument("--keep_ratio", type=float, default=1.0)
+    r.add_argument("--template", choices=("inst", "chatml"), default="inst")
     r.add_argument("--seed", type=int, default=42)
     return parser
 
@@ -94,7 +96,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.job == "qa":
         LOG.info("%d pairs", pipelines.qa_dataset(spark, dict(f.split("=", 1) for f in a.file), a.output).count())
     else:
-        made, counts = pipelines.training_set(spark, a.data, a.max_seq_length, a.overlong, a.keep_ratio, a.seed)
+        made, counts = pipelines.training_set(spark, a.data, a.max_seq_length, a.overlong, a.keep_ratio, a.seed, {"inst": messages.inst_text, "chatml": messages.chat_text}[a.template])
         LOG.info("%s", counts.first().asDict())
         if a.output:
             sinks.jsonl(made, a.output)

@@ -73,6 +73,12 @@ def inst_text(messages: Column) -> Column:
     return F.concat(F.lit("<s>[INST] "), user, F.lit(" [/INST] "), last("assistant"), F.lit("</s>"))
 
 
+def chat_text(messages: Column, begin: str = "<|im_start|>", end: str = "<|im_end|>") -> Column:
+    """All messages in the form of a chat template: begin, role, line feed, content, end, line feed. Null contents are empty."""
+    turn = lambda m: F.concat(F.lit(begin), m["role"], F.lit("\n"), F.coalesce(m["content"], F.lit("")), F.lit(f"{end}\n"))
+    return F.array_join(F.transform(messages, turn), "")
+
+
 def qa_pair(df: DataFrame, law_name: Column) -> DataFrame:
     """title, content -> question and answer of a statute article; rows without a title's text go."""
     case, article = clean_article(F.coalesce("title", F.lit(""))), clean_article(F.coalesce("content", F.lit("")))

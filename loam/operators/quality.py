@@ -34,3 +34,12 @@ def noise(messages: Column) -> Column:
 def overlong(text: Column, most_tokens: int) -> Column:
     """Whether a rendered text has more tokens (words) than a model's window."""
     return token_count(text) > most_tokens
+
+
+#: Fixed value: how a lower-cased name tells weights for inference.
+INFERENCE = r"\.gguf$|(^|[/_\-])gguf([/_\-]|$)"
+
+
+def inference_only(name: Column) -> Column:
+    """Whether a model's name or path tells weights that can't be trained on. Null and blank names tell nothing."""
+    return F.lower(strip(F.coalesce(name, F.lit("")))).rlike(INFERENCE)

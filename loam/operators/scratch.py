@@ -29,15 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    """A new place in the shared folder, deleted at the end of the driver, unless dropped before."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    if not _tables:
+        atexit.register(sweep)
+    _tables[path] = spark
+    return path
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df from files that survive lost executors; its lineage ends there. Deleted at the end of the driver, unless dropped before."""
+    """df from files that survive lost executors; its lineage ends there."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession)
-    if not _tables:
-        atexit.register(sweep)
-    _tables[path] = spark
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path

@@ -201,6 +201,21 @@ def inst_render(s, d):
     return turns(s, d).select("conv_id", messages.inst_text(F.col("messages")).alias("inst"))
 
 
+@query(f"WITH {CONV} SELECT conv_id, array_to_string(list_transform(m, lambda x: '<|im_start|>' || x.role || chr(10) || x.content || '<|im_end|>' || chr(10)), '') AS rendered FROM conv")
+def chat_render(s, d):
+    return turns(s, d).select("conv_id", messages.chat_text(F.col("messages")).alias("rendered"))
+
+
+@query("""SELECT doc_id, doc_id % 8 IN (0, 1, 2, 3) AS inference_only FROM documents""")
+def inference_only_names(s, d):
+    k, i = F.col("doc_id") % 8, F.col("doc_id").cast("string")
+    name = (
+        F.when(k == 0, F.concat(F.lit(" Org/Model-"), i, F.lit(".Q4.GGUF "))).when(k == 1, F.concat(F.lit("org/m"), i, F.lit("_gguf"))).when(k == 2, F.concat(F.lit("gguf/m"), i)).when(k == 3, F.concat(F.lit("a-GGUF-"), i))
+        .when(k == 4, F.concat(F.lit("org/ggufmodel"), i)).when(k == 5, F.concat(F.lit("mygguf"), i, F.lit(".safetensors"))).when(k == 6, F.concat(F.lit(".gguf.old"), i))
+    )
+    return docs(s, d).select("doc_id", quality.inference_only(name).alias("inference_only"))
+
+
 @query(f"SELECT doc_id, md5({sql_clean('text')}) AS cleaned FROM documents")
 def clean_text(s, d):
     return docs(s, d).select("doc_id", F.md5(X.clean_chat(F.col("text")).cast("binary")).alias("cleaned"))

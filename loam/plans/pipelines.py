@@ -118,11 +118,11 @@ def label_file(spark: SparkSession, path: str, out: str) -> DataFrame:
     return made.groupBy("law_code", "law").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "law_code")
 
 
-def training_set(spark: SparkSession, path: str, most_tokens: int, overlong: str = "chunk", keep_ratio: float = 1.0, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def training_set(spark: SparkSession, path: str, most_tokens: int, overlong: str = "chunk", keep_ratio: float = 1.0, seed: int = 42, render: Callable[[Column], Column] = messages.inst_text) -> tuple[DataFrame, DataFrame]:
     """Loader-normalized records (item, messages, text, n_tokens) that fit most_tokens, and one row of counts.
 
     overlong: ``chunk`` cuts answers of over-long records to parts with a follow-up question, ``drop`` leaves the records
-    out, ``keep`` keeps them. Tokens are words where no tokenizer is given. keep_ratio below 1 takes a seeded share.
+    out, ``keep`` keeps them. Tokens are words of the rendered text. keep_ratio below 1 takes a seeded share; render makes the text of messages.
     """
     if overlong not in ("chunk", "drop", "keep"):
         raise ValueError(f"overlong is chunk, drop or keep, not {overlong}")
@@ -133,7 +133,7 @@ def training_set(spark: SparkSession, path: str, most_tokens: int, overlong: str
     user, answer = messages.legacy_pair(rows)
     rows = rows.withColumn("messages", F.coalesce(messages.loader_messages(F.col("messages")), F.when((user != "") & (answer != ""), F.array(messages.message("user", user), messages.message("assistant", answer)))))
     good = written(rows.filter(F.col("messages").isNotNull()).select("item", "messages"))
-    sized = good.withColumn("n_tokens", text.token_count(messages.inst_text(F.col("messages"))))
+    sized = good.withColumn("n_tokens", text.token_count(render(F.col("messages"))))
     fits = F.col("n_tokens") <= most_tokens
     counts = sized.agg(F.count(F.lit(1)).alias("loaded"), F.count_if(fits).alias("fitting"), F.count_if(~fits).alias("overlong"))
     if overlong != "keep":
@@ -142,9 +142,9 @@ def training_set(spark: SparkSession, path: str, most_tokens: int, overlong: str
             long = sized.filter(~fits).select("item", F.expr("filter(messages, m -> m.role <> 'user' AND m.role <> 'assistant')").alias("rest"), messages.last_of(F.col("messages"), "user").alias("user"), messages.last_of(F.col("messages"), "assistant").alias("answer"))
             parts = chunk.answer_parts(long, most_tokens)
             parts = parts.withColumn("messages", F.concat("rest", F.array(messages.message("user", F.col("user")), messages.message("assistant", F.col("answer")))))
-            short = short.unionByName(parts.select("item", "messages").withColumn("n_tokens", text.token_count(messages.inst_text(F.col("messages")))))
+            short = short.unionByName(parts.select("item", "messages").withColumn("n_tokens", text.token_count(render(F.col("messages")))))
         sized = short
-    made = sized.withColumn("text", messages.inst_text(F.col("messages")))
+    made = sized.withColumn("text", render(F.col("messages")))
     dropped = F.col("overlong") if overlong == "drop" else F.lit(0).cast("long")
     chunked = F.col("overlong") if overlong == "chunk" else F.lit(0).cast("long")
     return made, counts.select("loaded", "fitting", dropped.alias("dropped"), chunked.alias("chunked"))

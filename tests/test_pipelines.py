@@ -238,6 +238,8 @@ def test_training_forms(spark, tmp_path):
         made = pipelines.training_set(spark, str(tmp_path / name), 150)[0]
         assert "".join(r["messages"][-1]["content"] + " " for r in made.filter("text like '%слово%'").collect()).count("слово") == 400
         assert made.filter("text like '%кто%'").first()["text"] == "<s>[INST] Скажи\n\nкто [/INST] Никто</s>"
+        chatml = pipelines.training_set(spark, str(tmp_path / name), 150, "drop", render=messages.chat_text)[0].first()["text"]
+        assert chatml == "<|im_start|>user\nСкажи\n\nкто<|im_end|>\n<|im_start|>assistant\nНикто<|im_end|>\n"
     with pytest.raises(ValueError, match="overlong"):
         pipelines.training_set(spark, str(tmp_path / "a.json"), 150, "cut")
 
