@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.llm.common import pieces, placed, table
+from loam.llm.encoding import marks
 
 #: The band: terms in at least LEAST and at most MOST of all documents (inverse document frequencies from 2.3 to 6.9), and in two at least.
 LEAST, MOST = 0.001, 0.1
@@ -31,9 +32,10 @@ def terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     words = pc.split_pattern_regex(pc.utf8_lower(texts), r"[^\p{L}]+")
     coded = words.flatten().dictionary_encode()
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) if w else 0 for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    hashes = np.where(pc.binary_length(coded.dictionary).to_numpy() > 0, marks(coded.dictionary)[0], np.uint64(0))
     text = np.repeat(np.arange(len(texts)), np.diff(words.offsets.to_numpy()))
-    both = np.unique(text * max(len(hashes), 1) + coded.indices.to_numpy())
+    both = np.sort(text * max(len(hashes), 1) + coded.indices.to_numpy())
+    both = both[np.diff(both, prepend=-1) > 0]
     text, place = both // max(len(hashes), 1), both % max(len(hashes), 1)
     real = hashes[place] != 0
     return text[real], place[real], hashes
