@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import json
 import random
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loam.llm.common import CHUNK_ROWS, row_place, save, shared_dir, table
+from loam.llm.common import CHUNK_ROWS, row_place, save, scratch_path, table
 
 #: Partitions of the matrix, at most: beyond, a partition holds more than CHUNK_ROWS rows.
 PARTITIONS = 8_192
@@ -78,7 +77,7 @@ def communication_matrix(rows: list[int], shards: list[int], seed: int) -> list[
 
 def as_table(spark: SparkSession, rows: list[dict], schema: str, name: str) -> DataFrame:
     """Rows of the driver as JSON lines in the shared folder, read back as a table; they are not in any plan."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/loam-{uuid.uuid4().hex}/{name}.json")
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, f"{name}.json"))
     out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
     try:
         for i in range(0, len(rows), 1000):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -11,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loam.llm.common import placed, save, shared_dir, table
+from loam.llm.common import placed, save, scratch_path, table
 from loam.llm.encoding import encoded
 
 END = 0
@@ -93,6 +92,6 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
 
 def op1_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents, written to files and read back. Null and empty texts are the end id alone; repeated rows are rows of their own, in a stable order; other columns are left out."""
-    path = f"{shared_dir(spark)}/loam-{uuid.uuid4().hex}/tokens"
+    path = scratch_path(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), path)
     return digest(spark, path)
