@@ -17,12 +17,22 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from loam.ship import ship
+from loam.ship import ship as ship_code
 
 #: Rows of one chunk of a scratch table; a window over one chunk never holds more.
 CHUNK_ROWS = 65_536
 #: Bytes of text that a Python worker handles at once (one longer text is handled alone).
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 2 << 20
+#: Rows of an Arrow batch, where the session has Spark's default of 10,000: a batch of documents is held several times at once, by the executor and its workers.
+BATCH_ROWS = 2_000
+
+
+def ship(spark: SparkSession) -> None:
+    """Make the package importable in Python workers, and batches small; every operator's queries call it first."""
+    ship_code(spark)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, BATCH_ROWS)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -50,13 +60,18 @@ def shared_dir(spark: SparkSession) -> str:
 _tables: dict[str, SparkSession] = {}
 
 
-def save(df: DataFrame, name: str, **options: object) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts the lineage with files that outlive executors. Deleted at the end of the driver, unless dropped before."""
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, deleted at the end of the driver, unless dropped before."""
     path = f"{shared_dir(spark)}/loam-{uuid.uuid4().hex}/{name}"
     if not _tables:
         atexit.register(sweep)
     _tables[path] = spark
+    return path
+
+
+def save(df: DataFrame, name: str, **options: object) -> DataFrame:
+    """Write df to the shared folder and read it again: cuts the lineage with files that outlive executors."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     df.write.options(**{"compression": "zstd"} | options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.loam_path = path
@@ -124,8 +139,8 @@ def row_place() -> tuple[Column, Column]:
 
 
 def placed(df: DataFrame, *columns: str) -> DataFrame:
-    """columns of df with _file and _row, which name each row on any retry: its place in the files that df is read from; else df is written once to have places."""
-    named = lambda rows: rows.select(*columns, F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    """columns of df with _file (a hash of its path) and _row, which name each row on any retry: its place in the files that df is read from; else df is written once to have places."""
+    named = lambda rows: rows.select(*columns, F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     try:
         return named(df)
     except AnalysisException:

@@ -19,7 +19,7 @@ PLAIN = r"^ ?[^\s\x0b\x1c-\x1f\x{85}\p{Z}]+$"
 #: Units that are encoded as one string.
 JOINED = 100
 #: Units that a worker remembers between pieces, at most (some 40 bytes each); those that it keeps between tasks; and their ids.
-REMEMBERED, KEPT, SHORT = 600_000, 300_000, 32
+REMEMBERED, KEPT, SHORT = 400_000, 200_000, 32
 
 _BYTES = np.arange(256)
 _LETTER = ((_BYTES | 32) >= ord("a")) & ((_BYTES | 32) <= ord("z")) & (_BYTES < 128)
