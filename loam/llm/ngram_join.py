@@ -29,6 +29,8 @@ CHAINED = 8
 SORTED, TILE = 1_500_000, 192
 #: Buckets of signatures, at least; more for more than SORTED in each.
 BUCKETS, BUCKETS_AGAIN = 64, 8
+#: Tasks that the pairs of one set are dealt to where they meet what is known of the set.
+SALTS = 8
 #: Rows of a side that is broadcast, at most; beyond, an ordinary join.
 SMALL = 400_000
 
@@ -468,8 +470,11 @@ def join(docs: DataFrame, share: tuple[int, int] = SHARE, words: int = WORDS, ro
     unsafe = save(worn.filter(F.col("units") - F.col("lost") < limit).select("cid").distinct(), "unsafe")
 
     pairs = found.filter("b is not null").groupBy("a", "b", "band").agg(F.sum("meetings").alias("meetings"), *(F.first(c).alias(c) for c in ("n_a", "n_b", "units_a", "units_b")))
-    lost = lambda side: worn.select(F.col("cid").alias(side), "band", F.col("lost").alias(f"lost_{side}"))
-    pairs = pairs.join(lost("a"), ["a", "band"], "left").join(lost("b"), ["b", "band"], "left")
+    # one row for each salt, so that a set's pairs are dealt to several tasks
+    lost = lambda side: worn.select(F.col("cid").alias(side), "band", F.col("lost").alias(f"lost_{side}"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = lambda df, by: df.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    pairs = salted(pairs, "b").join(lost("a"), ["a", "band", "salt"], "left").drop("salt")
+    pairs = salted(pairs, "a").join(lost("b"), ["b", "band", "salt"], "left").drop("salt")
     left = F.greatest(*(F.col(f"units_{s}") - F.coalesce(f"lost_{s}", F.lit(0)) for s in "ab")) - F.floor((F.col("n_a") + F.col("n_b")) * F.lit(share[1] - share[0]) / F.lit(share[1] + share[0]))
     doubled = [band for band in range(40) if allocation(band, share)[1]]
     least = F.when(F.col("band").isin(doubled), F.ceil(left / 2)).otherwise(left) if doubled else left
