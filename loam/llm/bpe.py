@@ -10,16 +10,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from loam.llm.common import pieces, ragged, table
-from loam.llm.encoding import vocabulary_path
+from loam.llm.common import pieces, ragged, table, tidy
+from loam.llm.encoding import KEPT, Units, vocabulary_path
 
 #: The published pre-token pattern of this kind of vocabulary (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A space after other white space, or a special token's text: such texts are one unit.
-UNSAFE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}] |<\|endoftext\|>"
+#: Units that are one pre-token for certain: ASCII letters and those of U+00C0 to U+017F with a space before them or none.
+ONE = r"^ ?[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{17F}]+$"
 #: Bits of one id in a pair's key.
 BITS = 20
-REMEMBERED = 300_000
 
 
 def byte_letters() -> list[str]:
@@ -29,8 +28,8 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in seen else chr(next(rest)) for b in range(256)]
 
 
-class BPE:
-    """Reads a tokenizers JSON file; encodes and decodes whole texts."""
+class BPE(Units):
+    """Reads a tokenizers JSON file; encodes and decodes whole texts, each distinct unit once."""
 
     def __init__(self, path: str | None = None) -> None:
         import regex
@@ -55,16 +54,12 @@ class BPE:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["model"]["merges"]]
         keys = np.array([vocab[a] << BITS | vocab[b] for a, b in pairs], np.int64)
         order = np.argsort(keys)
-        self.keys, self.ranks = keys[order], np.arange(len(keys))[order]
+        self.pairs, self.ranks = keys[order], np.arange(len(keys))[order]
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
         self.pattern = regex.compile(PATTERN)
         self.parts = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.never = len(keys)
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        super().__init__(size)
 
     def words(self, text: str) -> list[str]:
         """Pre-tokens; a special token's text is one of its own."""
@@ -78,8 +73,8 @@ class BPE:
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << BITS | right
-        at = np.minimum(np.searchsorted(self.keys, key), self.never - 1)
-        return np.where(self.keys[at] == key, self.ranks[at], self.never)
+        at = np.minimum(np.searchsorted(self.pairs, key), self.never - 1)
+        return np.where(self.pairs[at] == key, self.ranks[at], self.never)
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of words, and each word's count.
@@ -119,9 +114,9 @@ class BPE:
         order = np.argsort(word, kind="stable")
         return symbols[order].astype(np.int32), np.bincount(word, minlength=len(words)).astype(np.int64)
 
-    def learn(self, units: list[str]) -> None:
-        """Remember the ids of units (texts whose pre-tokens stand alone); equal pre-tokens are merged once."""
-        split = [self.words(u) for u in units]
+    def ids_of_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and counts of texts whose pre-tokens stand alone; equal pre-tokens are merged once."""
+        split = [self.words(u) for u in texts]
         distinct = {w: i for i, w in enumerate(dict.fromkeys(w for words in split for w in words))}
         plain = [w for w in distinct if w not in self.special]
         ids, counts = self.merge([w.encode("utf-8", "surrogatepass") for w in plain])
@@ -136,38 +131,19 @@ class BPE:
         tokens = flat[ragged(start[use], length[use])] if len(use) else np.zeros(0, np.int32)
         ends = np.concatenate([[0], np.cumsum(length[use])]).astype(np.int64)
         cut = np.concatenate([[0], np.cumsum([len(words) for words in split])]).astype(np.int64)
-        base = len(self.known)
-        self.known.update(zip(units, range(base, base + len(units))))
-        self.flat = np.concatenate([self.flat, tokens]).astype(np.int32)
-        self.lengths = np.concatenate([self.lengths, np.diff(ends[cut])])
-        self.starts = np.cumsum(self.lengths) - self.lengths
+        return tokens.astype(np.int32), np.diff(ends[cut])
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids, and where each text's ids start (with the end). Null texts are empty.
+    def ids_of(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Of new units. Those of one pre-token, nearly all, go to the merge rounds as they are."""
+        plain = pc.match_substring_regex(units, ONE).to_numpy(zero_copy_only=False)
+        one, other = np.flatnonzero(plain), np.flatnonzero(~plain)
+        ids, counts = self.merge(units.take(pa.array(one)).cast(pa.large_binary()).to_pylist())
+        rest, lengths = self.ids_of_texts(units.take(pa.array(other)).to_pylist())
+        return np.concatenate([ids, rest]), np.concatenate([counts, lengths]), [*one.tolist(), *other.tolist()]
 
-        Texts are cut at spaces that follow a character other than white space, where a pre-token always
-        ends; a text with white space before a space or with a special token is one unit.
-        """
-        if len(self.known) > REMEMBERED or len(self.flat) > 8 * REMEMBERED:
-            self.forget()
-        texts = pc.fill_null(texts, "").cast(pa.large_string())
-        whole = pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False)
-        marked = pc.if_else(pa.array(whole), texts, pc.replace_substring(texts, " ", "\x00 "))
-        if pc.any(pc.match_substring(texts, "\x00")).as_py():
-            lists = [[x] if w or "\x00" in x else cut(x) for x, w in zip(texts.to_pylist(), whole)]
-            units = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32), pa.array([u for x in lists for u in x], pa.large_string()))
-        else:
-            units = pc.split_pattern(marked, "\x00")
-        at = units.offsets.to_numpy().astype(np.int64)
-        coded = units.flatten().dictionary_encode()
-        unique, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        new = [u for u in unique if u not in self.known]
-        if new:
-            self.learn(new)
-        place = np.fromiter(map(self.known.__getitem__, unique), np.int64, len(unique))[codes]
-        lengths = self.lengths[place]
-        total = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-        return self.flat[ragged(self.starts[place], lengths)], total[at]
+    def direct(self, texts: list[str]) -> list[np.ndarray]:
+        flat, counts = self.ids_of_texts(texts)
+        return np.split(flat, np.cumsum(counts)[:-1]) if len(texts) else []
 
     def decode(self, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
         """The UTF-8 bytes of the texts that runs of ids stand for; bytes that are not UTF-8 become U+FFFD."""
@@ -177,12 +153,6 @@ class BPE:
         return [flat[a:b].decode("utf-8", "replace").encode() for a, b in zip(ends[:-1], ends[1:])]
 
 
-def cut(text: str) -> list[str]:
-    """At each space: units after the first begin with one."""
-    first, *rest = text.split(" ")
-    return [first, *(" " + x for x in rest)]
-
-
 _own: dict[str | None, BPE] = {}
 
 
@@ -232,6 +202,8 @@ def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
             of_ids = [sha256(",".join(numerals[a:b]).encode()).hexdigest() for a, b in zip(at[:-1], at[1:])]
             of_text = [sha256(t).hexdigest() for t in model.decode(ids, at)]
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(np.diff(at)), pa.array(of_ids), pa.array(of_text)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        model.keep(KEPT)
+        tidy()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
