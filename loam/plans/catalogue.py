@@ -88,6 +88,7 @@ BASE = f"WITH {CONV}, {CLEAN}, {REASON}, {DUPS} "
 def tagged(s: SparkSession, d: str) -> DataFrame:
     rows = turns(s, d).withColumn("messages", messages.clean_messages(F.col("messages")))
     rows = rows.withColumn("reason", F.when(F.size("messages") < 2, "empty_after_cleaning").otherwise(quality.reason(F.col("messages"))))
+    rows = scratch.written(rows)  # else the optimizer puts cleaning and tests into each use of their results
     once = dedup.exact(rows, messages.rendered(F.col("messages")), "conv_id", F.col("reason").isNull())
     return once.withColumn("reason", F.coalesce("reason", F.when(F.col("is_dup"), "exact_duplicate"))).drop("is_dup")
 
@@ -150,7 +151,8 @@ def made_tagged(s: SparkSession, d: str) -> DataFrame:
     asked = F.when(k.isin(0, 6), " ab ").otherwise(F.concat(F.lit("Вопрос "), i))
     rows = docs(s, d).select("doc_id", messages.clean_messages(F.array(messages.message("user", asked), messages.message("assistant", answer))).alias("messages"))
     reason = F.when(F.size("messages") < 2, "empty_after_cleaning").otherwise(quality.reason(F.col("messages")))
-    once = dedup.exact(rows.withColumn("reason", reason), messages.rendered(F.col("messages")), "doc_id", F.col("reason").isNull())
+    rows = scratch.written(rows.withColumn("reason", reason))
+    once = dedup.exact(rows, messages.rendered(F.col("messages")), "doc_id", F.col("reason").isNull())
     return once.withColumn("reason", F.coalesce("reason", F.when(F.col("is_dup"), "exact_duplicate"))).drop("is_dup")
 
 
