@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import ctypes
 import shutil
+import string
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -187,6 +188,17 @@ def with_columns(df: DataFrame, column: str, added: str, work: Callable[[pa.Arra
     return source.mapInArrow(run, schema)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value evaluated once a row: a lambda that names a long expression would evaluate it for each of its items."""
+    return F.transform(F.array(value), lambda v: body(v))[0]
+
+
+def plain_words(text: Column) -> Column:
+    """The stretches of a-z, 0-9 and characters beyond ASCII of a text, A-Z lower-cased; null has none."""
+    lower = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    return F.array_remove(F.split(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the column as text, mod n; null for null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

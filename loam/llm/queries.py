@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loam.llm import bpe, imatch, langid, neardup_vectors, ngram_join, packing, sharding, tokenfile, toxicity, urlrep
+from loam.llm import bpe, decontam, imatch, importance, langid, neardup_vectors, ngram_join, packing, sharding, tokenfile, toxicity, urlrep
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,9 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         urlrep.op8_url_reputation,
         packing.op9_pattern_packing,
         toxicity.op10_toxicity_knn,
+        decontam.op11_winnowing,
+        importance.op12_importance_resampling,
     )
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_reputation": urlrep.oracle()}
+    return {"op8_url_reputation": urlrep.oracle(), "op11_winnowing": decontam.oracle(), "op12_importance_resampling": importance.oracle()}
