@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loam.llm import bpe, decontam, imatch, importance, langid, neardup_vectors, ngram_join, packing, sharding, tokenfile, toxicity, urlrep
+from loam.llm import bpe, decontam, imatch, importance, langid, neardup_vectors, ngram_join, packing, periodic, sharding, tokenfile, toxicity, urlrep
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         toxicity.op10_toxicity_knn,
         decontam.op11_winnowing,
         importance.op12_importance_resampling,
+        periodic.op13_periodic_runs,
     )
     return {f.__name__: f for f in ops}
 
