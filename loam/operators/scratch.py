@@ -8,7 +8,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _made: list[str] = []
 _tables: dict[str, SparkSession] = {}
@@ -46,6 +47,23 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+def numbered(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
+    """Rows with their number in order, from 0 without gaps; order should name each row, ties are numbered as they come (once, in a written table).
+
+    Rows are sorted by ranges and written; the driver sums one count a file, and a row's place in its file does the rest.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(df.repartitionByRange(n, *order).sortWithinPartitions(*order))
+    placed = rows.withColumns({"__loam_file": F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long"), "__loam_row": F.col("_metadata.row_index")})
+    starts, total = [], 0
+    for file, count in sorted(tuple(r) for r in placed.groupBy("__loam_file").count().collect()):
+        starts.append((file, total))
+        total += count
+    before = spark.createDataFrame(starts, "__loam_file long, __loam_before long")
+    return placed.join(F.broadcast(before), "__loam_file").withColumn(name, F.col("__loam_before") + F.col("__loam_row")).drop("__loam_file", "__loam_row", "__loam_before")
+
+
 def drop(df: DataFrame) -> None:
     """Delete a written table that no plan reads any more."""
     path = getattr(df, "scratch_path", None)

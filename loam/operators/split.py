@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loam.operators.scratch import written
+from loam.operators.deal import deal
+from loam.operators.scratch import numbered, written
 
 
 def shuffled(key: Column, seed: int) -> Column:
@@ -23,11 +24,9 @@ def check_ratios(train: float, val: float, test: float) -> None:
 
 
 def ranked(df: DataFrame, key: Column, seed: int, out: str) -> DataFrame:
-    """Rank from 1 in shuffled order, without a task that holds all rows: ranks within 256 ranges of the hash, after counts of the ranges before."""
-    rows = df.withColumn("_h", shuffled(key, seed)).withColumn("_b", F.left("_h", F.lit(2)))
-    counts = rows.groupBy("_b").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("_b").orderBy("_h", key))
-    return rows.withColumn("_p", place).join(F.broadcast(counts.select("_b", "_before")), "_b").withColumn(out, F.col("_p") + F.col("_before")).drop("_h", "_b", "_p", "_before")
+    """Rank from 1 in shuffled order, without a task that holds all rows."""
+    rows = df.withColumns({"__loam_h": shuffled(key, seed), "__loam_k": key})
+    return numbered(rows, ["__loam_h", "__loam_k"], out).withColumn(out, F.col(out) + 1).drop("__loam_h", "__loam_k")
 
 
 def simple(df: DataFrame, group: str, train: float = 0.8, val: float = 0.1, seed: int = 42) -> DataFrame:
@@ -67,58 +66,12 @@ def tail(df: DataFrame, order: str, batch: int = 4, ratio: float = 0.05) -> Data
 def stratified(df: DataFrame, group: str, code: str, order: str, train: float = 0.8, val: float = 0.1, seed: int = 42) -> DataFrame:
     """Column split: whole groups, dealt in shuffled order so that each code keeps its shares.
 
-    A group's code is that of its first row. The deal looks at all earlier decisions, so it runs in one
-    task over one small row a group; records never go there. Decisions leave it as they are made, but for the
-    validation and test groups, which the last step may move: it holds those.
+    A group's code is that of its first row; null groups are one group, null codes one code. See deal.deal().
     """
     groups = df.groupBy(group).agg(F.min_by(code, order).alias("code"))
-    n = groups.count()
-    goal = int(n * train)
-    goal_val = (n - goal) // 2
-    goal_test = n - goal - goal_val
-    queue = groups.select(group, "code", shuffled(F.col(group), seed).alias("_h")).coalesce(1).sortWithinPartitions("_h", group)
-    kind = df.schema[group].dataType.simpleString()
-
-    def deal(batches):
-        import pandas as pd
-
-        dealt = {"train": 0}
-        held: dict[str, list] = {"val": [], "test": []}
-        seen: dict[str, dict[str, int]] = {}
-        for pdf in batches:
-            sure = []
-            for g, c in zip(pdf[group], pdf["code"]):
-                s = seen.setdefault(c, {"all": 0, "train": 0, "val": 0})
-                share = {k: s[k] / s["all"] if s["all"] else 0.0 for k in ("train", "val")}
-                full = {"val": len(held["val"]) >= goal_val, "test": len(held["test"]) >= goal_test}
-                if dealt["train"] < goal and (share["train"] < train or full["val"] and full["test"]):
-                    to = "train"
-                elif not full["val"] and (share["val"] < val or full["test"]):
-                    to = "val"
-                else:
-                    to = "test"
-                if to == "train":
-                    dealt["train"] += 1
-                    sure.append(g)
-                else:
-                    held[to].append(g)
-                s["all"] += 1
-                if to in s:
-                    s[to] += 1
-            if sure:
-                yield pd.DataFrame({group: sure, "split": ["train"] * len(sure)})
-        large, small = ("val", "test") if len(held["val"]) > len(held["test"]) else ("test", "val")
-        if len(held[large]) - len(held[small]) > 2:
-            half = (len(held["val"]) + len(held["test"])) // 2
-            k = len(held["val"]) - half if large == "val" else half - len(held["val"])
-            held[small] += held[large][:k]
-            held[large] = held[large][k:]
-        for name, gs in held.items():
-            if gs:
-                yield pd.DataFrame({group: gs, "split": [name] * len(gs)})
-
-    dealt = queue.select(group, "code").mapInPandas(deal, f"`{group}` {kind}, split string")
-    return df.join(written(dealt), group)
+    queue = numbered(groups.select(F.col(group).alias("group"), "code", shuffled(F.col(group), seed).alias("_h")), ["_h", "group"], "place").drop("_h")
+    dealt = deal(queue, train, val).select(F.col("group").alias("__loam_group"), "split")
+    return df.join(dealt, df[group].eqNullSafe(dealt["__loam_group"])).drop("__loam_group")
 
 
 def overlapping(df: DataFrame, group: str) -> DataFrame:

@@ -396,7 +396,19 @@ def by_group(s: SparkSession, d: str) -> DataFrame:
     return docs(s, d).select("doc_id", "lang", F.concat_ws("_", "lang", "source").alias("group_id"))
 
 
-@query()
+@query("""WITH RECURSIVE g AS (SELECT lang || '_' || source AS group_id, arg_min(lang, doc_id) AS code FROM documents GROUP BY 1),
+    q AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || group_id), group_id) AS r, count(*) OVER () AS n FROM g),
+    goals AS (SELECT n, tr, (n - tr) // 2 AS va, n - tr - (n - tr) // 2 AS te FROM (SELECT max(n) AS n, trunc(max(n) * 0.8::DOUBLE)::BIGINT AS tr FROM q)),
+    deal(r, tr, va, te, codes, split) AS (SELECT 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, MAP([''], [[0::BIGINT, 0::BIGINT, 0::BIGINT]]), ''
+        UNION ALL SELECT q.r, o.tr + (x = 'train')::INT, o.va + (x = 'val')::INT, o.te + (x = 'test')::INT,
+            map_concat(codes, MAP([q.code], [[c[1] + 1, c[2] + (x = 'train')::INT, c[3] + (x = 'val')::INT]])), x
+        FROM (SELECT d.*, q.code, q.r AS at, CASE WHEN d.tr < goals.tr AND (c[2] < 0.8::DOUBLE * c[1] OR c[1] = 0 OR d.va >= goals.va AND d.te >= goals.te) THEN 'train'
+            WHEN d.va < goals.va AND (c[3] < 0.1::DOUBLE * c[1] OR c[1] = 0 OR d.te >= goals.te) THEN 'val' ELSE 'test' END AS x, c
+            FROM (SELECT d.*, coalesce(codes[q.code], [0, 0, 0]) AS c FROM deal d JOIN q ON q.r = d.r + 1) d JOIN q ON q.r = d.r + 1, goals) o JOIN q ON q.r = o.at),
+    last AS (SELECT q.group_id, d.r, d.split, row_number() OVER (PARTITION BY d.split ORDER BY d.r) AS k FROM deal d JOIN q USING (r)),
+    sums AS (SELECT count(*) FILTER (split = 'val') AS v, count(*) FILTER (split = 'test') AS t FROM last),
+    parts AS (SELECT group_id, CASE WHEN abs(v - t) <= 2 THEN split WHEN v > t AND split = 'val' AND k <= v - (v + t) // 2 THEN 'test' WHEN t > v AND split = 'test' AND k <= (v + t) // 2 - v THEN 'val' ELSE split END AS split FROM last, sums)
+    SELECT doc_id, group_id, split FROM (SELECT doc_id, lang || '_' || source AS group_id FROM documents) JOIN parts USING (group_id)""")
 def split_stratified(s, d):
     return split.stratified(by_group(s, d), "group_id", "lang", "doc_id").select("doc_id", "group_id", "split")
 
