@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loam.functions.text import article_number, nonempty, strip
 from loam.operators.messages import MESSAGES, last_of, question_of
+from loam.sources.arrays import elements, first_characters
 
 #: Code of a collection by patterns in its file's name, in order.
 CODES = [("gk", "actual_gk|gk_rf"), ("nk", "actual_nk|nk_rf"), ("tk", "actual_tk|tk_rf"), ("koap", "actual_koap|koap"), ("apk", "apk_rf")]
@@ -21,12 +22,9 @@ def code_of(name: Column, codes: list[tuple[str, str]] = CODES) -> Column:
 
 
 def items(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
-    """file_name, item_idx and item (JSON text) of all files of a folder that hold an array or a single object. Hidden files are skipped; a broken file gives no rows."""
-    files = spark.read.text(path, wholetext=True, pathGlobFilter=glob).select(F.col("_metadata.file_name").alias("file_name"), F.ltrim("value").alias("value"))
-    files = files.filter(~F.col("file_name").startswith("."))
-    # the array is split first: a whole large file isn't parsed to one variant
-    listed = F.when(F.col("value").startswith("["), F.from_json("value", "array<string>")).otherwise(F.array("value"))
-    return files.select("file_name", F.posexplode(listed).alias("item_idx", "item")).filter(F.expr("try_parse_json(item)").isNotNull())
+    """file_name, item_idx and item (JSON text) of all files of a folder that hold an array or a single object. Hidden files are skipped, and so are broken items; large files are read by many tasks."""
+    found = elements(spark, path, glob).filter(~F.col("file_name").startswith("."))
+    return found.filter(F.expr("try_parse_json(item)").isNotNull())
 
 
 def records(raw: DataFrame) -> DataFrame:
@@ -54,47 +52,36 @@ def raw_directory(spark: SparkSession, path: str, codes: list[tuple[str, str]] =
     return records(items(spark, path).withColumn("code", code_of(F.col("file_name"), codes)).filter(F.col("code").isNotNull())).select(*RECORD)
 
 
-def first_character(spark: SparkSession, file: str) -> str:
-    """The first one of a (compressed) file that is no white space or byte order mark."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(file)
-    stream = at.getFileSystem(conf).open(at)
-    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(at)
-    stream = stream if codec is None else codec.createInputStream(stream)
-    try:
-        while (b := stream.read()) != -1:
-            if b not in b" \t\r\n\xef\xbb\xbf":
-                return chr(b)
-        return ""
-    finally:
-        stream.close()
-
-
-def texts(spark: SparkSession, path: str, mode: str) -> DataFrame:
+def texts(spark: SparkSession, path: str, strict: bool) -> DataFrame:
     """value: the lines of JSONL files, and the elements of files that hold one array, of a path that exists.
 
-    The driver looks at the first character of each file. JSONL is read line by line, so that large files are
-    split; an array is one row (2 GB at most). mode is that of from_json for arrays.
+    Tasks look at the first character of each file; the driver gets one character a file. Large files of both
+    kinds are split. strict fails where an array isn't closed or has a blank element.
     """
-    uri = spark._jvm.java.net.URI
-    files = [spark._jvm.org.apache.hadoop.fs.Path(uri(f)).toString() for f in spark.read.text(path).inputFiles()]
-    arrays = [f for f in files if first_character(spark, f) == "["]
+    first = first_characters(spark, path).collect()
+    arrays = [r["path"] for r in first if r["first"] == "["]
+    others = [r["path"] for r in first if r["first"] != "["]
     out = spark.createDataFrame([], "value string")
-    value = F.regexp_replace("value", "^\ufeff", "")
-    if len(arrays) < len(files):
-        out = out.unionByName(spark.read.text([f for f in files if f not in set(arrays)]).select(value.alias("value")))
+    if others:
+        out = out.unionByName(spark.read.text([unquoted(f) for f in others]).select(F.regexp_replace("value", "^\ufeff", "").alias("value")))
     if arrays:
-        whole = spark.read.text(arrays, wholetext=True)
-        out = out.unionByName(whole.select(F.explode(F.from_json(value, "array<string>", {"mode": mode})).alias("value")))
+        out = out.unionByName(elements(spark, [unquoted(f) for f in arrays], strict=strict).select(F.col("item").alias("value")))
     return out
 
 
+def unquoted(uri: str) -> str:
+    """The path of a file's URI, whose name may hold quoted characters."""
+    from urllib.parse import unquote
+
+    return unquote(uri)
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """item of JSONL files, or of files that hold one array; blank and broken lines are skipped, a missing path gives no rows."""
     from pyspark.errors import AnalysisException
 
     try:
-        out = texts(spark, path, "PERMISSIVE")
+        out = texts(spark, path, False)
     except AnalysisException:
         out = spark.createDataFrame([], "value string")
     return out.select(F.col("value").alias("item")).filter((strip(F.col("item")) != "") & F.expr("try_parse_json(item)").isNotNull())
@@ -112,15 +99,16 @@ def record_array(spark: SparkSession, path: str) -> DataFrame:
 
 def training_records(spark: SparkSession, path: str) -> DataFrame:
     """item and messages of JSONL (compressed too) or array files. Blank lines and lines that begin with ``#`` are skipped; any other line that is no JSON object fails the job."""
-    rows = texts(spark, path, "FAILFAST").select(strip(F.col("value")).alias("item")).filter((F.col("item") != "") & ~F.col("item").startswith("#"))
+    rows = texts(spark, path, True).select(strip(F.col("value")).alias("item")).filter((F.col("item") != "") & ~F.col("item").startswith("#"))
     kind = F.expr("schema_of_variant(parse_json(item))")
     rows = rows.withColumn("item", F.when(kind.startswith("OBJECT"), F.col("item")).otherwise(F.raise_error(F.concat(F.lit("no JSON object: "), F.left("item", F.lit(80))))))
     return rows.withColumn("messages", F.expr(f"try_variant_get(try_parse_json(item), '$.messages', '{MESSAGES}')"))
 
 
 def articles(spark: SparkSession, path: str) -> DataFrame:
-    """url, title, content of an array file."""
-    return spark.read.schema("url string, title string, content string").json(path, multiLine=True)
+    """url, title, content of an array file, which is read by many tasks where it is large; broken elements have nulls."""
+    found = elements(spark, path).withColumn("x", F.from_json("item", "url string, title string, content string"))
+    return found.select("x.*")
 
 
 def articles_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -135,7 +123,8 @@ def file_map(spark: SparkSession, files: dict[str, str]) -> DataFrame:
     out = None
     for i, (path, name) in enumerate(files.items()):
         try:
-            part = spark.read.schema("title string, content string").json(path, multiLine=True).withColumns({"law_name": F.lit(name), "file_no": F.lit(i)})
+            found = elements(spark, path).withColumn("x", F.from_json("item", "title string, content string"))
+            part = found.select("x.*", F.lit(name).alias("law_name"), F.lit(i).alias("file_no"))
         except AnalysisException:
             continue
         out = part if out is None else out.unionByName(part)
