@@ -30,9 +30,9 @@ def keep_first(df: DataFrame, key: list[str], order: str) -> DataFrame:
 
 
 def longest(df: DataFrame, key: list[str], text: str, order: str) -> DataFrame:
-    """The row with the longest text of each key (ties: the first), with the order of the key's first row."""
+    """The row with the longest text of each key (ties: the first; null is shorter than empty), with the order of the key's first row. order may be of any type that sorts."""
     rest = [c for c in df.columns if c not in key]
-    got = df.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(F.length(text), -F.col(order))).alias("_x"), F.min(order).alias("first_seen"))
+    got = df.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(-F.coalesce(F.length(text), F.lit(-1)), F.col(order))).alias("_x"), F.min(order).alias("first_seen"))
     return got.select(*key, "_x.*", "first_seen").select(*df.columns, "first_seen")
 
 

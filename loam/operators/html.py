@@ -14,6 +14,9 @@ from loam.ship import ship
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
+#: Variables of scripts that may hold a redaction's id, in order.
+VARIABLES = [r"window\.redid", r"window\.rdk", r"var\s+redid", r"var\s+rdk", r"let\s+redid", r"const\s+redid"]
+
 
 class Page(HTMLParser):
     """Collects a page's h1 texts, paragraphs with the classes of the elements around, links and all text."""
@@ -165,7 +168,7 @@ def redid(page: Column, url: Column | None = None) -> Column:
 
     An attribute data-redid; a meta tag named for it; an assignment in a script (over 1000); a parameter of the url (of
     the page's text, where no url is given); a plausible number of 4 to 6 digits in the visible text that has a word
-    for ids within 20 characters before or after it.
+    for ids within 20 characters before or after it; at last a script's variable of any size.
     """
     first = lambda found, good: F.try_element_at(F.filter(F.transform(found, lambda x: x.try_cast("long")), good), F.lit(1))
     every = lambda text, pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
@@ -180,6 +183,7 @@ def redid(page: Column, url: Column | None = None) -> Column:
         *said,
         first(every(page if url is None else url, r"(?i)[?&#](?:redid|rdk|docid|t)=(\d+)"), known if url is not None else plausible),
         first(F.regexp_extract_all(text, F.lit(near), F.lit(0)), plausible),
+        *(first(every(scripts, rf"(?i){name}\s*=\s*(\d+)"), known) for name in VARIABLES),
     )
 
 

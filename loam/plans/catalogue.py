@@ -521,7 +521,7 @@ def pick_redaction(s, d):
     return docs(s, d).select("doc_id", html.pick_redaction(reds, F.lit(7).cast("long"), F.when(k % 5 == 0, "error")).alias("redid"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 6 = 0 AND contains(md5(doc_id::VARCHAR), i::VARCHAR) THEN NULL ELSE i END AS redid FROM (SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 5000 + doc_id WHEN 1 THEN 2000000 + doc_id WHEN 2 THEN 1000 + doc_id % 900000 WHEN 3 THEN doc_id WHEN 4 THEN 1000 + doc_id % 900000 WHEN 6 THEN 5000 + doc_id WHEN 7 THEN 1000 + doc_id % 900000 END AS i FROM documents)""")
+@query("""SELECT doc_id, CASE WHEN doc_id % 6 = 0 AND contains(md5(doc_id::VARCHAR), i::VARCHAR) THEN NULL ELSE i END AS redid FROM (SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 5000 + doc_id WHEN 1 THEN 2000000 + doc_id WHEN 2 THEN 1000 + doc_id % 900000 WHEN 3 THEN doc_id WHEN 4 THEN 1000 + doc_id % 900000 WHEN 6 THEN 5000 + doc_id WHEN 7 THEN 1000 + doc_id % 900000 WHEN 8 THEN doc_id % 800 END AS i FROM documents)""")
 def redid_cascade(s, d):
     i, k = F.col("doc_id"), F.col("doc_id") % 9
     big, huge, small = (5000 + i).cast("string"), (2_000_000 + i).cast("string"), (1000 + i % 900_000).cast("string")
@@ -534,6 +534,7 @@ def redid_cascade(s, d):
         .when(k == 5, F.concat(F.lit("<p>redid and a good deal of other words "), small, F.lit("</p>")))
         .when(k == 6, F.concat(F.lit("<script>{'rdk': '"), big, F.lit("'}</script>")))
         .when(k == 7, F.concat(F.lit("<p>rdk no. 12 or "), small, F.lit("</p>")))
+        .when(k == 8, F.concat(F.lit("<script>let  rdk = 12; const redid = 5; window.rdk="), (i % 800).cast("string"), F.lit("</script>")))
         .otherwise("no id here")
     )
     found = html.redid(page)
@@ -559,10 +560,10 @@ def target_cap(s, d):
     return docs(s, d).select("source", "doc_id").withColumn("r", rank).filter("r <= 30").drop("r")
 
 
-@query(rf"""WITH w AS (SELECT doc_id, lang AS u, list_filter(string_split_regex(text, '[\s\x0b\x1c-\x1f]+'), lambda x: x <> '') AS w, text FROM documents),
+@query(rf"""WITH w AS (SELECT doc_id, lang AS u, regexp_extract_all(text, '[\s\x0b\x1c-\x1f]*[^\s\x0b\x1c-\x1f]+(?:[\s\x0b\x1c-\x1f]+$)?') AS w, text FROM documents),
     n AS (SELECT *, CASE WHEN len(w) <= 199 THEN 1 ELSE 1 + ceil((len(w) - 199) / 195.0)::INTEGER END AS k FROM w), p AS (SELECT *, unnest(range(1, k + 1)) AS part FROM n)
     SELECT doc_id, part::INTEGER AS part_no, CASE WHEN part > 1 THEN u || chr(10) || chr(10) || 'Продолжи ответ. Часть ' || part || '.' ELSE u END AS user_text,
-    md5(CASE WHEN k = 1 THEN text WHEN part = 1 THEN array_to_string(w[1:199], ' ') ELSE array_to_string(w[200 + (part - 2) * 195:199 + (part - 1) * 195], ' ') END) AS answer FROM p""")
+    md5(CASE WHEN k = 1 THEN text WHEN part = 1 THEN array_to_string(w[1:199], '') ELSE array_to_string(w[200 + (part - 2) * 195:199 + (part - 1) * 195], '') END) AS answer FROM p""")
 def example_split(s, d):
     rows = chunk.answer_parts(docs(s, d).select("doc_id", F.col("lang").alias("user"), F.col("text").alias("answer")), 200)
     return rows.select("doc_id", "part_no", F.col("user").alias("user_text"), F.md5(F.col("answer").cast("binary")).alias("answer"))
@@ -582,6 +583,15 @@ def article_index(s, d):
     return pipelines.article_chunks(rows).select("chunk_id", "article_url", "chunk_start", "chunk_end", "legal_code")
 
 
+@query(f"""WITH p AS (SELECT split_part(url, '/', 3) AS url, html AS t FROM pages WHERE length({sql_strip('html')}) >= 200),
+    c AS (SELECT *, unnest(range(CASE WHEN length(t) > 2500 THEN ceil((length(t) - 400) / 2100.0)::INTEGER ELSE 1 END)) AS chunk_no FROM p)
+    SELECT 'chunk_' || lpad((row_number() OVER (ORDER BY url, md5(t), chunk_no) - 1)::VARCHAR, 6, '0') AS chunk_id, url AS article_url, md5(substring(t, chunk_no * 2100 + 1, 2500)) AS document FROM c""")
+def chunk_ids_of_repeats(s, d):
+    """Ids where many articles share url and title: one for each chunk."""
+    rows = pages(s, d).select(F.split_part("url", F.lit("/"), F.lit(3)).alias("url"), F.lit("Untitled").alias("title"), F.col("html").alias("content"))
+    return pipelines.article_chunks(rows).select("chunk_id", "article_url", F.md5(F.col("document").cast("binary")).alias("document"))
+
+
 @query(f"WITH {CONV} SELECT md5({sql_rendered()}) AS rendered, count(*) AS n FROM conv GROUP BY 1")
 def jsonl_round_trip(s, d):
     """Conversations written as JSONL and read line by line."""

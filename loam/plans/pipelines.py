@@ -121,7 +121,7 @@ def label_file(spark: SparkSession, path: str, out: str) -> DataFrame:
 def training_set(spark: SparkSession, path: str, most_tokens: int, overlong: str = "chunk", keep_ratio: float = 1.0, seed: int = 42, render: Callable[[Column], Column] = messages.inst_text) -> tuple[DataFrame, DataFrame]:
     """Loader-normalized records (item, messages, text, n_tokens) that fit most_tokens, and one row of counts.
 
-    overlong: ``chunk`` cuts answers of over-long records to parts with a follow-up question, ``drop`` leaves the records
+    overlong: ``chunk`` cuts the last answer of over-long records to parts with a follow-up question, nothing of which is lost, ``drop`` leaves the records
     out, ``keep`` keeps them. Tokens are words of the rendered text. keep_ratio below 1 takes a seeded share; render makes the text of messages.
     """
     if overlong not in ("chunk", "drop", "keep"):
@@ -139,9 +139,7 @@ def training_set(spark: SparkSession, path: str, most_tokens: int, overlong: str
     if overlong != "keep":
         short = sized.filter(fits)
         if overlong == "chunk":
-            long = sized.filter(~fits).select("item", F.expr("filter(messages, m -> m.role <> 'user' AND m.role <> 'assistant')").alias("rest"), messages.last_of(F.col("messages"), "user").alias("user"), messages.last_of(F.col("messages"), "assistant").alias("answer"))
-            parts = chunk.answer_parts(long, most_tokens)
-            parts = parts.withColumn("messages", F.concat("rest", F.array(messages.message("user", F.col("user")), messages.message("assistant", F.col("answer")))))
+            parts = chunk.message_parts(sized.filter(~fits).select("item", "messages"), most_tokens, render)
             short = short.unionByName(parts.select("item", "messages").withColumn("n_tokens", text.token_count(render(F.col("messages")))))
         sized = short
     made = sized.withColumn("text", render(F.col("messages")))
