@@ -9,10 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loam.operators import metric
 from loam.ship import ship
 
 #: Vector components of a tile of rows or of queries, about.
 COMPONENTS = 2_000_000
+#: Tiles of rows up to which every query meets every tile; beyond it cells of rows are ruled out first.
+DIRECT = 8
 
 
 def build_index(chunks: DataFrame, embed: Callable[[DataFrame], DataFrame], path: str) -> None:
@@ -62,18 +65,27 @@ def hashed(df: DataFrame, dim: int = 256) -> DataFrame:
     return df.withColumn("embedding", vector("document"))
 
 
-def knn(index: DataFrame, queries: DataFrame, k: int = 5, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """For each query (query_id, vector) the k nearest rows of the whole index: query_id, id, rank, distance (ties: the lower id).
+def knn(index: DataFrame, queries: DataFrame, k: int = 5, id_: str = "vec_id", vector: str = "embedding", direct: int = DIRECT, components: int = COMPONENTS) -> DataFrame:
+    """For each query (query_id, vector) the k nearest rows of the whole index: query_id, id, rank, distance (ties: the lower id). Exact; query_ids and ids are unique.
 
-    Queries and rows are dealt by hash to tiles of bounded size; each pair of tiles is a task that keeps k rows a
-    query, so that nothing goes through the driver, no pairs are shuffled, and a tile is sent once for each tile of the other
-    side. Rows that aren't of a query's dimension, or have null, non-finite or only zero components, are no neighbours, and
-    queries of that kind have none.
+    Rows that aren't of a query's dimension, or have null, non-finite or only zero components, are no neighbours, and
+    queries of that kind have none. A small index (up to `direct` tiles of `components`) meets each query whole; a larger one is searched by
+    metric.searched(), which sends a query only to cells that can hold a neighbour. Nothing but bounded samples and counts goes through the driver.
     """
-    kind = index.schema[id_].dataType.simpleString()
     size = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.greatest(F.coalesce(F.max(F.size(vector)), F.lit(1)), F.lit(1)).alias("dim")).first()
     q, x = size(queries), size(index)
-    n_q, n_x = -(-q["n"] * q["dim"] // COMPONENTS) or 1, -(-x["n"] * x["dim"] // COMPONENTS) or 1
+    n_q, n_x = -(-q["n"] * q["dim"] // components) or 1, -(-x["n"] * x["dim"] // components) or 1
+    if n_x > direct:
+        found = metric.searched(index, queries, k, id_, vector, components)[0].withColumnRenamed("id", id_)
+    else:
+        found = all_tiles(index, queries, k, id_, vector, n_q, n_x)
+    order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("distance", 12), id_))
+    return found.withColumn("rank", order).filter(F.col("rank") <= k)
+
+
+def all_tiles(index: DataFrame, queries: DataFrame, k: int, id_: str, vector: str, n_q: int, n_x: int) -> DataFrame:
+    """query_id, id, distance of the k best rows of each tile: queries and rows are dealt by hash, each pair of tiles is a task, and a tile is sent once for each tile of the other side."""
+    kind = index.schema[id_].dataType.simpleString()
     # new names on both sides, which may come from one table
     tile = lambda own, n: F.pmod(F.xxhash64(own, vector), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -107,6 +119,4 @@ def knn(index: DataFrame, queries: DataFrame, k: int = 5, id_: str = "vec_id", v
                 found.append(pd.DataFrame({"query_id": qid[s + i[keep]], id_: names[place[j[keep]]], "distance": d[i[keep], j[keep]]}))
         return pd.concat(found) if found else pd.DataFrame({"query_id": [], id_: [], "distance": []})
 
-    found = asked.groupBy("_q", "_x").cogroup(rows.groupBy("_q", "_x")).applyInPandas(best, f"query_id {queries.schema['query_id'].dataType.simpleString()}, `{id_}` {kind}, distance double")
-    order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("distance", 12), id_))
-    return found.withColumn("rank", order).filter(F.col("rank") <= k)
+    return asked.groupBy("_q", "_x").cogroup(rows.groupBy("_q", "_x")).applyInPandas(best, f"query_id {queries.schema['query_id'].dataType.simpleString()}, `{id_}` {kind}, distance double")

@@ -462,6 +462,14 @@ def vector_topk(s, d):
     return nearest(e, e)
 
 
+@query(sql_knn("true"))
+def vector_topk_pruned(s, d):
+    """The same through cells around pivots."""
+    e = s.read.parquet(f"{d}/embeddings.parquet")
+    asked = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vector.knn(e, asked, direct=0, components=20_000).select("query_id", "vec_id", "rank", F.round(F.col("distance") + 1e-12, 6).alias("distance"))
+
+
 @query(sql_knn("label = 3"))
 def vector_topk_filtered(s, d):
     e = s.read.parquet(f"{d}/embeddings.parquet")
