@@ -84,8 +84,8 @@ def main(argv: list[str] | None = None) -> int:
             return 0
         LOG.info("Mean length: %.0f\nShortest: %d\nLongest: %d\nRecords: %d", *(found[c] for c in ("avg_len", "min_len", "max_len", "n")))
     elif a.job == "index":
-        module, name = a.embedder.split(":")
-        embed = getattr(importlib.import_module(module), name)
+        module, _, name = a.embedder.partition(":")
+        embed = getattr(importlib.import_module(module), name) if name else module
         if a.build:
             LOG.info("%s", pipelines.build_retrieval(spark, a.articles, a.db_path, embed))
         if a.query:

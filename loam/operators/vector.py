@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loam.operators import metric
+from loam.operators import embedding, metric, snapshots
 from loam.ship import ship
 
 #: Vector components of a tile of rows or of queries, about.
@@ -18,13 +18,41 @@ COMPONENTS = 2_000_000
 DIRECT = 8
 
 
-def build_index(chunks: DataFrame, embed: Callable[[DataFrame], DataFrame], path: str) -> None:
-    """Embed chunks (embed adds a column embedding) and replace the index at path, in folders by legal_code."""
-    embed(chunks).write.mode("overwrite").partitionBy("legal_code").parquet(path)
+def build_index(chunks: DataFrame, embed: Callable[[DataFrame], DataFrame] | str, path: str, keep: int = 2) -> None:
+    """Embed chunks and publish them as the index's new version, in folders by legal_code; readers see the old version until then.
+
+    embed adds a column embedding; or it is ``fitted``: an embedding is fitted on the chunks and stored with the version.
+    """
+    spark = chunks.sparkSession
+
+    def write(folder: str) -> None:
+        how = embed
+        if embed == "fitted":
+            model = embedding.fit(chunks)
+            model.save(spark, f"{folder}/model")
+            how = model.embed
+        made = how(chunks)
+        spark.createDataFrame([], made.schema).coalesce(1).write.parquet(f"{folder}/schema")  # for an empty index, and codes that look like numbers
+        made.write.partitionBy("legal_code").parquet(f"{folder}/chunks")
+
+    snapshots.publish(spark, path, write, keep)
 
 
 def open_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The index's current version; later versions don't change what it reads."""
+    folder = snapshots.current(spark, path)
+    if folder is None:
+        raise FileNotFoundError(f"no index at {path}")
+    return spark.read.schema(spark.read.parquet(f"{folder}/schema").schema).parquet(f"{folder}/chunks")
+
+
+def index_embedder(spark: SparkSession, path: str) -> Callable[[DataFrame], DataFrame] | None:
+    """The embedding that is stored with the index's current version, if there is one."""
+    folder = snapshots.current(spark, path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/model")
+    if folder is None or not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    return embedding.load(spark, f"{folder}/model").embed
 
 
 def cosine_distance(a: Column, b: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.functions import text as X
-from loam.operators import chunk, dedup, html, messages, profile, quality, scratch, split, vector
+from loam.operators import chunk, dedup, embedding, html, messages, profile, quality, scratch, split, vector
 from loam.plans import pipelines
 from loam.sources import readers, sinks
 
@@ -668,14 +668,26 @@ def training_read(s, d):
     return rows.select(m.alias("m")).filter("m is not null").select(F.md5(messages.rendered(F.col("m")).cast("binary")).alias("rendered")).groupBy("rendered").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {CHUNKS} SELECT upper(lang) AS legal_code, count(*) AS n, sum(length(substring(text, chunk_no * 2100 + 1, 2500)))::BIGINT AS chars FROM chunks JOIN (SELECT doc_id, lang FROM documents) USING (doc_id) GROUP BY 1""")
+@query(f"""WITH {CHUNKS} SELECT 'chunk_' || lpad((row_number() OVER (ORDER BY url, md5(text), chunk_no) - 1)::VARCHAR, 6, '0') AS chunk_id, url AS article_url, 't' || doc_id % 7 AS article_title, upper(lang) AS legal_code, (chunk_no * 2100)::INTEGER AS chunk_start,
+    least(chunk_no * 2100 + 2500, length(text))::INTEGER AS chunk_end, md5(substring(text, chunk_no * 2100 + 1, 2500)) AS document, true AS same_vector FROM (SELECT *, 'https://h/' || lang || '/' || doc_id AS url FROM chunks JOIN (SELECT doc_id, lang FROM documents) USING (doc_id))""")
 def index_round_trip(s, d):
-    """Chunks of articles read from JSON, embedded, written as an index in folders by code, and read back."""
+    """Chunks of articles read from JSON, embedded, published as an index in folders by code over an older version, and read back: ids, metadata and vectors."""
     source, index = scratch.fresh_path(s), scratch.fresh_path(s)
-    rows = docs(s, d).select(F.concat(F.lit("https://h/"), "lang", F.lit("/"), F.col("doc_id").cast("string")).alias("url"), F.lit("t").alias("title"), F.col("text").alias("content"))
+    rows = docs(s, d).select(F.concat(F.lit("https://h/"), "lang", F.lit("/"), F.col("doc_id").cast("string")).alias("url"), F.concat(F.lit("t"), (F.col("doc_id") % 7).cast("string")).alias("title"), F.col("text").alias("content"))
     rows.write.json(source)
-    vector.build_index(pipelines.article_chunks(readers.articles_lines(s, source)), vector.hashed, index)
-    return vector.open_index(s, index).groupBy("legal_code").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("document")).alias("chars"))
+    chunks = pipelines.article_chunks(readers.articles_lines(s, source))
+    vector.build_index(chunks.limit(10), vector.hashed, index)
+    vector.build_index(chunks, vector.hashed, index)
+    got = vector.open_index(s, index)
+    again = vector.hashed(got.withColumnRenamed("embedding", "stored")).withColumn("same_vector", F.col("embedding").eqNullSafe(F.col("stored")))
+    return again.select("chunk_id", "article_url", "article_title", "legal_code", "chunk_start", "chunk_end", F.md5(F.col("document").cast("binary")).alias("document"), "same_vector")
+
+
+@query()
+def fitted_embedding(s, d):
+    """Embeddings of all documents, fitted on them."""
+    rows = docs(s, d).select("doc_id", F.col("text").alias("document"))
+    return embedding.fit(rows).embed(rows).select("doc_id", "embedding")
 
 
 @query(f"SELECT law_code, law, count(*) AS n FROM ({SQL['law_label']}) GROUP BY ALL")

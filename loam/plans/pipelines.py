@@ -76,8 +76,8 @@ def article_chunks(articles: DataFrame) -> DataFrame:
     return chunk.with_code(chunk.chunk_ids(rows, "_o"), "url").select("chunk_id", "document", F.col("url").alias("article_url"), F.col("title").alias("article_title"), "chunk_start", "chunk_end", "legal_code")
 
 
-def build_retrieval(spark: SparkSession, articles: str, index: str, embed: Callable[[DataFrame], DataFrame]) -> dict[str, int]:
-    """Chunk, embed and index the articles of an array file; the old index goes. Gives counts of articles, those too short, and chunks."""
+def build_retrieval(spark: SparkSession, articles: str, index: str, embed: Callable[[DataFrame], DataFrame] | str) -> dict[str, int]:
+    """Chunk, embed and index the articles of an array file, as a new version of the index. Gives counts of articles, those too short, and chunks."""
     rows = readers.articles(spark, articles)
     vector.build_index(article_chunks(rows), embed, index)
     long = chunk.long_enough(F.col("content"))
@@ -85,10 +85,10 @@ def build_retrieval(spark: SparkSession, articles: str, index: str, embed: Calla
     return {**counts.asDict(), "chunks": vector.open_index(spark, index).count()}
 
 
-def ask(spark: SparkSession, index: str, query: str, embed: Callable[[DataFrame], DataFrame], k: int = 5, code: str | None = None) -> DataFrame:
-    """The k chunks nearest to a query: rank, distance, similarity, text and metadata. A blank query finds nothing; code looks in one folder of the index only."""
+def ask(spark: SparkSession, index: str, query: str, embed: Callable[[DataFrame], DataFrame] | str, k: int = 5, code: str | None = None) -> DataFrame:
+    """The k chunks nearest to a query: rank, distance, similarity, text and metadata. A blank query finds nothing; code looks in one folder of the index only. An embedding stored with the index is used instead of embed."""
     rows = vector.open_index(spark, index)
-    vectors = embed(spark.createDataFrame([(query,)], "document string")).select("embedding").first() if query and query.strip() else None
+    vectors = (vector.index_embedder(spark, index) or embed)(spark.createDataFrame([(query,)], "document string")).select("embedding").first() if query and query.strip() else None
     if vectors is None or not vectors[0]:
         return vector.results(vector.search(rows.limit(0), [1.0], k, id_="chunk_id"))
     return vector.results(vector.search(rows, list(vectors[0]), k, None if code is None else F.col("legal_code") == code, id_="chunk_id"))
