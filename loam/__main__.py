@@ -11,6 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 from loam.operators import vector
+from loam.functions import templates
 from loam.operators import messages
 from loam.operators.profile import length_stats
 from loam.plans import pipelines
@@ -55,6 +56,9 @@ def arguments() -> argparse.ArgumentParser:
     r.add_argument("--overlong", choices=("chunk", "drop", "keep"), default="chunk")
     r.add_argument("--keep_ratio", type=float, default=1.0)
     r.add_argument("--template", choices=("inst", "chatml"), default="inst")
+    r.add_argument("--template_file", help="a tokenizer's chat template, instead of --template")
+    r.add_argument("--bos_token", default="")
+    r.add_argument("--eos_token", default="")
     r.add_argument("--seed", type=int, default=42)
     return parser
 
@@ -96,7 +100,11 @@ def main(argv: list[str] | None = None) -> int:
     elif a.job == "qa":
         LOG.info("%d pairs", pipelines.qa_dataset(spark, dict(f.split("=", 1) for f in a.file), a.output).count())
     else:
-        made, counts = pipelines.training_set(spark, a.data, a.max_seq_length, a.overlong, a.keep_ratio, a.seed, {"inst": messages.inst_text, "chatml": messages.chat_text}[a.template])
+        render = {"inst": messages.inst_text, "chatml": messages.chat_text}[a.template]
+        if a.template_file:
+            source = spark.read.text(a.template_file, wholetext=True).first()[0]
+            render = lambda m: templates.render(source, m, bos_token=a.bos_token, eos_token=a.eos_token, add_generation_prompt=False)
+        made, counts = pipelines.training_set(spark, a.data, a.max_seq_length, a.overlong, a.keep_ratio, a.seed, render)
         LOG.info("%s", counts.first().asDict())
         if a.output:
             sinks.jsonl(made, a.output)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loam.functions import templates
 from loam.functions import text as X
 from loam.operators import chunk, dedup, embedding, html, messages, profile, quality, scratch, split, vector
 from loam.plans import pipelines
@@ -208,6 +209,22 @@ def chat_render(s, d):
     return turns(s, d).select("conv_id", messages.chat_text(F.col("messages")).alias("rendered"))
 
 
+HEADERS = """{%- for message in messages %}
+    {%- set content = '<|start_header_id|>' + message['role'] + '<|end_header_id|>\n\n' + message['content'] | trim + '<|eot_id|>' %}
+    {%- if loop.index0 == 0 %}{% set content = bos_token + content %}{% endif %}
+    {{- content }}
+{%- endfor %}
+{%- if messages[-1]['role'] != 'assistant' %}{{- raise_exception('no answer') if strict else '...' }}{% endif %}
+"""
+
+
+@query(f"""WITH {CONV} SELECT conv_id, '<s>' || array_to_string(list_transform(m, lambda x: '<|start_header_id|>' || x.role || '<|end_header_id|>' || chr(10) || chr(10) || {sql_strip('x.content')} || '<|eot_id|>'), '')
+    || CASE WHEN m[-1].role <> 'assistant' THEN '...' ELSE '' END AS rendered FROM conv""")
+def template_render(s, d):
+    """Conversations in the form of a tokenizer's own template."""
+    return turns(s, d).select("conv_id", templates.render(HEADERS, F.col("messages"), bos_token="<s>", strict=False).alias("rendered"))
+
+
 @query("""SELECT doc_id, doc_id % 8 IN (0, 1, 2, 3) AS inference_only FROM documents""")
 def inference_only_names(s, d):
     k, i = F.col("doc_id") % 8, F.col("doc_id").cast("string")
