@@ -204,21 +204,26 @@ def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
-def lowest(df: DataFrame, group: Column | None, most: int, order: Column, columns: list[str]) -> list[Row]:
-    """Of each group (null groups are left out) the rows with the lowest values of a hash (order), at most `most`: a bounded sample for the driver.
+#: Groups that lowest() looks at, the largest ones: with its bound of rows a group this bounds what the driver gets.
+GROUPS = 256
+
+
+def lowest(df: DataFrame, group: Column | None, most: int, order: Column, columns: list[str], groups: int = GROUPS) -> list[Row]:
+    """Of each of the largest groups (`groups` at most; null ones are left out) the rows with the lowest values of a hash (order), at most `most`: a bounded sample for the driver.
 
     Rows of equal hash, which repeat each other, count once. The distinct hashes of a group are estimated first; then only
-    rows under a threshold leave the scan, equal ones become one before they leave the executors, and the bound is cut here.
+    rows under the group's threshold leave the scan, equal ones become one before they leave the executors, and the bound is cut here. Groups of equal
+    size are taken in the order of their names.
     """
     at = (group if group is not None else F.lit("all")).cast("string").alias("_group")
     unit = ((order.bitwiseAND(F.lit((1 << 52) - 1))) / F.lit(float(1 << 52))).alias("_unit")
-    n = {r["_group"]: r["n"] for r in df.select(at, unit).filter(F.col("_group").isNotNull()).groupBy("_group").agg(F.approx_count_distinct("_unit", 0.02).alias("n")).collect()}
+    sizes = df.select(at, unit).filter(F.col("_group").isNotNull()).groupBy("_group").agg(F.approx_count_distinct("_unit", 0.02).alias("n"))
+    n = {r["_group"]: r["n"] for r in sizes.orderBy(F.desc("n"), "_group").limit(groups).collect()}
     if not n:
         return []
-    share = F.lit(0.0)
-    for g, c in n.items():
-        share = F.when(F.col("_group") == g, min(1.0, 1.1 * (most + 4 * most**0.5) / max(c, 1))).otherwise(share)
-    few = df.select(*columns, at, unit).filter(F.col("_unit") <= share).groupBy("_group", "_unit").agg(F.min(F.struct(*columns)).alias("_row"))
+    share = df.sparkSession.createDataFrame([(g, min(1.0, 1.1 * (most + 4 * most**0.5) / max(c, 1))) for g, c in n.items()], "_group string, _share double")
+    some = df.select(*columns, at, unit).join(F.broadcast(share), "_group").filter(F.col("_unit") <= F.col("_share"))
+    few = some.groupBy("_group", "_unit").agg(F.min(F.struct(*columns)).alias("_row"))
     rows = few.select("_group", "_unit", "_row.*").collect()
     rows.sort(key=lambda r: (r["_group"], r["_unit"]))
     out, seen = [], {}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loam.llm import decontam, importance, periodic
 from loam.llm import queries as llm
-from loam.llm.common import ship
+from loam.llm.common import lowest, ship
 from tests.conftest import SF
 from tests.helpers import same
 
@@ -268,3 +268,24 @@ def test_query_of_runs_on_the_drivers_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     assert got == sorted((plain_row(r["doc_id"], r["text"]) for r in docs), key=lambda r: r[0])
     assert sum(r[1] > 0 for r in got) > 10
+
+
+# common
+
+
+def test_lowest_of_very_many_groups(spark):
+    df = spark.range(6000).select(F.col("id"), F.when(F.col("id") < 2000, F.col("id")).otherwise(F.col("id") % 3).cast("string").alias("g"))
+    got = lowest(df, F.col("g"), 5, F.xxhash64("id"), ["id", "g"], groups=40)
+    counts = {}
+    for r in got:
+        counts[r["g"]] = counts.get(r["g"], 0) + 1
+    assert len(counts) == 40 and [counts[g] for g in "012"] == [5, 5, 5]
+    units = {r["id"]: r["u"] for r in df.filter("g = '1'").select("id", ((F.xxhash64("id").bitwiseAND(F.lit((1 << 52) - 1))) / F.lit(float(1 << 52))).alias("u")).collect()}
+    assert sorted(r["id"] for r in got if r["g"] == "1") == sorted(sorted(units, key=units.get)[:5])
+
+
+def test_language_model_of_many_languages(spark):
+    from loam.llm import langid
+
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word of number "), F.col("id").cast("string")).alias("text"), (F.col("id") % 1500).cast("string").alias("lang"))
+    assert len(langid.fit(df, 1).langs) <= 256
