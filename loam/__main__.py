@@ -10,9 +10,8 @@ import logging
 from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
-from loam.operators import vector
 from loam.functions import templates
-from loam.operators import messages
+from loam.operators import messages, vector
 from loam.operators.profile import length_stats
 from loam.plans import pipelines
 from loam.sources import readers, sinks
