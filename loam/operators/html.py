@@ -202,10 +202,10 @@ def article_records(slices: DataFrame, least: int = 200) -> DataFrame:
     return rows.withColumns({"title": F.col("content"), "article_number": F.coalesce(dotted_number(F.col("content")), dotted_number(F.col("caption")))})
 
 
-def numbered_links(spark: SparkSession, template: str, limit: int) -> DataFrame:
-    """template with 1 to limit in place of ``{}``."""
-    n = F.col("id").cast("string")
-    return spark.range(1, limit + 1).select(F.col("id").alias("n"), F.replace(F.lit(template), F.lit("{}"), n).alias("link"))
+def numbered_links(codes: DataFrame, template: str = "template", limit: str = "limit") -> DataFrame:
+    """A row for each number n from 1 to a row's limit, with link: its template with n in place of ``{}``. Rows with a null or no positive limit give none."""
+    rows = codes.filter(F.col(limit) > 0).withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), F.col(limit).cast("long"))))
+    return rows.withColumn("link", F.replace(F.col(template), F.lit("{}"), F.col("n").cast("string")))
 
 
 def node_slices(docs: DataFrame) -> DataFrame:

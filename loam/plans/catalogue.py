@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loam.functions import templates
 from loam.functions import text as X
-from loam.operators import chunk, dedup, embedding, html, messages, profile, quality, scratch, split, vector
+from loam.operators import chunk, dedup, embedding, html, messages, profile, quality, scratch, sets, split, vector
 from loam.plans import pipelines
 from loam.sources import readers, sinks
 
@@ -566,23 +566,23 @@ def redid_cascade(s, d):
     return docs(s, d).select("doc_id", F.when(i % 6 == 0, html.not_in_hash(found, F.md5(i.cast("string").cast("binary")))).otherwise(found).alias("redid"))
 
 
-@query("SELECT n, 'https://www.example.org/gk/' || n || '/' AS link FROM range(1, 101) t(n)")
+@query("SELECT host, unnest(range(1, c + 1)) AS n, 'https://' || host || '/law/' || unnest(range(1, c + 1)) || '/' AS link FROM (SELECT split_part(url, '/', 3) AS host, count(*) AS c FROM pages GROUP BY 1)")
 def link_generator(s, d):
-    return html.numbered_links(s, "https://www.example.org/gk/{}/", 100)
+    """Numbered links of each host, as many as it has pages."""
+    hosts = pages(s, d).groupBy(F.split_part("url", F.lit("/"), F.lit(3)).alias("host")).agg(F.count(F.lit(1)).alias("limit"))
+    return html.numbered_links(hosts.withColumn("template", F.concat(F.lit("https://"), "host", F.lit("/law/{}/")))).select("host", "n", "link")
 
 
-@query("SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents WHERE lang IN ('de', 'en', 'fr') GROUP BY lang")
+@query("SELECT dataset, count(*) AS n, sum(n_chars)::BIGINT AS chars, count(item_id) AS items FROM (SELECT lang AS dataset, n_chars, NULL AS item_id FROM documents WHERE lang IN ('de', 'en') UNION ALL SELECT 'benchmark', length(text), item_id FROM benchmark) GROUP BY dataset")
 def union_datasets(s, d):
-    parts = [docs(s, d).filter(F.col("lang") == x) for x in ("de", "en", "fr")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+    parts = {x: docs(s, d).filter(F.col("lang") == x).select("n_chars") for x in ("de", "en")}
+    parts["benchmark"] = s.read.parquet(f"{d}/benchmark.parquet").select("item_id", F.length("text").cast("long").alias("n_chars"))
+    return sets.union(parts).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"), F.count("item_id").alias("items"))
 
 
-@query("SELECT source, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 30")
+@query("SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id)::INTEGER AS rank FROM documents QUALIFY rank <= 30")
 def target_cap(s, d):
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return docs(s, d).select("source", "doc_id").withColumn("r", rank).filter("r <= 30").drop("r")
+    return sets.cap(docs(s, d).select("source", "doc_id"), "source", ["doc_id"], 30)
 
 
 @query(rf"""WITH w AS (SELECT doc_id, lang AS u, regexp_extract_all(text, '[\s\x0b\x1c-\x1f]*[^\s\x0b\x1c-\x1f]+(?:[\s\x0b\x1c-\x1f]+$)?') AS w, text FROM documents),
@@ -630,8 +630,9 @@ ITEM_TEXT = "'Статья ' || doc_id || '. ' || text"
 
 
 @query(rf"""WITH f AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'gk' WHEN 1 THEN 'tk' ELSE 'koap' END AS code, doc_id % 5 AS form, 'Вопрос ' || doc_id AS q, {ITEM_TEXT} AS t FROM documents WHERE doc_id % 5 < 4),
-    n AS (SELECT *, coalesce(nullif(replace(regexp_extract(t, '(?i)Статья\s+(\d+(?:\s+\d+)?)', 1), ' ', '_'), ''), 'unknown') AS number FROM f)
-    SELECT code, number AS article_number, code || '_' || number AS group_id, form < 2 AS is_messages_format, md5(CASE WHEN form < 3 THEN q ELSE 'Какая статья из ' || upper(code) || ' кодекс РФ регулирует: ' || q END) AS raw_case, md5(t) AS raw_article FROM n""")
+    n AS (SELECT *, coalesce(nullif(replace(regexp_extract(t, '(?i)Статья\s+(\d+(?:\s+\d+)?)', 1), ' ', '_'), ''), 'unknown') AS number FROM f),
+    p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id % 3, doc_id // 300 ORDER BY doc_id) - 1 AS idx FROM documents)
+    SELECT 'actual_' || CASE code WHEN 'gk' THEN 'gk_rf' WHEN 'tk' THEN 'TK_RF' ELSE code END || '_' || (n.doc_id // 300) || '_' || idx AS source_id, code, number AS article_number, code || '_' || number AS group_id, form < 2 AS is_messages_format, md5(CASE WHEN form < 3 THEN q ELSE 'Какая статья из ' || upper(code) || ' кодекс РФ регулирует: ' || q END) AS raw_case, md5(t) AS raw_article FROM n JOIN p USING (doc_id)""")
 def raw_ingest(s, d):
     """Records of the four forms (and others, which go) written as array files and read as a raw folder; codes come from file names."""
     i = F.col("doc_id")
@@ -642,18 +643,18 @@ def raw_ingest(s, d):
     item = F.when(i % 5 == 0, F.to_json(chat)).when(i % 5 == 1, F.to_json(F.struct(chat.alias("messages")))).when(i % 5 == 2, pair("case", "article")).when(i % 5 == 3, pair("title", "content")).otherwise('{"note": 1}')
     rows = docs(s, d).select(code.alias("code"), F.floor(i / 300).alias("part"), item.alias("item"), "doc_id")
     files = rows.groupBy("code", "part").agg(F.array_sort(F.collect_list(F.struct("doc_id", "item"))).alias("x"))  # 100 items at most
-    files = files.select("code", F.concat(F.lit("["), F.array_join(F.transform("x", lambda y: y["item"]), ","), F.lit("]")).alias("value"))
+    files = files.select("code", "part", F.concat(F.lit("["), F.array_join(F.transform("x", lambda y: y["item"]), ","), F.lit("]")).alias("value"))
     path, out = scratch.fresh_path(s), scratch.fresh_path(s)
     fs_path = s._jvm.org.apache.hadoop.fs.Path
     fs = fs_path(out).getFileSystem(s._jsc.hadoopConfiguration())
     fs.mkdirs(fs_path(out))
-    files.write.option("maxRecordsPerFile", 1).partitionBy("code").text(path)
-    for k, name in enumerate(("gk_rf", "TK_RF", "koap")):
-        for j, f in enumerate(fs.globStatus(fs_path(f"{path}/code={name[:4].split('_')[0].lower()}/part-*"))):
-            fs.rename(f.getPath(), fs_path(f"{out}/actual_{name}_{k}_{j}.json"))
+    files.write.partitionBy("code", "part").text(path)
+    for f in fs.globStatus(fs_path(f"{path}/code=*/part=*/part-*")):  # a file an array
+        code_, part = (f.getPath().toString().split(f"/{name}=")[1].split("/")[0] for name in ("code", "part"))
+        fs.rename(f.getPath(), fs_path(f"{out}/actual_{dict(gk='gk_rf', tk='TK_RF').get(code_, code_)}_{part}.json"))
     got = readers.raw_directory(s, out)
     digest = lambda c: F.md5(F.col(c).cast("binary")).alias(c)
-    return got.select("code", "article_number", "group_id", "is_messages_format", digest("raw_case"), digest("raw_article"))
+    return got.select("source_id", "code", "article_number", "group_id", "is_messages_format", digest("raw_case"), digest("raw_article"))
 
 
 @query(BASE.replace("tagged AS", "t AS") + """, r AS (SELECT coalesce(reason, 'kept') AS k, count(*) AS n FROM t GROUP BY 1)
@@ -746,8 +747,11 @@ def overlong_filter(s, d):
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    from loam.plans import catalogue_files  # registers its own
+
+    return dict(catalogue_files.catalogue.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)

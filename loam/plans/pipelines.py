@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loam.functions import text
-from loam.operators import chunk, dedup, html, messages, profile, quality, split, vector
+from loam.operators import chunk, dedup, html, messages, profile, quality, sets, split, vector
 from loam.operators.scratch import written
 from loam.sources import readers, sinks
 
@@ -53,16 +53,16 @@ def preprocess(spark: SparkSession, raw_dir: str, out: str, seed: int = 42, trai
 
 def health(spark: SparkSession, paths: dict[str, str], out: str | None = None) -> DataFrame:
     """Counts of datasets (train, test, val: path) with leaks: of test into train, of val into both."""
-    sets = None
+    rows = None
     for name, path in paths.items():
         item = readers.lines(spark, path).select(F.lit(name).alias("dataset"), F.expr(f"try_variant_get(try_parse_json(item), '$.messages', '{messages.MESSAGES}')").alias("messages"))
-        sets = item if sets is None else sets.unionByName(item)
-    sets = written(sets)
-    counts = profile.health(sets, F.col("dataset"))
-    hashed = sets.filter(~quality.bad_format(F.col("messages"))).select("dataset", messages.content_hash(F.col("messages")).alias("h"))
+        rows = item if rows is None else rows.unionByName(item)
+    rows = written(rows)
+    counts = profile.health(rows, F.col("dataset"))
+    hashed = rows.filter(~quality.bad_format(F.col("messages"))).select("dataset", messages.content_hash(F.col("messages")).alias("h"))
     for name, against in (("test", ["train"]), ("val", ["train", "test"])):
-        rows = profile.leaked(hashed.filter(F.col("dataset") == name), hashed.filter(F.col("dataset").isin(against)))
-        n = rows.groupBy("dataset").agg(F.count(F.lit(1)).alias(f"leaks_{name}"))
+        leaks = profile.leaked(hashed.filter(F.col("dataset") == name), hashed.filter(F.col("dataset").isin(against)))
+        n = leaks.groupBy("dataset").agg(F.count(F.lit(1)).alias(f"leaks_{name}"))
         counts = counts.join(n, "dataset", "left")
     counts = counts.select(*[c for c in counts.columns if not c.startswith("leaks_")], F.coalesce("leaks_test", "leaks_val", F.lit(0)).alias("leakage_count"))
     if out:
@@ -155,8 +155,7 @@ def page_pairs(docs: DataFrame, out: str | None = None, test_ratio: float = 0.1,
     code's pairs is its test part. Written in folders by code and split; a reader of all codes reads the parent folder.
     """
     records = html.article_records(html.node_slices(docs))
-    order = F.row_number().over(Window.partitionBy("code").orderBy("doc_hash", "node_id"))
-    pairs = records.select("code", F.col("title").alias("case"), F.col("content").alias("article"), order.alias("ord")).filter(F.col("ord") <= most)
+    pairs = sets.cap(records, "code", ["doc_hash", "node_id"], most, "ord").select("code", F.col("title").alias("case"), F.col("content").alias("article"), "ord")
     once = written(dedup.longest(pairs, ["code", "case"], "article", "ord"))
     rank = F.row_number().over(Window.partitionBy("code").orderBy(split.shuffled(F.col("first_seen"), seed)))
     n = once.groupBy("code").agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * F.lit(float(test_ratio)))).alias("_n"))
