@@ -80,17 +80,18 @@ def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, bytes, boo
         yield now, b",".join(held) + b",", fresh
 
 
-SUMMARY = "file long, block long, file_name string, ends_inside array<boolean>, deeper array<long>, commas array<map<long,long>>, first string"
+CUT = "file long, file_name string, block long, item_idx long, whole boolean, border long, value string"
+SUMMARY = "file long, block long, ends_inside array<boolean>, deeper array<long>, commas array<map<long,long>>, first string"
 
 
 def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each range: for a beginning outside and inside a string its end, change of depth and commas by depth; the first character of text."""
-    shape = pa.schema([("file", pa.int64()), ("block", pa.int64()), ("file_name", pa.string()), ("ends_inside", pa.list_(pa.bool_())), ("deeper", pa.list_(pa.int64())), ("commas", pa.list_(pa.map_(pa.int64(), pa.int64()))), ("first", pa.string())])
+    shape = pa.schema([("file", pa.int64()), ("block", pa.int64()), ("ends_inside", pa.list_(pa.bool_())), ("deeper", pa.list_(pa.int64())), ("commas", pa.list_(pa.map_(pa.int64(), pa.int64()))), ("first", pa.string())])
     scans: list[Scan] = []
     now, first = None, ""
 
     def row() -> pa.RecordBatch:
-        values = [now["file"], now["block"], now["file_name"], [s.inside for s in scans], [s.depth for s in scans], [list(s.commas.items()) for s in scans], first]
+        values = [now["file"], now["block"], [s.inside for s in scans], [s.depth for s in scans], [list(s.commas.items()) for s in scans], first]
         return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, shape)], schema=shape)
 
     for head, data, fresh in ranges(batches):
@@ -99,53 +100,62 @@ def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield row()
             now, scans, first = head, [Scan(False), Scan(True)], ""
         if not first:
-            first = data.lstrip(b" \t\r\n\xef\xbb\xbf")[:1].decode("latin-1")
+            first = first_of(data)
         for s in scans:
             s.feed(data)
     if now is not None:
         yield row()
 
 
+def first_of(data: bytes) -> str:
+    """The first character of a text; empty if it is blank."""
+    return data.lstrip(b" \t\r\n\xef\xbb\xbf")[:1].decode("latin-1")
+
+
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Elements and pieces of elements of ranges whose beginnings (inside, depth, border, before) are known: file, block, item_idx, whole, value."""
-    names = ["file", "block", "item_idx", "whole", "value"]
+    """Elements and pieces of elements of ranges whose beginnings (inside, depth, border, before) are known, or that are whole files (nulls): CUT."""
+    names = ["file", "file_name", "block", "item_idx", "whole", "border", "value"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
     now, scan, number, open_, whole = None, None, 0, [], False
     out: list[tuple] = []
 
+    def row(inner: bool, text: bytes) -> tuple:
+        return now["file"], now["file_name"], now["block"], number, inner, scan.border, text
+
     def batch() -> pa.RecordBatch:
-        columns = list(zip(*out)) or [[]] * 5
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
-        arrays = [pa.array(list(c), k) for c, k in zip(columns, kinds)]
+        arrays = [pa.array(list(c), k) for c, k in zip(zip(*out), kinds)]
         out.clear()
-        return pa.RecordBatch.from_arrays([*arrays[:4], arrays[4].cast(pa.string(), safe=False)], names=names)
+        return pa.RecordBatch.from_arrays([*arrays[:-1], arrays[-1].cast(pa.string(), safe=False)], names=names)
 
     size = 0
     for head, data, fresh in ranges(batches):
         if fresh:
             if now is not None:
-                out.append((now["file"], now["block"], number, False, b"".join(open_)))
-            now, scan, number, open_, whole = head, Scan(head["inside"], head["depth"], head["border"]), head["before"], [], False
+                out.append(row(False, b"".join(open_)))
+            now, number, open_, whole = head, head["before"] or 0, [], False
+            border = int(first_of(data) == "[") if head["border"] is None else head["border"]
+            scan = Scan(bool(head["inside"]), head["depth"] or 0, border)
         at = 0
         for b in scan.feed(data):
             open_.append(data[at:b])
             text = b"".join(open_)
-            out.append((now["file"], now["block"], number, whole, text))
-            size += len(text) + 40
+            out.append(row(whole, text))
+            size += len(text) + 60
             number, open_, whole, at = number + 1, [], True, b + 1
             if size >= HELD:
                 yield batch()
                 size = 0
         open_.append(data[at:])
     if now is not None:
-        out.append((now["file"], now["block"], number, False, b"".join(open_)))
+        out.append(row(False, b"".join(open_)))
     if out:
         yield batch()
 
 
 def records(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
-    """value (text up to the next comma), file (a hash of its path) and block (start of its range), in order within a range."""
+    """value (text up to the next comma), file (a hash of its path), block (start of its range), file_name and parted (whether the file has more ranges), in order within a range."""
     options = {"lineSep": ","} | ({"pathGlobFilter": glob} if glob else {})
-    return spark.read.text(paths, **options).select("value", F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_name").alias("file_name"))
+    return spark.read.text(paths, **options).select("value", F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_name").alias("file_name"), (F.col("_metadata.file_block_length") < F.col("_metadata.file_size")).alias("parted"))
 
 
 def starts_of(found: DataFrame) -> DataFrame:
@@ -165,7 +175,7 @@ def starts_of(found: DataFrame) -> DataFrame:
     first = F.first("first").over(Window.partitionBy("file").orderBy("block"))
     rows = rows.withColumn("border", F.when(first == "[", 1).otherwise(0).cast("long"))
     rows = rows.withColumn("before", sums(F.coalesce(F.try_element_at(chosen("commas"), F.col("border") - F.col("depth")), F.lit(0))))
-    return rows.select("file", "file_name", "block", "inside", "depth", "border", "before")
+    return rows.select("file", "block", "inside", "depth", "border", "before")
 
 
 def elements(spark: SparkSession, paths: str | list[str], glob: str | None = None, strict: bool = False) -> DataFrame:
@@ -175,18 +185,18 @@ def elements(spark: SparkSession, paths: str | list[str], glob: str | None = Non
     element keeps its place as long as its brackets and quotes are in pairs, else what follows in its file is cut wrongly, and parsing leaves it out. Elements
     that are blank are left out, those of an array that doesn't end stay; strict makes both an error. Byte order marks go. Compressed files are one range each.
 
-    The files are read twice. Between the passes there is a row a range, which the second pass gets as a broadcast
+    Files of several ranges are read twice. Between the passes there is a row for each of their ranges, which the second pass gets as a broadcast
     (800,000 rows of 40 bytes for 100 TB in ranges of 128 MB); elements are written once to the shared folder.
     """
     ship(spark)
     source = records(spark, paths, glob)
-    starts = written(starts_of(written(source.mapInArrow(summaries, SUMMARY))))
-    known = source.drop("file_name").join(F.broadcast(starts.drop("file_name")), ["file", "block"])
-    pieces = written(known.mapInArrow(cut, "file long, block long, item_idx long, whole boolean, value string"))
-    crossing = pieces.filter("not whole").groupBy("file", "item_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "value"))), lambda p: p["value"]), "").alias("value"))
-    items = pieces.filter("whole").select("file", "item_idx", "value").unionByName(crossing)
-    files = starts.groupBy("file").agg(F.first("file_name").alias("file_name"), F.max("border").alias("border"))
-    items = items.join(files.join(pieces.groupBy("file").agg(F.max("item_idx").alias("_last")), "file"), "file")
+    starts = written(starts_of(written(source.filter("parted").select("value", "file", "block").mapInArrow(summaries, SUMMARY))))
+    known = source.drop("parted").join(F.broadcast(starts), ["file", "block"], "left")
+    pieces = written(known.mapInArrow(cut, CUT))
+    crossing = pieces.filter("not whole").groupBy("file", "item_idx").agg(F.first("file_name").alias("file_name"), F.first("border").alias("border"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "value"))), lambda p: p["value"]), "").alias("value"))
+    columns = ["file", "file_name", "item_idx", "border", "value"]
+    items = pieces.filter("whole").select(*columns).unionByName(crossing.select(*columns))
+    items = items.join(pieces.groupBy("file").agg(F.max("item_idx").alias("_last")), "file")
     array, first, last = F.col("border") == 1, F.col("item_idx") == 0, F.col("item_idx") == F.col("_last")
     value = F.regexp_replace("value", r"^\x{FEFF}", "")
     value = F.when(array & first, F.regexp_replace(value, r"^\s*\[", "")).otherwise(value)
