@@ -16,7 +16,7 @@ DIMENSIONS = 16
 SIZES = (2, 3, 4)
 #: Documents of each language that are learned from, at most; a fifth of them calibrates.
 SAMPLE = 600
-#: Training windows of a document, and their code points.
+#: Beside the whole of it, each document is learned from by as many short windows at most, of so many code points at most.
 WINDOWS, WINDOW = 6, 240
 EPOCHS, RATE = 4, 0.4
 #: Share of rightly recognised calibration documents that rejection may cost, and the highest threshold.
@@ -104,7 +104,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def train(texts: list[str], labels: list[str], seed: int = 3) -> Model:
-    """Fit on labelled texts: SGD over windows of four fifths of them; temperature and rejection threshold from the rest, as whole texts."""
+    """Fit on labelled texts: SGD over whole texts and windows of four fifths of them; temperature and rejection threshold from the rest, as whole texts."""
     langs = sorted(set(labels))
     if not langs:
         return Model([], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros(0), 1.0, 1.0)
@@ -114,10 +114,13 @@ def train(texts: list[str], labels: list[str], seed: int = 3) -> Model:
     examples: list[tuple[np.ndarray, np.ndarray, int]] = []
     for i in np.flatnonzero(~held) if (~held).any() else range(len(texts)):
         c, _ = points([texts[i]])
+        found = subwords(c, 0, len(c))
+        spans = [(0, len(c))]
         for _ in range(min(WINDOWS, -(-len(c) // WINDOW))):
             start = int(rng.integers(0, max(1, len(c) - WINDOW + 1)))
-            size = int(rng.integers(WINDOW // 8, WINDOW + 1))
-            ids, n = np.unique(np.concatenate(subwords(c, start, min(len(c), start + size))), return_counts=True)
+            spans.append((start, start + int(rng.integers(WINDOW // 8, WINDOW + 1))))
+        for start, end in spans:
+            ids, n = np.unique(np.concatenate([f[start:end] for f in found]), return_counts=True)
             ids, n = ids[ids < BUCKETS], n[ids < BUCKETS]
             if len(ids):
                 examples.append((ids, (n / n.sum()).astype(np.float32), int(y[i])))
@@ -157,7 +160,7 @@ def fit(labelled: DataFrame, most: int = SAMPLE) -> Model:
     """Learn from rows (doc_id, text, lang): of each language at most `most` rows that have a letter, those with the lowest hash of doc_id and text.
 
     Rows equal in doc_id and text count once; rows without lang, text or letter are left out; other columns don't matter.
-    Training sees up to WINDOWS windows of WINDOW code points of each text, from places all over it; calibration whole texts.
+    Training sees each text whole, and up to WINDOWS short windows of it besides, so that short texts are known too; calibration whole texts.
     """
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     found = lowest(rows, F.col("lang"), most, F.xxhash64(F.lit(11), "doc_id", "text"), ["doc_id", "text", "lang"])
