@@ -1,4 +1,4 @@
-"""Best-fit packing by patterns: non-negative least squares over few-document length patterns, then best fit for what is left."""
+"""Best-fit packing by patterns: non-negative least squares over few-document length patterns, again over joined documents, then best fit for what is left."""
 
 from __future__ import annotations
 
@@ -16,6 +16,10 @@ from loam.llm.encoding import encoded
 LENGTH = 2048
 #: Fits to what the first one's rounding leaves.
 REFITS = 2
+#: Times that what a fit leaves is joined two by two and fitted again: patterns are of three units at most, and a unit of 1, 2, 4, 8, 16 documents.
+JOINS = 4
+#: Patterns of joined units that a fit may use, drawn where there are more. Parts of counts that are joined apart, for each length.
+DRAWN, SPREAD = 20_000, 16
 END = 0
 
 
@@ -140,26 +144,127 @@ def rounded(present: np.ndarray, x: np.ndarray, left: np.ndarray) -> list[tuple[
     return out
 
 
-def plan(histogram: np.ndarray, length: int = LENGTH) -> list[tuple[list[int], int]]:
-    """(lengths in order, repeats) that use each length of the histogram (index: length) exactly as often as it occurs.
+def completed(present: np.ndarray, x: np.ndarray, left: np.ndarray) -> list[tuple[list[int], int]]:
+    """Patterns once each, those with the largest fitted repeats first, as long as left has their lengths; taken out of it."""
+    out = []
+    for j in np.argsort(-x, kind="stable").tolist():
+        lengths = [v for v in present[j].tolist() if v]
+        need = {v: lengths.count(v) for v in lengths}
+        if all(left[v] >= k for v, k in need.items()):
+            out.append((lengths, 1))
+            for v, k in need.items():
+                left[v] -= k
+    return out
 
-    Repeats are fitted and rounded, and fitted again to what that leaves; best fit packs the rest. Of the plans after each
-    of these fits, that of the fewest sequences is taken (ties: of the most fits).
-    """
-    left = histogram.astype(np.int64).copy()
+
+def fitted(left: np.ndarray, length: int, most: int | None = None, seed: int = 0, complete: bool = True) -> list[tuple[list[int], int]]:
+    """Patterns with repeats, taken out of left: a fit that is rounded, then fits to what that leaves; complete adds single patterns to each."""
     out: list[tuple[list[int], int]] = []
-    if left[length]:
-        out.append(([length], int(left[length])))
-        left[length] = 0
     present = patterns(length)
-    best = None
     for _ in range(1 + REFITS):
         present = present[((present == 0) | (left[present] > 0)).all(1)]
-        if len(present):
-            out += rounded(present, repeats(present, left.astype(float)), left)
-        whole = out + best_fit(left, length)
-        if best is None or sum(n for _, n in whole) <= sum(n for _, n in best):
-            best = whole
+        if most is not None and len(present) > most:
+            present = present[np.sort(np.random.default_rng(seed).choice(len(present), most, replace=False))]
+        if not len(present):
+            break
+        x = repeats(present, left.astype(float))
+        out += rounded(present, x, left)
+        if complete:
+            out += completed(present, x, left)
+    return out
+
+
+class Units:
+    """Documents or joined ones by length: tuples of lengths with counts."""
+
+    def __init__(self, length: int, entries: list[tuple[tuple[int, ...], int]]):
+        self.length = length
+        self.by: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+        for unit, n in entries:
+            if n:
+                self.by.setdefault(sum(unit), []).append((unit, n))
+
+    def histogram(self) -> np.ndarray:
+        out = np.zeros(self.length + 1, np.int64)
+        for size, entries in self.by.items():
+            out[size] = sum(n for _, n in entries)
+        return out
+
+    def documents(self) -> np.ndarray:
+        out = np.zeros(self.length + 1, np.int64)
+        for entries in self.by.values():
+            for unit, n in entries:
+                for v in unit:
+                    out[v] += n
+        return out
+
+    def take(self, size: int, n: int) -> list[tuple[tuple[int, ...], int]]:
+        got, entries = [], self.by[size]
+        while n:
+            unit, have = entries.pop()
+            k = min(n, have)
+            got.append((unit, k))
+            n -= k
+            if have > k:
+                entries.append((unit, have - k))
+        return got
+
+    def sequences(self, pattern: list[int], n: int) -> list[tuple[list[int], int]]:
+        """The documents' lengths of n sequences of a pattern of units."""
+        out, queues = [], [self.take(size, n) for size in pattern]
+        while queues[0]:
+            k = min(q[-1][1] for q in queues)
+            out.append(([v for q in queues for v in q[-1][0]], k))
+            for q in queues:
+                unit, have = q.pop()
+                if have > k:
+                    q.append((unit, have - k))
+        return out
+
+    def joined(self, seed: int) -> Units:
+        """Units joined two by two as chance has it, so that their lengths differ; large counts in parts, of which there are SPREAD for each length of a sequence unless there are as many units. Units that don't fit together stay."""
+        parts, spread = [], max(1, SPREAD * self.length // max(1, sum(map(len, self.by.values()))))
+        for entries in self.by.values():
+            for unit, n in entries:
+                k = min(spread, n)
+                parts += [[unit, n // k + (i < n % k)] for i in range(k)]
+        order = np.random.default_rng(seed).permutation(len(parts))
+        out = []
+        for i in range(0, len(order) - 1, 2):
+            (a, n), (b, m) = parts[order[i]], parts[order[i + 1]]
+            k = min(n, m) if sum(a) + sum(b) < self.length else 0
+            out += [(a + b, k), (a, n - k), (b, m - k)]
+        return Units(self.length, out + [tuple(parts[order[-1]])] * (len(order) % 2))
+
+
+def plan(histogram: np.ndarray, length: int = LENGTH) -> list[tuple[list[int], int]]:
+    """(lengths in order, repeats) that use each length of the histogram (index: length) exactly as often as it occurs.
+
+    Repeats are fitted and rounded, and in a second plan completed, which leaves less but may use up the short documents that long ones need. A sequence
+    of three short documents isn't full, so what is left, mostly short ones, is joined two by two
+    and fitted again as units, JOINS times; best fit packs the rest as single documents. Of the plans after each
+    of these fits, that of the fewest sequences is taken (ties: the least left to best fit).
+    """
+    best, fewest = [], None
+    for complete in (False, True):
+        units = Units(length, [((v,), int(n)) for v, n in enumerate(histogram.tolist()) if v])
+        out: list[tuple[list[int], int]] = []
+        for level in range(1 + JOINS):
+            if level:
+                units = units.joined(level)
+            left = units.histogram()
+            chosen = [([length], int(left[length]))] if left[length] else []
+            left[length] = 0
+            chosen += fitted(left, length, DRAWN if level else None, level, complete)
+            for pattern, n in chosen:
+                out += units.sequences(pattern, n)
+            rest = units.documents()
+            whole = out + best_fit(rest, length)
+            score = sum(n for _, n in whole), int(rest.sum())
+            if fewest is None or score < fewest:
+                best, fewest = whole, score
+            if not rest.any():
+                break
     return best
 
 
@@ -184,8 +289,8 @@ def pack(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
 
     The driver gets a histogram (at most `length` rows) and plans on it; pieces of a length get ranks by
     chunks (exact_ranks), so that one length may hold any share of the rows; a rank decides the place.
-    The plan, sent to the workers, has at most three entries for each of the length² / 12 patterns that a fit uses and a
-    few for each residual length, however many rows there are: 426,040 entries or 10 MB at 67 million rows of 2048 lengths.
+    The plan, sent to the workers, has at most three entries for each of the length² / 12 patterns that a fit uses, twelve for each of
+    DRAWN patterns of joined ones, and a few for each residual length, however many rows there are (figures in the README).
     Null lengths get no place (null). Columns that are named sequence_id or offset are replaced, others pass through; repeated
     rows get places of their own.
     """

@@ -289,3 +289,101 @@ def test_language_model_of_many_languages(spark):
 
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word of number "), F.col("id").cast("string")).alias("text"), (F.col("id") % 1500).cast("string").alias("lang"))
     assert len(langid.fit(df, 1).langs) <= 256
+
+
+# 9
+
+
+def lengths_of(sf):
+    """About the tokens of the driver's documents, cut to sequences: a histogram."""
+    from pathlib import Path
+
+    import numpy as np
+    import pyarrow.parquet as pq
+
+    at = Path(sf, "documents.parquet")
+    n = np.array([x or 0 for f in ([at] if at.is_file() else sorted(at.glob("*.parquet"))) for x in pq.read_table(f, columns=["n_chars"]).column(0).to_pylist()]) // 4 + 1
+    out = np.bincount((n - 1) % 2048 + 1, minlength=2049)
+    out[2048] += ((n - 1) // 2048).sum()
+    return out
+
+
+@pytest.mark.parametrize(("sf", "share"), [("/root/testdata/sf0.01", 0.15), ("/root/testdata/sf0.1", 0.1)])
+def test_patterns_pack_most_of_the_drivers_documents(monkeypatch, sf, share):
+    import numpy as np
+
+    from loam.llm import packing
+
+    histogram, left = lengths_of(sf), []
+    fit = packing.best_fit
+    monkeypatch.setattr(packing, "best_fit", lambda h, n: (left.append(int(h.sum())), fit(h, n))[1])
+    packs = packing.plan(histogram)
+    used = np.zeros(2049, np.int64)
+    for lengths, times in packs:
+        assert sum(lengths) <= 2048 and times > 0
+        np.add.at(used, lengths, times)
+    assert (used == histogram).all()
+    assert sum(n for _, n in packs) == -(-int((histogram * np.arange(2049)).sum()) // 2048), "as few sequences as the tokens need"
+    assert min(left) < share * histogram.sum()
+
+
+def nnls(a, b):
+    """Non-negative least squares by an active set, for small problems."""
+    import numpy as np
+
+    x, free = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
+    for _ in range(10 * a.shape[1]):
+        w = a.T @ (b - a @ x)
+        if free.all() or w[~free].max() < 1e-9:
+            break
+        free[np.flatnonzero(~free)[w[~free].argmax()]] = True
+        while True:
+            s = np.zeros_like(x)
+            s[free] = np.linalg.lstsq(a[:, free], b, rcond=None)[0]
+            bad = free & (s <= 0)
+            if not bad.any():
+                break
+            step = (x[bad] / np.maximum(x[bad] - s[bad], 1e-300)).min()
+            x += step * (s - x)
+            free &= x > 1e-12
+            x[~free] = 0
+        x = s
+    return x
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_fit_is_a_non_negative_least_squares_solution(seed):
+    import numpy as np
+
+    from loam.llm import packing
+
+    length = 20
+    histogram = np.random.default_rng(seed).integers(0, 40, length + 1).astype(float)
+    histogram[[0, length]] = 0
+    pattern = packing.patterns(length)[1:]
+    pattern = pattern[((pattern == 0) | (histogram[pattern] > 0)).all(1)]
+    a = np.zeros((length + 1, len(pattern)))
+    for j, p in enumerate(pattern):
+        for v in p[p > 0]:
+            a[v, j] += 1
+    weight = np.sqrt(np.where(np.arange(length + 1) > 0, 1 / (1 + histogram), 0))[:, None]
+    loss = lambda x: float(((weight[:, 0] * (a @ x - histogram)) ** 2).sum())
+    best, got = loss(nnls(weight * a, weight[:, 0] * histogram)), packing.repeats(pattern, histogram, 3000)
+    assert (got >= 0).all() and loss(got) <= best * 1.001 + 1e-6
+
+
+def test_joined_units_keep_their_documents():
+    import numpy as np
+
+    from loam.llm.packing import Units
+
+    units = Units(100, [((5,), 1000), ((7, 9), 333), ((60,), 8), ((99,), 2), ((1,), 1)])
+    for seed in range(4):
+        before = units.documents()
+        units = units.joined(seed)
+        assert (units.documents() == before).all()
+        assert all(sum(u) == size <= 100 and n > 0 for size, entries in units.by.items() for u, n in entries)
+    h = units.histogram()
+    size = int(np.flatnonzero(h)[0])
+    got = units.sequences([size], int(h[size]))
+    assert sum(n for _, n in got) == h[size] and all(sum(x) == size for x, _ in got) and not units.by[size]
