@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +19,14 @@ LEAST = 0.9
 PASSES, BITS, WINDOW = 12, 60, 1024
 #: Partners at cosine LEAST that are planted into a sample of the table, and the share of them that may meet no one.
 PLANTED, MISSED = 2000, 0.002
-#: Vectors of the sample (more beyond a thousand times as many vectors) and components in it, about; linked ones that are looked at for a partner; passes in a row without gain after which enough() gives up.
-SAMPLE, VALUES, LINKED, IDLE = 32_768, 4_000_000, 64, 64
+#: Vectors of the sample (more beyond a thousand times as many vectors) and components in it, about; linked ones that are looked at for a partner.
+SAMPLE, VALUES, LINKED = 32_768, 4_000_000, 64
+#: Vectors that a sampled one may stand for; beyond that places are counted in the whole table, for so many passes at once.
+COARSE, COUNTED = WINDOW // 2, 16
+#: Passes at most; a table that would need more is linked with a warning that tells the share of partners that meet no one.
+MOST = 4096
+
+LOG = logging.getLogger(__name__)
 #: Rows of a tile in which a component's links are counted.
 TILE = 256
 
@@ -46,17 +53,27 @@ def signs(x: np.ndarray, number: int) -> np.ndarray:
     return ((x @ planes(x.shape[1], number)) > 0) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
 
 
+def planted(base: np.ndarray) -> np.ndarray:
+    """A partner at cosine LEAST to each unit row, in a random direction."""
+    off = np.random.default_rng(len(base)).standard_normal(base.shape)
+    off -= (off * base).sum(1, keepdims=True) * base
+    return LEAST * base + np.sqrt(1 - LEAST**2) * off / np.maximum(np.linalg.norm(off, axis=1, keepdims=True), 1e-12)
+
+
+def told(met: np.ndarray, number: int) -> int:
+    if (~met).mean() > MISSED:
+        LOG.warning("after %d passes %.2f %% of planted partners meet no one; so many links may be missed", number, 100 * (~met).mean())
+    return number
+
+
 def enough(x: np.ndarray, n: int) -> int:
     """Passes in which all but MISSED of the vectors at cosine LEAST to one of n meet a linked one in a window; x are unit rows of a sample of the n.
 
     Partners in random directions are planted at rows of x, and places are counted among the sample's keys: so the
-    number follows the size of the table and how its vectors crowd, whatever the shape.
+    number follows the size of the table and how its vectors crowd, whatever the shape. A row of x must stand for less than a window.
     """
-    rng = np.random.default_rng(len(x))
     base = x[:PLANTED]
-    off = rng.standard_normal(base.shape)
-    off -= (off * base).sum(1, keepdims=True) * base
-    y = LEAST * base + np.sqrt(1 - LEAST**2) * off / np.maximum(np.linalg.norm(off, axis=1, keepdims=True), 1e-12)
+    y = planted(base)
     who, with_ = [np.arange(len(base))], [np.arange(len(base))]
     for s in range(0, len(y), 256):
         hit = y[s : s + 256] @ x.T >= LEAST
@@ -64,21 +81,56 @@ def enough(x: np.ndarray, n: int) -> int:
         who.append(i + s), with_.append(j)
     i, j = np.concatenate(who), np.concatenate(with_)
     each, between = n / len(x), 0.5 * (n > len(x))
-    met, number, gained = np.zeros(len(base), bool), 0, 0
-    while number < PASSES or ((~met).mean() > MISSED and number - gained < IDLE):
-        own, before = signs(x, number), int(met.sum())
+    met, number = np.zeros(len(base), bool), 0
+    while number < PASSES or ((~met).mean() > MISSED and number < MOST):
+        own = signs(x, number)
         order = np.argsort(own, kind="stable")
         place = np.empty(len(x), np.int64)
         place[order] = np.arange(len(x))
         at = np.searchsorted(own[order], signs(y, number))
         met[i[(np.abs(at[i] - place[j]) + between) * each <= WINDOW]] = True
         number += 1
-        gained = number if met.sum() > before else gained
-    return number
+    return told(met, number)
+
+
+def counted(classes: DataFrame, base: np.ndarray) -> int:
+    """As enough(), for a table of which no sample is fine enough: each planted pair's places are counted among the keys of all vectors of the dimension.
+
+    A job tells for COUNTED passes how many keys lie before and at each of the pairs' keys; the driver gets a row for each of these, 128,000 at most.
+    """
+    dim, y = base.shape[1], planted(base)
+    met, number = np.zeros(len(base), bool), 0
+    while number < PASSES or ((~met).mean() > MISSED and number < MOST):
+        both = {t: (signs(base, t), signs(y, t)) for t in range(number, number + COUNTED)}
+        ends = {t: np.unique(np.concatenate(p)) for t, p in both.items()}
+
+        def count(batches: Iterator[pa.RecordBatch], ends: dict[int, np.ndarray] = ends) -> Iterator[pa.RecordBatch]:
+            sums = {(t, side): np.zeros(len(e) + 1, np.int64) for t, e in ends.items() for side in (0, 1)}
+            for batch in batches:
+                flat, at, dims = unit(batch.column("embedding"))
+                x = flat[at[dims == dim][:, None] + np.arange(dim)]
+                for t, e in ends.items():
+                    own = signs(x, t)
+                    for side, name in ((0, "left"), (1, "right")):
+                        sums[t, side] += np.bincount(np.searchsorted(e, own, name), minlength=len(e) + 1)
+            rows = [(t, side, int(k), int(v[k])) for (t, side), v in sums.items() for k in np.flatnonzero(v)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int32(), pa.int64()))] if rows else [pa.array([], k) for k in (pa.int32(), pa.int32(), pa.int32(), pa.int64())], names=["pass", "side", "place", "n"])
+
+        sums = {(t, side): np.zeros(len(e) + 1, np.int64) for t, e in ends.items() for side in (0, 1)}
+        for r in classes.select("embedding").mapInArrow(count, "pass int, side int, place int, n long").groupBy("pass", "side", "place").agg(F.sum("n").alias("n")).collect():
+            sums[r["pass"], r["side"]][r["place"]] = r["n"]
+        for t, (own, other) in both.items():
+            low, high = (np.searchsorted(ends[t], f(own, other)) for f in (np.minimum, np.maximum))
+            up_to, before = np.cumsum(sums[t, 0])[high], np.cumsum(sums[t, 1])[low]  # keys no greater than the one end, and less than the other
+            met |= up_to - before <= WINDOW
+            number += 1
+            if number >= PASSES and (~met).mean() <= MISSED:
+                break
+    return told(met, number)
 
 
 def needed(classes: DataFrame) -> tuple[dict[int, int], int]:
-    """Passes by dimension (PASSES for those that the sample lacks, which are rare), from a bounded sample by hash on the driver; and the number of classes."""
+    """Passes by dimension (PASSES for those that the sample lacks, which are rare), from a bounded sample by hash on the driver, and counts of the whole table where a sample is too coarse; and the number of classes."""
     known = classes.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.size("embedding")), F.lit(1.0)).alias("dim")).first()
     n, hashed = known["n"], F.xxhash64("embedding")
     share = min(1.0, min(max(SAMPLE, n >> 10), VALUES / known["dim"]) / max(n, 1))
@@ -88,7 +140,8 @@ def needed(classes: DataFrame) -> tuple[dict[int, int], int]:
     out = {}
     for dim in np.unique(dims):
         x = flat[at[dims == dim][:, None] + np.arange(dim)]
-        out[int(dim)] = enough(x, max(len(x), round(n * len(x) / len(dims))))
+        all_ = max(len(x), round(n * len(x) / len(dims)))
+        out[int(dim)] = enough(x, all_) if all_ <= COARSE * len(x) else counted(classes, x[:PLANTED])
     return out, n
 
 

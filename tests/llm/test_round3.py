@@ -387,3 +387,46 @@ def test_joined_units_keep_their_documents():
     size = int(np.flatnonzero(h)[0])
     got = units.sequences([size], int(h[size]))
     assert sum(n for _, n in got) == h[size] and all(sum(x) == size for x, _ in got) and not units.by[size]
+
+
+# 4
+
+
+def test_places_counted_in_the_whole_table(spark, monkeypatch):
+    """The count of passes from all keys is that of a plain loop over sorted keys; a coarse sample leads to it."""
+    import numpy as np
+
+    from loam.llm import neardup_vectors as nv
+
+    ship(spark)
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((3000, 8)) + 3 * rng.standard_normal(8)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    monkeypatch.setattr(nv, "WINDOW", 12)
+    monkeypatch.setattr(nv, "PASSES", 2)
+    monkeypatch.setattr(nv, "MISSED", 0.4)
+    classes = spark.createDataFrame([(v.tolist(),) for v in x] + [([1.0, 2.0],)], "embedding array<double>").repartition(4)
+    base = x[:200]
+    y, met, number = nv.planted(base), np.zeros(200, bool), 0
+    while number < 2 or (~met).mean() > 0.4:
+        own, a, b = (nv.signs(v, number) for v in (x, base, y))
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        met |= np.array([((own >= p) & (own <= q)).sum() for p, q in zip(low, high)]) <= 12
+        number += 1
+    assert nv.counted(classes, base) == number > 2
+    monkeypatch.setattr(nv, "COARSE", 0)
+    monkeypatch.setattr(nv, "PLANTED", 200)
+    passes, n = nv.needed(classes)
+    assert n == 3001 and passes[8] > 2
+
+
+def test_a_table_that_needs_too_many_passes_is_told_of(spark, monkeypatch, caplog):
+    import numpy as np
+
+    from loam.llm import neardup_vectors as nv
+
+    monkeypatch.setattr(nv, "MOST", 13)
+    monkeypatch.setattr(nv, "WINDOW", 1)
+    x = np.random.default_rng(9).standard_normal((3000, 8))
+    assert nv.enough(x / np.linalg.norm(x, axis=1, keepdims=True), 3000) == 13
+    assert "meet no one" in caplog.text
