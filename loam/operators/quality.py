@@ -36,10 +36,11 @@ def overlong(text: Column, most_tokens: int) -> Column:
     return token_count(text) > most_tokens
 
 
-#: Fixed value: how a lower-cased name tells weights for inference.
-INFERENCE = r"\.gguf$|(^|[/_\-])gguf([/_\-]|$)"
+#: How a lower-cased name tells weights for inference: by its end, or by this pattern.
+INFERENCE_END, INFERENCE = ".gguf", r"(^|[\/_\-])gguf($|[\/_\-])"
 
 
 def inference_only(name: Column) -> Column:
     """Whether a model's name or path tells weights that can't be trained on. Null and blank names tell nothing."""
-    return F.lower(strip(F.coalesce(name, F.lit("")))).rlike(INFERENCE)
+    lower = F.lower(strip(F.coalesce(name, F.lit(""))))
+    return lower.endswith(INFERENCE_END) | lower.rlike(INFERENCE)

@@ -178,7 +178,7 @@ def test_quality(spark):
 def test_stream(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
-    lines = [{"messages": [{"role": "user", "content": "Хороший вопрос"}, {"role": "assistant", "content": "Достаточно длинный ответ"}]}, {"messages": [{"role": "user", "content": "К"}]}]
+    lines = [{"messages": [{"role": "user", "content": "Хороший вопрос"}, {"role": "assistant", "content": "Срок исковой давности равен трём годам"}]}, {"messages": [{"role": "user", "content": "К"}]}]
     (folder / "a.json").write_text("\n".join(map(json.dumps, lines)))
     q = stateless.follow(spark, str(folder), f"messages {messages.MESSAGES}", str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination()
