@@ -17,7 +17,7 @@ from loam.ship import ship
 #: Buckets of hashed words, components of an embedding, directions beyond these that the search keeps, rounds of the search.
 BUCKETS, DIM, MORE, ROUNDS = 8192, 64, 16, 6
 #: Values of a sparse block that are expanded at once.
-HELD = 100_000
+HELD = 4096
 
 
 def buckets_of(text: Column, n: int) -> Column:
@@ -62,7 +62,7 @@ def squared_times(terms: DataFrame, idf: np.ndarray, right: np.ndarray) -> np.nd
         yield pd.DataFrame(total[some], columns=names).assign(bucket=some.astype(np.int32))
 
     sums = terms.select("terms").mapInPandas(run, ", ".join(f"{c} double" for c in names) + ", bucket int")
-    got = sums.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in names)).toPandas()  # a row a bucket
+    got = sums.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in names)).toArrow().to_pandas()  # a row a bucket
     out = np.zeros(right.shape)
     out[got["bucket"].to_numpy(int)] = got[names].to_numpy()
     return out
