@@ -1,8 +1,10 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from loam.functions import text as X
 from loam.operators import html
+from loam.plans import catalogue
 
 
 def one(spark, column):
@@ -60,6 +62,21 @@ def test_strategies(spark):
     assert html.parse_pages(spark.createDataFrame([("u", b)], "url string, html string"), "document").first()["content"] == "x"
 
 
+CUT = [f"<h1>A &amp; B&{cut}</h1><article><div>{'word ' * 50}&lt;&quot;{i}&quot;&gt; &copy &{cut}</div>last &amp;</article>" for i, cut in enumerate(("amp", "am", "quo", "lt", "", "amp;amp", "copyx;", "unknown;"))]
+
+
+@pytest.mark.parametrize("name", ["fragment_to_text"])
+def test_cut_references(spark, tmp_path, name):
+    """References without their semicolon, and unknown ones, stay as they are written."""
+    rows = [(i, f"https://h/{'de' if i % 2 else 'en'}/{i}", x) for i, x in enumerate(CUT)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = catalogue.queries()[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    wanted = con.execute(f"select {', '.join(f'"{c}"' for c in got.columns)} from ({catalogue.oracle_sql()[name]})").fetchall()
+    assert sorted(tuple(r) for r in got.collect()) == sorted(wanted) and wanted
+
+
 def test_links(spark):
     page = '<a href="/law/statia-1">a</a><a href="/law/statia-1">b</a><a href="/x">c</a><a href="https://h/law/statia-2">d</a>'
     df = spark.createDataFrame([("u", page)], "url string, html string")
