@@ -65,7 +65,7 @@ def test_strategies(spark):
 CUT = [f"<h1>A &amp; B&{cut}</h1><article><div>{'word ' * 50}&lt;&quot;{i}&quot;&gt; &copy &{cut}</div>last &amp;</article>" for i, cut in enumerate(("amp", "am", "quo", "lt", "", "amp;amp", "copyx;", "unknown;"))]
 
 
-@pytest.mark.parametrize("name", ["fragment_to_text", "node_records", "page_pairs_written"])
+@pytest.mark.parametrize("name", ["fragment_to_text", "node_records", "page_pairs_written", "parse_pages"])
 def test_cut_references(spark, tmp_path, name):
     """References without their semicolon, and unknown ones, stay as they are written."""
     rows = [(i, f"https://h/{'de' if i % 2 else 'en'}/{i}", x) for i, x in enumerate(CUT)]
