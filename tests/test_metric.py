@@ -76,3 +76,13 @@ def test_clusters_leave_most_pairs_out(spark):
 @pytest.mark.parametrize("name", ["vector_topk", "vector_topk_pruned", "vector_topk_filtered"])
 def test_sql(spark, name):
     same(catalogue.queries()[name](spark, SF), catalogue.oracle_sql()[name], SF)
+
+
+def test_small_components_make_few_large_bins(spark):
+    """A query is sent once to each bin, and bins stay few however small a tile may be."""
+    rows = clustered(np.random.default_rng(7), 1500, 12, 20, 5.0)
+    index = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    asked = spark.createDataFrame(rows[::5], SCHEMA).withColumnRenamed("vec_id", "query_id")
+    pairs = metric.searched(index, asked, 5, "vec_id", "embedding", 60)[1]
+    assert pairs.filter("pairs > 0").count() <= 4 * metric.BINS
+    assert found(spark, rows, rows[::25], 5, 60) == plain(rows, rows[::25], 5)
