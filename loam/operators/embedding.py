@@ -6,7 +6,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +17,8 @@ from loam.ship import ship
 
 #: Buckets of hashed words, components of an embedding, directions beyond these that the search keeps, rounds of the search.
 BUCKETS, DIM, MORE, ROUNDS = 8192, 64, 16, 6
-#: Values of a sparse block that are expanded at once.
-HELD = 4096
+#: Values of a sparse block that are expanded at once; words of the rows of a block, about.
+HELD, WORDS = 4096, 1 << 16
 
 
 def buckets_of(text: Column, n: int) -> Column:
@@ -25,14 +26,31 @@ def buckets_of(text: Column, n: int) -> Column:
     return F.transform(words(F.lower(F.coalesce(text, F.lit("")))), lambda w: F.pmod(F.xxhash64(w), F.lit(n)).cast("int"))
 
 
-def sparse(rows: list, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, bucket and value of TF-IDF rows of length 1, from their buckets: (1 + ln of the count) times the bucket's weight."""
-    n = np.array([len(r) for r in rows])
-    at, flat = np.repeat(np.arange(len(rows)), n), np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64)
+def blocks(terms: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First row, lengths of rows and all their buckets, for stretches of rows that have about WORDS buckets (or are one row)."""
+    n = pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, ends = terms.flatten().to_numpy(zero_copy_only=False), np.cumsum(n)
+    start = 0
+    while start < len(n):
+        before = ends[start] - n[start]
+        stop = max(start + 1, int(np.searchsorted(ends, before + WORDS, "right")))
+        yield start, n[start:stop], flat[before : ends[stop - 1]]
+        start = stop
+
+
+def lists(values: np.ndarray, fine: np.ndarray) -> pa.Array:
+    """The rows of a matrix as arrays; null where they aren't fine."""
+    offsets = pa.array(np.arange(len(values) + 1, dtype=np.int32) * np.int32(values.shape[1]))
+    return pa.ListArray.from_arrays(offsets, pa.array(values.ravel()), mask=pa.array(~fine))
+
+
+def sparse(n: np.ndarray, flat: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, bucket and value of TF-IDF rows of length 1, from their lengths and buckets: (1 + ln of the count) times the bucket's weight."""
+    at = np.repeat(np.arange(len(n)), n)
     key, count = np.unique(at * len(idf) + flat, return_counts=True)
     at, col = key // len(idf), key % len(idf)
     value = (1 + np.log(count)) * idf[col]
-    length = np.sqrt(np.bincount(at, value * value, len(rows)))
+    length = np.sqrt(np.bincount(at, value * value, len(n)))
     return at, col, value / length[at]
 
 
@@ -51,17 +69,18 @@ def squared_times(terms: DataFrame, idf: np.ndarray, right: np.ndarray) -> np.nd
     n = right.shape[1]
     names = [f"z{i}" for i in range(n)]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(right.shape)
-        for frame in frames:
-            at, col, value = sparse(list(frame["terms"]), idf)
-            y = times(at, col, value, right, len(frame))
-            order = np.argsort(col, kind="stable")
-            total += times(col[order], at[order], value[order], y, len(total))
+        for batch in batches:
+            for _, lengths, flat in blocks(batch.column(0)):
+                at, col, value = sparse(lengths, flat, idf)
+                y = times(at, col, value, right, len(lengths))
+                order = np.argsort(col, kind="stable")
+                total += times(col[order], at[order], value[order], y, len(total))
         some = np.flatnonzero(total.any(axis=1))
-        yield pd.DataFrame(total[some], columns=names).assign(bucket=some.astype(np.int32))
+        yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in total[some].T.copy()), pa.array(some.astype(np.int32))], names=[*names, "bucket"])
 
-    sums = terms.select("terms").mapInPandas(run, ", ".join(f"{c} double" for c in names) + ", bucket int")
+    sums = terms.select("terms").mapInArrow(run, ", ".join(f"{c} double" for c in names) + ", bucket int")
     got = sums.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in names)).toArrow().to_pandas()  # a row a bucket
     out = np.zeros(right.shape)
     out[got["bucket"].to_numpy(int)] = got[names].to_numpy()
@@ -81,12 +100,14 @@ class Model:
         ship(df.sparkSession)
         idf, directions = self.idf, self.directions
 
-        @F.pandas_udf("array<double>")
-        def project(terms: pd.Series) -> pd.Series:
-            at, col, value = sparse(list(terms), idf)
-            y = times(at, col, value, directions, len(terms))
+        @F.arrow_udf("array<double>")
+        def project(terms: pa.Array) -> pa.Array:
+            y = np.zeros((len(terms), directions.shape[1]))
+            for first, lengths, flat in blocks(terms):
+                y[first : first + len(lengths)] = times(*sparse(lengths, flat, idf), directions, len(lengths))
             length = np.sqrt((y * y).sum(axis=1))
-            return pd.Series([(v / n).tolist() if n > 1e-12 else None for v, n in zip(y, length)], dtype=object)
+            fine = length > 1e-12
+            return lists(np.divide(y, length[:, None], out=y, where=fine[:, None]), fine)
 
         return df.withColumn("embedding", project(buckets_of(F.col(text), len(idf))))
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -74,22 +75,24 @@ def results(found: DataFrame) -> DataFrame:
     return found.select("rank", "distance", similarity, F.col("document").alias("text"), "article_title", "article_url", "legal_code").orderBy("rank")
 
 
-def hashed(df: DataFrame, dim: int = 256) -> DataFrame:
-    """Adds embedding: signed counts of hashed words of document, scaled to length 1 (null without words). Stands in where no embedding model is at hand."""
-    ship(df.sparkSession)
-
-    @F.pandas_udf("array<double>")
-    def vector(texts: pd.Series) -> pd.Series:
-        from zlib import crc32
+def hashed_batch(texts: pa.Array, dim: int) -> pa.Array:
+    """Vectors of hashed(), a text at a time into one matrix."""
+    from zlib import crc32
 
-        def one(text):
-            h = np.array([crc32(w.encode()) for w in (text or "").lower().split()], np.int64)
-            v = np.bincount(h % dim, np.where(h >> 31, 1.0, -1.0), dim)
-            length = np.sqrt((v * v).sum())
-            return (v / length).tolist() if length else None
+    out, fine = np.zeros((len(texts), dim)), np.zeros(len(texts), bool)
+    for i, text in enumerate(texts):
+        h = np.array([crc32(w.encode()) for w in (text.as_py() or "").lower().split()], np.int64)
+        v = np.bincount(h % dim, np.where(h >> 31, 1.0, -1.0), dim)
+        length = np.sqrt((v * v).sum())
+        if length:
+            out[i], fine[i] = v / length, True
+    return embedding.lists(out, fine)
 
-        return texts.map(one)
 
+def hashed(df: DataFrame, dim: int = 256) -> DataFrame:
+    """Adds embedding: signed counts of hashed words of document, scaled to length 1 (null without words). Stands in where no embedding model is at hand."""
+    ship(df.sparkSession)
+    vector = F.arrow_udf(lambda texts: hashed_batch(texts, dim), "array<double>", F.ArrowUDFType.SCALAR)
     return df.withColumn("embedding", vector("document"))
 
 

@@ -1,8 +1,10 @@
 """Fitted embeddings against a dense decomposition, and versions of an index under readers and writers."""
 
 import threading
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,3 +142,22 @@ def test_an_index_with_its_own_embedding(spark, tmp_path):
 
 def test_sql(spark):
     same(catalogue.queries()["index_round_trip"](spark, SF), catalogue.oracle_sql()["index_round_trip"], SF)
+
+
+def test_hashed_vectors_take_no_more_than_their_matrix():
+    texts = pa.array([f"слово{i} word{i % 7} x" for i in range(4000)] + [None, " "])
+    tracemalloc.start()
+    got = vector.hashed_batch(texts, 256)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 4002 and got[4000].as_py() is None and got[4001].as_py() is None
+    assert np.isclose(np.linalg.norm(got[0].as_py()), 1)
+    assert peak < 1.5 * 4002 * 256 * 8
+
+
+def test_blocks_hold_few_words():
+    rows = [[1] * 50_000, [], None, [2] * 200_000, *([[3, 4]] * 100_000)]
+    got = [(first, n.copy(), flat) for first, n, flat in embedding.blocks(pa.array(rows, pa.list_(pa.int32())).slice(1))]
+    assert [first for first, _, _ in got] == list(np.cumsum([0, *(len(n) for _, n, _ in got)])[:-1])
+    assert all(n.sum() == len(flat) and (len(flat) <= embedding.WORDS or len(n) == 1) for _, n, flat in got)
+    assert np.array_equal(np.concatenate([flat for _, _, flat in got]), [2] * 200_000 + [3, 4] * 100_000)
