@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from loam.plans import catalogue_files
 from loam.sources import arrays, readers
 
 TRICKY = ['a,b', 'x]y[', '{"k": [1,2]}', "quote \" and \\", "ends with \\\\", "\\\",\\\"", "a\nb,\tc", "", "ü,😀", "]", "},{"]
@@ -100,3 +101,13 @@ def test_kinds_of_files_are_told_by_tasks(spark, tmp_path, monkeypatch):
     assert sorted((r["messages"][0]["content"] if r["messages"] else "") for r in got) == ["", "", "1, 2", "x]", "z"]
     assert readers.lines(spark, str(tmp_path / "b.jsonl")).count() == 2
     assert readers.lines(spark, str(tmp_path / "missing")).count() == 0
+
+
+def test_array_files_are_few_and_whole(spark, tmp_path):
+    """A task's rows go to files of bounded length, each of which is one array."""
+    n = 2 * (catalogue_files.LINES - 1) + 5
+    rows = spark.range(n, numPartitions=1)
+    catalogue_files.array_files(rows, F.to_json(F.struct("id")), str(tmp_path / "a"))
+    files = sorted((tmp_path / "a").glob("part-*"))
+    got = [[x["id"] for x in json.loads(f.read_text())] for f in files]
+    assert [len(x) for x in got] == [catalogue_files.LINES - 1] * 2 + [5] and sum(got, []) == list(range(n))
