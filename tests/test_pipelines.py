@@ -209,6 +209,14 @@ def test_page_pairs(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).filter("code = 'gk' and split = 'train'").count() == 11
 
 
+def test_page_pairs_of_one_url(spark):
+    """Pages that share a url are told apart by their text, not by the order of rows."""
+    rows = [("gk", "h", f'<p id="p">Статья {i}. {"Текст статьи закона. " * 15}</p><p id="q">Конец.</p>', [("n", "p", "q", "x", "статья", 3)]) for i in range(40)]
+    kind = "code string, doc_hash string, html string, nodes array<struct<id:string,np:string,npe:string,caption:string,unit:string,lvl:int>>"
+    got = [sorted((r["case"], r["split"]) for r in pipelines.page_pairs(spark.createDataFrame(x, kind), most=10).collect()) for x in (rows, rows[::-1])]
+    assert got[0] == got[1] and len(got[0]) == 10
+
+
 def test_lines(spark, tmp_path):
     a, b = {"x": 1}, {"x": "[2"}
     (tmp_path / "a.jsonl").write_text("\ufeff" + json.dumps(a) + "\n\nbroken\n" + json.dumps(b) + "\n")
