@@ -17,8 +17,8 @@ from loam.ship import ship
 
 #: Buckets of hashed words, components of an embedding, directions beyond these that the search keeps, rounds of the search.
 BUCKETS, DIM, MORE, ROUNDS = 8192, 64, 16, 6
-#: Values of a sparse block that are expanded at once; words of the rows of a block, about.
-HELD, WORDS = 4096, 1 << 16
+#: Rows of a block, and words of its rows, at most (a row may have more).
+ROWS, WORDS = 128, 1 << 16
 
 
 def buckets_of(text: Column, n: int) -> Column:
@@ -27,13 +27,13 @@ def buckets_of(text: Column, n: int) -> Column:
 
 
 def blocks(terms: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """First row, lengths of rows and all their buckets, for stretches of rows that have about WORDS buckets (or are one row)."""
+    """First row, lengths of rows and all their buckets, for stretches of ROWS rows at most that have about WORDS buckets (or are one row)."""
     n = pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     flat, ends = terms.flatten().to_numpy(zero_copy_only=False), np.cumsum(n)
     start = 0
     while start < len(n):
         before = ends[start] - n[start]
-        stop = max(start + 1, int(np.searchsorted(ends, before + WORDS, "right")))
+        stop = max(start + 1, min(start + ROWS, int(np.searchsorted(ends, before + WORDS, "right"))))
         yield start, n[start:stop], flat[before : ends[stop - 1]]
         start = stop
 
@@ -54,14 +54,14 @@ def sparse(n: np.ndarray, flat: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray
     return at, col, value / length[at]
 
 
-def times(at: np.ndarray, col: np.ndarray, value: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
-    """The n rows of a sparse matrix (sorted by row) times a dense one."""
-    out = np.zeros((n, right.shape[1]))
-    for s in range(0, len(at), HELD):
-        a, c, v = at[s : s + HELD], col[s : s + HELD], value[s : s + HELD]
-        first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
-        out[a[first]] += np.add.reduceat(v[:, None] * right[c], first, axis=0)
-    return out
+def filled(terms: pa.Array, idf: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """First row and TF-IDF rows of each block, in one matrix that serves all blocks."""
+    held = np.zeros((ROWS, len(idf)))
+    for first, lengths, flat in blocks(terms):
+        at, col, value = sparse(lengths, flat, idf)
+        held[at, col] = value
+        yield first, held[: len(lengths)]
+        held[at, col] = 0
 
 
 def squared_times(terms: DataFrame, idf: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -70,13 +70,10 @@ def squared_times(terms: DataFrame, idf: np.ndarray, right: np.ndarray) -> np.nd
     names = [f"z{i}" for i in range(n)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(right.shape)
+        total, part = np.zeros(right.shape), np.empty(right.shape)
         for batch in batches:
-            for _, lengths, flat in blocks(batch.column(0)):
-                at, col, value = sparse(lengths, flat, idf)
-                y = times(at, col, value, right, len(lengths))
-                order = np.argsort(col, kind="stable")
-                total += times(col[order], at[order], value[order], y, len(total))
+            for _, rows in filled(batch.column(0), idf):
+                total += np.matmul(rows.T, rows @ right, out=part)
         some = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in total[some].T.copy()), pa.array(some.astype(np.int32))], names=[*names, "bucket"])
 
@@ -103,8 +100,8 @@ class Model:
         @F.arrow_udf("array<double>")
         def project(terms: pa.Array) -> pa.Array:
             y = np.zeros((len(terms), directions.shape[1]))
-            for first, lengths, flat in blocks(terms):
-                y[first : first + len(lengths)] = times(*sparse(lengths, flat, idf), directions, len(lengths))
+            for first, rows in filled(terms, idf):
+                y[first : first + len(rows)] = rows @ directions
             length = np.sqrt((y * y).sum(axis=1))
             fine = length > 1e-12
             return lists(np.divide(y, length[:, None], out=y, where=fine[:, None]), fine)

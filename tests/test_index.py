@@ -161,3 +161,17 @@ def test_blocks_hold_few_words():
     assert [first for first, _, _ in got] == list(np.cumsum([0, *(len(n) for _, n, _ in got)])[:-1])
     assert all(n.sum() == len(flat) and (len(flat) <= embedding.WORDS or len(n) == 1) for _, n, flat in got)
     assert np.array_equal(np.concatenate([flat for _, _, flat in got]), [2] * 200_000 + [3, 4] * 100_000)
+
+
+def test_blocks_are_multiplied_in_one_small_matrix():
+    rng = np.random.default_rng(0)
+    rows = [rng.integers(0, 64, n).tolist() for n in (*range(300), 70_000)]
+    idf, wanted = rng.random(64) + 1, np.zeros((301, 64))
+    for i, row in enumerate(rows):
+        n = np.bincount(np.array(row, int), minlength=64)
+        wanted[i] = np.where(n > 0, (1 + np.log(np.maximum(n, 1))) * idf, 0)
+        wanted[i] /= np.linalg.norm(wanted[i]) or 1
+    got = [(first, m.base, m.copy()) for first, m in embedding.filled(pa.array(rows, pa.list_(pa.int32())), idf)]
+    assert len({id(base) for _, base, _ in got}) == 1 and len(got[0][1]) == embedding.ROWS
+    assert [first for first, _, _ in got] == list(np.cumsum([0, *(len(m) for _, _, m in got)])[:-1])
+    assert np.allclose(np.concatenate([m for _, _, m in got]), wanted, atol=1e-12)
